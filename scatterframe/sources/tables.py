@@ -56,7 +56,7 @@ def kpi_in(spark, sf) -> DataFrame:
         F.col("l_returnflag").alias("condition"), F.col("p_brand").alias("method"),
         (F.year("l_shipdate") * 10 + F.quarter("l_shipdate")).alias("block"), bin_.alias("bin"),
         enc.alias("enc_len"), inter.alias("int_len"),
-        (0.10 + 0.02 * bin_).alias("target"), ((0.10 + 0.02 * bin_) * enc / inter).alias("actual"),
+        (0.10 + 0.02 * bin_).alias("target"), (F.floor((0.10 + 0.02 * bin_) * enc + 0.5) / inter).alias("actual"),
         (F.col("l_tax") + 0.01).alias("err_base"),
         (5 * F.col("l_discount") * (F.col("l_tax") + 0.01)).alias("err"),
     )
@@ -91,5 +91,5 @@ SQL_KPI_IN = """k0 AS (SELECT l_returnflag AS condition, p_brand AS method,
   l_quantity + l_linenumber - 1 AS int_len, l_tax, l_discount
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 kpi_in AS (SELECT condition, method, block, bin, enc_len, int_len, 0.10::DOUBLE + 0.02::DOUBLE * bin AS target,
-  (0.10::DOUBLE + 0.02::DOUBLE * bin) * enc_len / int_len AS actual, l_tax + 0.01::DOUBLE AS err_base,
+  floor((0.10::DOUBLE + 0.02::DOUBLE * bin) * enc_len + 0.5::DOUBLE) / int_len AS actual, l_tax + 0.01::DOUBLE AS err_base,
   5 * l_discount * (l_tax + 0.01::DOUBLE) AS err FROM k0)"""
