@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALT = 64
+SALT = 16
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -25,25 +25,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def attach(df: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, salt: int = SALT) -> DataFrame:
     """Join a summary table to the rows it summarises.
 
     ``dim`` is computed once and counted.  Up to ``max_rows`` it is broadcast,
     so ``df`` is not shuffled; beyond that the join is salted, so that one hot
-    key is spread over ``SALT`` tasks.
+    key is spread over ``salt`` tasks.  ``salt=1`` is for keys that hold few
+    rows each, such as the distinct values of a group.
     """
     on = [on] if isinstance(on, str) else list(on)
     dim = settle(dim)
     if dim.count() <= max_rows:
         return df.join(F.broadcast(dim), on, how)
-    return salted_join(df, dim, on, how)
+    return salted_join(df, dim, on, how, salt) if salt > 1 else df.join(dim, on, how)
 
 
-def salted_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which every key of ``df`` is spread over SALT shuffle keys."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALT)).cast("int")
-    left = df.withColumn("_salt", salt)
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def salted_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salt: int = SALT) -> DataFrame:
+    """Equi-join in which every key of ``df`` is spread over ``salt`` shuffle keys."""
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -2,9 +2,11 @@
 
 Everything starts from ``cdf``: one row per distinct value of a group with its
 count, the number of smaller rows and the group total.  Rows are pre-aggregated
-by value before the shuffle.  A group is then cut at up to ``cuts`` of its own
-values (those with the smallest hash, so a rerun cuts alike), ranked piece by
-piece, and the piece offsets are added; no task sees a whole group.
+by value before the shuffle.  While every group holds at most ``piece_rows``
+distinct values, one window per group ranks them.  Beyond that, groups are cut
+at some of their own values (those with the smallest hash, so a rerun cuts
+alike), ranked piece by piece, and the piece offsets are added; no task sees a
+whole group.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dims import attach
+from .dims import attach, settle
 from .numeric import as_col
 
-CUTS = 64
+CUTS = 128
+PIECE_ROWS = 1_000_000
 
 
 def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
@@ -25,27 +28,46 @@ def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
     )
 
 
-def cdf(df: DataFrame, keys: list[str], value, small: bool = False, cuts: int = CUTS) -> DataFrame:
-    """(keys, v, cnt, below, total).  ``small`` states that groups are bounded by design."""
-    vc = df if {"v", "cnt"} <= set(df.columns) and value is None else value_counts(df, keys, value)
+def _cdf_window(vc: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return vc.select(
+        *keys, "v", "cnt", (F.sum("cnt").over(run) - F.col("cnt")).alias("below"), F.sum("cnt").over(w).alias("total"))
+
+
+def cdf(df: DataFrame, keys: list[str], value, small: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(keys, v, cnt, below, total).
+
+    ``small`` states that groups are bounded by design, so their size is not
+    looked up.  With ``value=None`` the input already holds (keys, v, cnt).
+    """
+    vc = df if value is None else value_counts(df, keys, value)
     if small:
-        w = Window.partitionBy(*keys)
-        run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return vc.select(
-            *keys, "v", "cnt", (F.sum("cnt").over(run) - F.col("cnt")).alias("below"),
-            F.sum("cnt").over(w).alias("total"),
-        )
+        return _cdf_window(vc, keys)
+    vc = settle(vc)  # read several times below, computed once
+    sizes = vc.groupBy(*keys).agg(F.count("*").alias("nv"))
+    biggest = sizes.agg(F.max("nv").alias("b")).first()["b"] or 0
+    if biggest <= piece_rows:
+        return _cdf_window(vc, keys)
+    return _cdf_pieces(vc, keys, piece_rows)
+
+
+def _cdf_pieces(vc: DataFrame, keys: list[str], piece_rows: int) -> DataFrame:
     by = keys
     if not keys:
         by, vc = ["_g"], vc.withColumn("_g", F.lit(0))
+    # Knots exist only for groups above the bound, about one per piece_rows values.
+    hot = vc.groupBy(*by).agg(F.count("*").alias("nv")).where(F.col("nv") > piece_rows)
     pick = Window.partitionBy(*by).orderBy(F.xxhash64("v"), "v")
     knots = (
-        vc.select(*by, "v").withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= cuts)
+        attach(vc.select(*by, "v"), hot, by)
+        .withColumn("rn", F.row_number().over(pick))
+        .where(F.col("rn") <= CUTS).where(F.col("rn") <= F.ceil(F.col("nv") / piece_rows))
         .groupBy(*by).agg(F.array_sort(F.collect_list("v")).alias("knots"))
     )
-    pieces = attach(vc, knots, by).withColumn(
-        "piece", F.size(F.filter("knots", lambda k: k <= F.col("v")))
-    ).drop("knots")
+    pieces = attach(vc, knots, by, "left").withColumn(
+        "piece", F.coalesce(F.size(F.filter("knots", lambda k: k <= F.col("v"))), F.lit(0))
+    ).withColumn("piece", F.greatest("piece", F.lit(0))).drop("knots")
     w_piece = Window.partitionBy(*by, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = pieces.withColumn("upto", F.sum("cnt").over(w_piece))
     sums = pieces.groupBy(*by, "piece").agg(F.sum("cnt").alias("n"))
@@ -108,12 +130,13 @@ def spearman_rows(df: DataFrame, keys: list[str], x, y) -> DataFrame:
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
     )
+    rows = settle(rows)
     for c in ("x", "y"):
         side = rows.groupBy(*by, F.col(c).alias("v")).agg(F.sum("w").alias("cnt"))
         ranks = cdf(side, by, None).select(
             *by, F.col("v").alias(c), (F.col("below") + (F.col("cnt") + 1) / 2.0).alias(f"r{c}")
         )
-        rows = attach(rows, ranks, [*by, c])
+        rows = attach(rows, ranks, [*by, c], salt=1)
     return _weighted_corr(rows, by).drop(*([] if keys else ["_g"]))
 
 

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import blockload_queries, burst_queries, kpi_queries, reorder_queries  # noqa: F401
+from . import assoc_queries, blockload_queries, burst_queries, kpi_queries, reorder_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
