@@ -123,7 +123,7 @@ def avg_rank_small(keys: list[str], value) -> Column:
 
 
 def spearman_rows(df: DataFrame, keys: list[str], x, y) -> DataFrame:
-    """Spearman of raw rows per group, hot groups included: (keys, m, nx, ny, rho)."""
+    """Spearman of raw rows per group, hot groups included: (keys, m, rho)."""
     by = keys or ["_g"]
     rows = (
         df.select(*(keys or [F.lit(0).alias("_g")]), as_col(x).alias("x"), as_col(y).alias("y"))
@@ -134,22 +134,16 @@ def spearman_rows(df: DataFrame, keys: list[str], x, y) -> DataFrame:
     for c in ("x", "y"):
         side = rows.groupBy(*by, F.col(c).alias("v")).agg(F.sum("w").alias("cnt"))
         ranks = cdf(side, by, None).select(
-            *by, F.col("v").alias(c), (F.col("below") + (F.col("cnt") + 1) / 2.0).alias(f"r{c}")
+            *by, F.col("v").alias(c), (F.col("below") + (F.col("cnt") - F.col("total")) / 2.0).alias(f"r{c}")
         )
         rows = attach(rows, ranks, [*by, c], salt=1)
     return _weighted_corr(rows, by).drop(*([] if keys else ["_g"]))
 
 
 def _weighted_corr(rows: DataFrame, by: list[str]) -> DataFrame:
-    # Twice the rank is an integer, so the five sums are exact.
-    a, b, w = (2 * F.col("rx")).cast("decimal(28,0)"), (2 * F.col("ry")).cast("decimal(28,0)"), F.col("w")
+    # Ranks come centred on their mean, so no sum cancels.
+    a, b, w = F.col("rx"), F.col("ry"), F.col("w")
     s = rows.groupBy(*by).agg(
-        F.sum("w").alias("m"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"),
-        F.sum(a * w).cast("double").alias("sa"), F.sum(b * w).cast("double").alias("sb"),
-        F.sum(a * a * w).cast("double").alias("saa"), F.sum(b * b * w).cast("double").alias("sbb"),
-        F.sum(a * b * w).cast("double").alias("sab"),
-    )
-    m = F.col("m").cast("double")
-    num = F.col("sab") - F.col("sa") * F.col("sb") / m
-    den = F.sqrt((F.col("saa") - F.col("sa") * F.col("sa") / m) * (F.col("sbb") - F.col("sb") * F.col("sb") / m))
-    return s.select(*by, "m", "nx", "ny", F.when((F.col("nx") > 1) & (F.col("ny") > 1), num / den).alias("rho"))
+        F.sum("w").alias("m"), (F.min("x") != F.max("x")).alias("_vx"), (F.min("y") != F.max("y")).alias("_vy"),
+        F.sum(a * a * w).alias("aa"), F.sum(b * b * w).alias("bb"), F.sum(a * b * w).alias("ab"))
+    return s.select(*by, "m", F.when(F.col("_vx") & F.col("_vy"), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))

@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
-from . import assoc_queries, blockload_queries, burst_queries, kpi_queries, reorder_queries  # noqa: F401
+from . import (anova_queries, assoc_queries, blockload_queries, burst_queries, kpi_queries,  # noqa: F401
+               reorder_queries, validate_queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
