@@ -1,4 +1,4 @@
-"""Paired event trials (balanced by construction) and line items."""
+"""Bursts of three sizes injected into every order frame (balanced by construction), and line items."""
 
 from __future__ import annotations
 
@@ -6,15 +6,37 @@ from pyspark.sql import functions as F
 
 from ..operators import anova as an
 from ..operators import assoc as ac
-from ..sources.tables import SQL_OBS, obs
+from ..operators import blockload as bl
+from ..operators import bursts as bu
+from ..operators import reorder as ro
+from ..functions.numeric import hash32
+from ..sources.tables import ORDER_W, SQL_OBS, frames_orders, obs
 from .assoc_queries import SQL_PB, long
 from .burst_queries import sql_hazen
 from .kpi_queries import R
 from .registry import register
-from .validate_queries import SQL_PAIRED, paired
+from .blockload_queries import CW, PAIRED, SQL_STAT_CTES, T, sql_loads
+from .burst_queries import LEVELS, SQL_BURST
+from .perm_sql import perms_sql
 
 V = "after_gini"
-SQL_ANOVA = f"""{SQL_PAIRED}, g AS (SELECT avg({V}) AS g, count(*) AS n FROM pt), mm AS (SELECT method, avg({V}) AS mm FROM pt GROUP BY ALL), mb AS (SELECT bin, avg({V}) AS mb FROM pt GROUP BY ALL),
+
+
+def trials(spark, sf):
+    """One trial per (frame, burst size, rule); the burst starts at a hashed row."""
+    f = frames_orders(spark, sf)
+    lv = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("bin"), F.lit(x).alias("level")) for i, x in enumerate(LEVELS)])
+    r = f.select("frame_id", "n_rows", "pos", F.inline(lv)).withColumn("size", bu.burst_size(F.col("level"), F.col("n_rows")))
+    start = hash32(F.lit(42), "frame_id", "bin") % (F.col("n_rows") - F.col("size") + 1) + 1
+    hit = ((F.col("pos") >= start) & (F.col("pos") < start + F.col("size"))).cast("int")
+    r = r.select((F.col("frame_id") * 10 + F.col("bin")).alias("frame_id"), "n_rows", "pos", hit.alias("hit"))
+    d = bl.trial_stats(r, ro.permutations(spark, PAIRED, ORDER_W), CW, T)
+    return d.withColumn("bin", F.col("frame_id") % 10)
+
+
+SQL_TRIALS = sql_loads(f"""{SQL_BURST}, {perms_sql(PAIRED, ORDER_W)}, f2 AS (SELECT f.frame_id * 10 + b.bin AS frame_id, f.pos, (f.pos BETWEEN b.start AND b.start + b.size - 1)::INT AS hit
+  FROM f JOIN bursts b ON b.frame_id = f.frame_id)""", "f2", ORDER_W) + f""", {SQL_STAT_CTES}, pt AS (SELECT method, frame_id, frame_id % 10 AS bin, g AS after_gini FROM a)"""
+SQL_ANOVA = f"""{SQL_TRIALS}, g AS (SELECT avg({V}) AS g, count(*) AS n FROM pt), mm AS (SELECT method, avg({V}) AS mm FROM pt GROUP BY ALL), mb AS (SELECT bin, avg({V}) AS mb FROM pt GROUP BY ALL),
   mc AS (SELECT method, bin, avg({V}) AS mc FROM pt GROUP BY ALL),
   ss AS (SELECT sum((mm - g) ** 2) AS sm, sum((mb - g) ** 2) AS sb, sum((mc - mm - mb + g) ** 2) AS si, sum(({V} - mc) ** 2) AS se, any_value(n) AS n,
     count(DISTINCT method) AS a, count(DISTINCT bin) AS b FROM pt JOIN mm USING (method) JOIN mb USING (bin) JOIN mc USING (method, bin) CROSS JOIN g),
@@ -25,7 +47,7 @@ SQL_ANOVA = f"""{SQL_PAIRED}, g AS (SELECT avg({V}) AS g, count(*) AS n FROM pt)
 
 
 def table(spark, sf):
-    return an.anova_two_way(paired(spark, sf), [], "method", "bin", V)
+    return an.anova_two_way(trials(spark, sf), [], "method", "bin", V)
 
 
 @register("A1_anova_two_way", f"""WITH {SQL_ANOVA} SELECT term, round(ss, 8) AS ss, df, round(ss / df, 8) AS ms, CASE WHEN term <> 'error' THEN round(ss / df / mse, 6) END AS f,
@@ -43,7 +65,7 @@ def a2(spark, sf):
   SELECT o.method, round(f.mu - o.mu, 9) AS diff, round((f.mu - o.mu) / sqrt((SELECT mse FROM atb WHERE term = 'method') / 2 * (1.0::DOUBLE / f.n + 1.0::DOUBLE / o.n)), 7) AS q
   FROM m o JOIN m f ON f.method = 'S' AND o.method <> 'S'""")
 def a3(spark, sf):
-    p = paired(spark, sf).withColumn("all", F.lit(1))
+    p = trials(spark, sf).withColumn("all", F.lit(1))
     t = an.anova_two_way(p, ["all"], "method", "bin", V)
     return an.pairwise_means(p, t, ["all"], "method", V, "S").select("method", *R("diff"), *R("q", d=7))
 
@@ -70,7 +92,7 @@ def a6(spark, sf):
 
 @register("A7_effect_flags")
 def a7(spark, sf):
-    p = paired(spark, sf).withColumn("metric", F.lit(V))
+    p = trials(spark, sf).withColumn("metric", F.lit(V))
     return an.effect_flags(an.anova_pvalue(an.anova_two_way(p, ["metric"], "method", "bin", V)), ["metric"])
 
 

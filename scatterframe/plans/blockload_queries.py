@@ -14,17 +14,21 @@ from .registry import register
 CW, T = 15, 3
 PAIRED = ["block", "snake", "goldenRP", "convolutional", "random", "diagonal", "S", "time"]
 
-SQL_LOADS = f"""{sql_frames()}, {perms_sql(PAIRED, EVENT_W)},
-  ids AS (SELECT DISTINCT frame_id FROM f), ks AS (SELECT range AS cw FROM range(1, {-(-EVENT_W // CW) + 1})),
-  ph AS (SELECT method, frame_id, pos, src FROM f JOIN perm USING (pos) WHERE hit = 1),
+
+def sql_loads(head: str, f: str, n: int) -> str:
+    """Zero-filled block loads of the frames in ``f`` under every rule of the CTE perm."""
+    return f"""{head}, ids AS (SELECT DISTINCT frame_id FROM {f}), ks AS (SELECT range AS cw FROM range(1, {-(-n // CW) + 1})),
+  ph AS (SELECT method, frame_id, pos, src FROM {f} JOIN perm USING (pos) WHERE hit = 1),
   cnt AS (SELECT method, frame_id, 'before' AS phase, (pos + {CW} - 1) // {CW} AS cw, count(*) AS c FROM ph GROUP BY ALL
     UNION ALL SELECT method, frame_id, 'after', (src + {CW} - 1) // {CW}, count(*) FROM ph GROUP BY ALL),
   loads AS (SELECT m.method, i.frame_id, p.phase, k.cw, coalesce(c, 0) AS load
     FROM (SELECT DISTINCT method FROM perm) m CROSS JOIN ids i CROSS JOIN (VALUES ('before'), ('after')) p(phase)
     CROSS JOIN ks k LEFT JOIN cnt USING (method, frame_id, phase, cw))"""
 
-SQL_STATS = f"""{SQL_LOADS},
-  rk AS (SELECT *, row_number() OVER (PARTITION BY method, frame_id, phase ORDER BY load) AS i FROM loads),
+
+SQL_LOADS = sql_loads(f"{sql_frames()}, {perms_sql(PAIRED, EVENT_W)}", "f", EVENT_W)
+
+SQL_STAT_CTES = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY method, frame_id, phase ORDER BY load) AS i FROM loads),
   st AS (SELECT method, frame_id, phase, count(*) AS k, sum(load) AS h, count(*) FILTER (load > 0) AS nz,
     coalesce(min(load) FILTER (load > 0), 0) AS mn, max(load) AS mx, avg(load) AS av, var_samp(load) AS va,
     stddev_samp(load) AS sd, count(*) FILTER (load > {T}) AS ov, count(*) FILTER (load = {T}) AS mg,
@@ -35,6 +39,7 @@ SQL_STATS = f"""{SQL_LOADS},
     CASE WHEN h = 0 THEN 1.0::DOUBLE ELSE nz::DOUBLE / least(k, h) END AS es,
     CASE WHEN nz <= 1 THEN 1.0::DOUBLE ELSE 1 / (1 + sdz / avz) END AS bs FROM st),
   b AS (SELECT * FROM st2 WHERE phase = 'before'), a AS (SELECT * FROM st2 WHERE phase = 'after')"""
+SQL_STATS = f"{SQL_LOADS}, {SQL_STAT_CTES}"
 J = "FROM a JOIN b USING (method, frame_id)"
 
 
