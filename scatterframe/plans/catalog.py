@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from . import (anova_queries, assoc_queries, blockload_queries, burst_queries, kpi_queries,  # noqa: F401
+               quality_queries,
                reorder_queries, structure_queries, validate_queries)
 from .registry import ORACLES, QUERIES
 
