@@ -55,6 +55,15 @@ def with_totals(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
     return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
 
 
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Hash-partition into the session's shuffle width, ahead of a step that grows its rows.
+
+    The explicit width keeps adaptive execution from merging partitions that are
+    small now and large after the growth.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def require_columns(df: DataFrame, names) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

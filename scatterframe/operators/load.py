@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import attach
+from ..functions.dims import attach, spread
 from ..functions.numeric import big, idiv
 from ..functions.rank import percentiles, spearman_rows
 from . import structure as st
@@ -29,7 +29,7 @@ def load_metrics(perm: DataFrame, keys: list[str], bursts: list[int], codeword:
     k = [*keys, "b"]
     n, nb = F.col("n"), F.col("b")
     size = Window.partitionBy(*keys)
-    d = perm.repartition(*keys).select(
+    d = spread(perm, *keys).select(
         *keys, "pos", (idiv(F.col("src") - 1, codeword) + 1).alias("cw"), F.count("*").over(size).alias("n"))
     d = d.withColumn("asked", F.explode(F.array(*[F.lit(b).cast("bigint") for b in bursts]))).withColumn("b", F.least("asked", "n"))
     last = n - nb + 1

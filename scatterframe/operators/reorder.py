@@ -383,3 +383,10 @@ def perm_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 __all__ = ["ARP_TABLE", "RULES", "Rule", "attach", "extension", "number_rows", "perm_equal", "perm_valid",
            "permutation", "permutations", "reorder", "restore"]
+
+
+def union_draws(spark: SparkSession, rule: str, n: int, draws: int) -> DataFrame:
+    """Several seeded draws of a random rule, with methods named rule#draw."""
+    from ..functions.dims import union_all
+
+    return union_all([permutation(spark, rule, n, draw=d).withColumn("method", F.lit(f"{rule}#{d}")) for d in range(draws)])

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from math import ceil, floor, gcd, isqrt, sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import settle
+from ..functions.dims import settle, spread
 from ..functions.numeric import as_col, big, idiv, modpow
 from ..functions.numeric import gcd as gcd_col
 
@@ -139,9 +139,10 @@ def balanced_shapes(lengths: DataFrame, extend: float) -> DataFrame:
     n, m, a = F.col("n"), F.col("m"), F.col("a")
     root = F.sqrt(m)
     reach = F.least(F.lit(20), F.floor(root / 2))
+    padded = lengths.select(big("n").alias("n")).distinct().withColumn(
+        "m", F.explode(F.sequence(n, F.floor(n * (1 + extend)).cast("bigint"))))
     cand = (
-        lengths.select(big("n").alias("n")).distinct()
-        .withColumn("m", F.explode(F.sequence(n, F.floor(n * (1 + extend)).cast("bigint"))))
+        spread(padded, "n", "m")
         .withColumn("a", F.explode(F.sequence(F.greatest(F.lit(2), F.floor(root) - reach).cast("bigint"),
                                               (F.ceil(root) + reach).cast("bigint"))))
         .where((m % a == 0) & (m >= 2 * a))
@@ -169,7 +170,7 @@ def golden_strides(lengths: DataFrame) -> DataFrame:
     )
 
 
-def primitive_roots(prime_table: DataFrame, tries: int = 256) -> DataFrame:
+def primitive_roots(prime_table: DataFrame, tries: int = 16) -> DataFrame:
     """Smallest g with g^((p-1)/q) != 1 mod p for every prime q dividing p-1."""
     p = F.col("p")
     d = F.sequence(F.lit(2).cast("bigint"), F.greatest(F.lit(2), F.floor(F.sqrt(p - 1))).cast("bigint"))
@@ -181,9 +182,14 @@ def primitive_roots(prime_table: DataFrame, tries: int = 256) -> DataFrame:
     qs = primes(qs).groupBy("p").agg(F.collect_list("n").alias("qs"))
     only_two = prime_table.select(big("p").alias("p")).distinct().where(p == 3).select("p", F.array(F.lit(2).cast("bigint")).alias("qs"))
     qs = qs.where(p > 3).unionByName(only_two)
-    g = F.sequence(F.lit(2).cast("bigint"), F.least(p - 1, F.lit(tries)))
-    good = F.filter(g, lambda c: F.forall("qs", lambda q: modpow(c, idiv(p - 1, q), p) != 1))
-    return qs.select("p", F.element_at(good, 1).alias("root"))
+    def first(lo, hi):
+        good = F.filter(F.sequence(lo, hi), lambda c: F.forall("qs", lambda q: modpow(c, idiv(p - 1, q), p) != 1))
+        return F.get(good, F.lit(0))
+
+    # Nearly every prime has a root among the first tries; the rest are searched in full.
+    head = first(F.lit(2).cast("bigint"), F.least(p - 1, F.lit(tries + 1)))
+    tail = F.when(F.col("root").isNull() & (p > tries + 2), first(F.lit(tries + 2).cast("bigint"), p - 1)).otherwise(F.col("root"))
+    return spread(qs, "p").withColumn("root", head).select("p", tail.alias("root"))
 
 
 def cyclic_spread(p: Column, n: Column, window: int = 16) -> Column:
@@ -211,16 +217,16 @@ def qpp_search(lengths: DataFrame, window: int = 16, budget: int = 20_000) -> Da
     is_prime = lambda d: ~F.exists(F.sequence(F.lit(2).cast("bigint"), d), lambda e: (e < d) & (d % e == 0))
     rad = F.aggregate(F.filter(small, lambda d: (n % d == 0) & is_prime(d)), F.lit(1).cast("bigint"), lambda s, d: s * d)
     x = F.sequence(F.lit(0).cast("bigint"), n - 1)
+    firsts = base.withColumn("rad", rad).withColumn("f1", F.explode(F.sequence(F.lit(1).cast("bigint"), n - 1))).where(gcd_col(f1, n) == 1)
     cand = (
-        base.withColumn("rad", rad)
-        .withColumn("f1", F.explode(F.sequence(F.lit(1).cast("bigint"), n - 1))).where(gcd_col(f1, n) == 1)
+        spread(firsts, "n", "f1")
         .withColumn("f2", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.col("rad"))))
         .withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n))
         .where(F.size(F.array_distinct("map")) == n)
     )
     order = Window.partitionBy("n").orderBy("f1", "f2")
     kept = cand.select("n", "f1", "f2").withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= budget)
-    scored = kept.withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n)).withColumn(
+    scored = spread(kept, "n", "f1", "f2").withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n)).withColumn(
         "spread", cyclic_spread("map", n, window))
     return scored.groupBy("n").agg(
         F.max_by(F.struct("f1", "f2", "spread"), F.struct("spread", -F.col("seq"))).alias("b"), F.count("*").alias("tried")
@@ -248,7 +254,6 @@ def dither_search(lengths: DataFrame, window: int = 16) -> DataFrame:
     want = F.when(n <= 200, 4).when(n <= 1000, 8).otherwise(16)
     m = F.coalesce(*[F.when((want >= c) & (n % c == 0), F.lit(c)) for c in (16, 8, 4)])
     root = F.sqrt(n)
-    lo = F.greatest(F.lit(2), F.floor(F.floor(root) / 2)).cast("bigint")
     lo = F.greatest(F.lit(2), F.floor(root / 2)).cast("bigint")
     hi = F.least(n - 2, F.ceil(4 * root)).cast("bigint")
     strides = F.filter(F.sequence(lo, hi), lambda c: gcd_col(c, n) == 1)
@@ -271,7 +276,7 @@ def dither_search(lengths: DataFrame, window: int = 16) -> DataFrame:
     lags = F.sequence(F.lit(1), F.least(F.lit(window), (n - 1).cast("int")))
     for _ in range(2):
         for cands, sets in coords:
-            tried = now.select("*", F.posexplode(cands).alias("i", "c"))
+            tried = spread(now.select("*", F.posexplode(cands).alias("i", "c")), "n", "i")
             for name, get in sets.items():
                 tried = tried.withColumn(name, get(F.col("c")))
 
@@ -300,22 +305,29 @@ def arp_image(p0, p1, p2, p3, n, j) -> Column:
     return (p0 * j + phase + 1) % n + 1
 
 
-def arp_offset_search(lengths: DataFrame, p0: DataFrame, step: int = 1) -> DataFrame:
-    """Best offsets (P1, P2, P3) on a grid of multiples of ``step`` for given (n, p0), by S_min.
+def arp_strides(lengths: DataFrame) -> DataFrame:
+    """(n, p0): the coprime of n nearest sqrt(2n), the lower on ties."""
+    n, p = F.col("n"), F.col("p")
+    d = lengths.select(big("n").alias("n")).distinct().withColumn("p", F.explode(F.sequence(F.lit(1).cast("bigint"), n - 1)))
+    d = d.where(gcd_col(p, n) == 1)
+    return d.groupBy("n").agg(F.min_by(p, F.struct(F.abs(p - F.sqrt(2.0 * n)), p)).alias("p0"))
+
+
+def arp_offset_search(lengths: DataFrame) -> DataFrame:
+    """Best offsets of the 4-phase map over the whole admissible set, by S_min, smaller triples on ties.
 
-    S_min is the largest attainable minimum of lag + |image difference|; ties go
-    to the smaller triple.
+    Admissible: P1 even, P2 a multiple of 4, P3 congruent to P1 modulo 4.  S_min
+    is the least lag + |image difference|.  Lengths must be multiples of 4; the
+    set has n^3/32 members, so this is for small n.
     """
     n = F.col("n")
-    grid = F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(step).cast("bigint"))
-    lags = F.sequence(F.lit(1), (F.ceil(2 * F.sqrt(n - 1.0)) + 1).cast("int"))
-    lags = F.slice(lags, F.lit(1), F.least(F.size(lags), (n - 1).cast("int")))
-    cand = lengths.join(p0, "n").withColumn("p1", F.explode(grid)).withColumn("p2", F.explode(grid)).withColumn("p3", F.explode(grid))
-    image = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1),
-                        lambda j: arp_image(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"), n, j))
+    zero = F.lit(0).cast("bigint")
+    steps = lambda lo, by: F.sequence(lo, n - 1, F.lit(by).cast("bigint"))
+    lags = F.sequence(F.lit(1), F.least((n - 1).cast("int"), (F.ceil(2 * F.sqrt(n - 1.0)) + 1).cast("int")))
+    firsts = arp_strides(lengths.where(n % 4 == 0)).withColumn("p1", F.explode(steps(zero, 2))).withColumn("p2", F.explode(steps(zero, 4)))
+    cand = spread(firsts, "n", "p1", "p2").withColumn("p3", F.explode(steps(F.col("p1") % 4, 4)))
+    image = F.transform(F.sequence(zero, n - 1), lambda j: arp_image(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"), n, j))
     ok = cand.withColumn("map", image).where(F.size(F.array_distinct("map")) == n)
     scored = ok.withColumn("s_min", snew_array(F.col("map"), lags).cast("bigint"))
-    return scored.groupBy("n", "p0").agg(
-        F.max_by(F.struct("p1", "p2", "p3", "s_min"), F.struct(F.col("s_min"), -F.col("p1"), -F.col("p2"), -F.col("p3"))).alias("b"),
-        F.count("*").alias("feasible"),
-    ).select("n", "p0", "b.p1", "b.p2", "b.p3", "b.s_min", "feasible")
+    best = F.max_by(F.struct("p1", "p2", "p3", "s_min"), F.struct(F.col("s_min"), -F.col("p1"), -F.col("p2"), -F.col("p3")))
+    return scored.groupBy("n", "p0").agg(best.alias("b"), F.count("*").alias("feasible")).select("n", "p0", "b.p1", "b.p2", "b.p3", "b.s_min", "feasible")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import BROADCAST_ROWS, settle
+from ..functions.dims import BROADCAST_ROWS, settle, spread
 from ..functions.numeric import EPS, big, idiv
 
 
@@ -43,7 +43,7 @@ def adjacency(perm: DataFrame, keys: list[str]) -> DataFrame:
 def as_array(perm: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
     """One row per permutation: ``value`` in the order of ``by`` (bounded by the frame length)."""
     pairs = F.array_sort(F.array_agg(F.struct(F.col(by), F.col(value))))
-    return perm.groupBy(*keys).agg(pairs.alias("_p")).select(*keys, F.transform("_p", lambda s: s[value]).alias("p"), F.size("_p").alias("n"))
+    return spread(perm, *keys).groupBy(*keys).agg(pairs.alias("_p")).select(*keys, F.transform("_p", lambda s: s[value]).alias("p"), F.size("_p").alias("n"))
 
 
 def _shifted(p: Column, d: Column, f) -> Column:
