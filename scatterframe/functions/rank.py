@@ -35,6 +35,11 @@ def _cdf_window(vc: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "v", "cnt", (F.sum("cnt").over(run) - F.col("cnt")).alias("below"), F.sum("cnt").over(w).alias("total"))
 
 
+def _largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: one light pass over the key columns."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("b")).first()["b"] or 0
+
+
 def cdf(df: DataFrame, keys: list[str], value, small: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(keys, v, cnt, below, total).
 
@@ -42,12 +47,10 @@ def cdf(df: DataFrame, keys: list[str], value, small: bool = False, piece_rows:
     looked up.  With ``value=None`` the input already holds (keys, v, cnt).
     """
     vc = df if value is None else value_counts(df, keys, value)
-    if small:
+    if small or (value is not None and _largest(df, keys) <= piece_rows):
         return _cdf_window(vc, keys)
     vc = settle(vc)  # read several times below, computed once
-    sizes = vc.groupBy(*keys).agg(F.count("*").alias("nv"))
-    biggest = sizes.agg(F.max("nv").alias("b")).first()["b"] or 0
-    if biggest <= piece_rows:
+    if _largest(vc, keys) <= piece_rows:
         return _cdf_window(vc, keys)
     return _cdf_pieces(vc, keys, piece_rows)
 
@@ -122,22 +125,35 @@ def avg_rank_small(keys: list[str], value) -> Column:
     return F.rank().over(w.orderBy(as_col(value))) + (F.count("*").over(peers) - 1) / 2.0
 
 
-def spearman_rows(df: DataFrame, keys: list[str], x, y) -> DataFrame:
-    """Spearman of raw rows per group, hot groups included: (keys, m, rho)."""
+def spearman_rows(df: DataFrame, keys: list[str], x, y, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Spearman of raw rows per group, hot groups included: (keys, m, rho).
+
+    While groups fit one task each, both ranks are windows over one shuffle.
+    Otherwise rows are pre-aggregated by value pair and take their ranks from
+    ``cdf`` tables.
+    """
     by = keys or ["_g"]
-    rows = (
+    raw = (
         df.select(*(keys or [F.lit(0).alias("_g")]), as_col(x).alias("x"), as_col(y).alias("y"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
     )
-    rows = settle(rows)
+    drop = [] if keys else ["_g"]
+    if _largest(raw, by) <= piece_rows:
+        n = F.count("*").over(Window.partitionBy(*by))
+
+        def centred(c):
+            w = Window.partitionBy(*by).orderBy(c)
+            return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, c)) - n) / 2.0 - 1
+
+        return _weighted_corr(raw.select(*by, "x", "y", F.lit(1).alias("w"), centred("x").alias("rx"), centred("y").alias("ry")), by).drop(*drop)
+    rows = settle(raw.groupBy(*by, "x", "y").agg(F.count("*").alias("w")))
     for c in ("x", "y"):
         side = rows.groupBy(*by, F.col(c).alias("v")).agg(F.sum("w").alias("cnt"))
-        ranks = cdf(side, by, None).select(
+        ranks = cdf(side, by, None, piece_rows=piece_rows).select(
             *by, F.col("v").alias(c), (F.col("below") + (F.col("cnt") - F.col("total")) / 2.0).alias(f"r{c}")
         )
         rows = attach(rows, ranks, [*by, c], salt=1)
-    return _weighted_corr(rows, by).drop(*([] if keys else ["_g"]))
+    return _weighted_corr(rows, by).drop(*drop)
 
 
 def _weighted_corr(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-trial block loads: how many hits fall into each block of a frame, before and after reordering.
 
-Every row of a frame is counted (hit or not), so blocks without hits appear with
-load 0 and frames without hits stay in the result without any densifying join.
+Statistics need only the hits: a frame of n rows has ceil(n / codeword) blocks
+whether hit or not, so blocks without hits enter the sums by arithmetic.  One
+further row per frame is kept, so that frames without hits stay in the result.
 """
 
 from __future__ import annotations
@@ -15,17 +16,27 @@ from .reorder import _small
 ID = ["method", "frame_id"]
 
 
-def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int = 8192) -> DataFrame:
-    """(method, frame_id, phase, cw, load); phase is before or after."""
-    rows = frames.select("frame_id", "n_rows", "pos", "hit").join(_small(perm, max_rows), ["n_rows", "pos"])
+def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int = 8192, dense: bool = False) -> DataFrame:
+    """(method, frame_id, n_rows, phase, cw, load); phase is before or after.
+
+    ``dense`` counts every row, so each block of the frame appears even with
+    load 0; otherwise only hit blocks do, plus one block per frame.  Positions
+    that carry padding belong to no block.
+    """
+    rows = frames.select("frame_id", "n_rows", "pos", "hit")
+    if not dense:
+        rows = rows.where((F.col("hit") == 1) | (F.col("pos") == 1))
+    rows = rows.join(_small(perm, max_rows), ["n_rows", "pos"])
     cw = lambda c: idiv(F.col(c) - 1, codeword) + 1
+    hit = F.col("hit").cast("bigint")
     both = F.array(
-        F.struct(F.lit("before").alias("phase"), cw("pos").alias("cw")),
-        F.struct(F.lit("after").alias("phase"), cw("src").alias("cw")),
+        F.struct(F.lit("before").alias("phase"), cw("pos").alias("cw"), hit.alias("h")),
+        F.struct(F.lit("after").alias("phase"), F.least(cw("src"), cw("n_rows")).alias("cw"),
+                 F.when(F.col("src") <= F.col("n_rows"), hit).otherwise(0).alias("h")),
     )
     return (
-        rows.select(*ID, "hit", F.inline(both))
-        .groupBy(*ID, "phase", "cw").agg(F.sum("hit").alias("load"))
+        rows.select(*ID, "n_rows", F.inline(both))
+        .groupBy(*ID, "n_rows", "phase", "cw").agg(F.sum("h").alias("load"))
     )
 
 
@@ -48,18 +59,23 @@ def gini_value(n: str, s: str, ix: str):
     return F.when((s_ == 0) | (n_ == 1), F.lit(0.0)).otherwise(clip(g, 0.0, 1.0))
 
 
-def load_stats(loads: DataFrame, capacity: int, keys: list[str] | None = None) -> DataFrame:
-    """One row per frame and phase with every statistic of its block loads."""
+def load_stats(loads: DataFrame, codeword: int, capacity: int, keys: list[str] | None = None) -> DataFrame:
+    """One row per frame and phase with every statistic of its block loads, blocks without hits included."""
     keys = keys or [*ID, "phase"]
     x = F.col("load")
     noisy = F.when(x > 0, x)
     s = loads.withColumn("_i", gini_sums(keys, "load")).groupBy(*keys).agg(
-        F.count("*").alias("blocks"), F.sum(x).alias("hits"), F.sum(x * x).alias("sq"),
+        (idiv(F.max("n_rows") - 1, codeword) + 1).alias("blocks"), F.sum(x).alias("hits"), F.sum(x * x).alias("sq"),
+        F.sum((x == 0).cast("bigint")).alias("zeros_seen"),
         F.count(noisy).alias("noisy_blocks"), F.coalesce(F.min(noisy), F.lit(0).cast("bigint")).alias("load_min"),
         F.max(x).alias("load_max"), F.sum(F.col("_i") * x).alias("ix"),
-        F.sum((x > capacity).cast("bigint")).alias("over"), F.sum((x == capacity).cast("bigint")).alias("marginal"),
+        F.sum((x > capacity).cast("bigint")).alias("over"), F.sum((x == capacity).cast("bigint")).alias("_marginal"),
         F.sum(((x <= capacity) & (x > 0)).cast("bigint")).alias("correctable"),
     )
+    # Ranks were counted among the blocks present; the unseen empty ones come first.
+    s = s.withColumns({
+        "ix": F.col("ix") + (F.col("blocks") - F.col("noisy_blocks") - F.col("zeros_seen")) * F.col("hits"),
+        "marginal": F.col("_marginal") if capacity else F.col("blocks") - F.col("noisy_blocks")})
     k, h, sq, nz = (F.col(c).cast("double") for c in ("blocks", "hits", "sq", "noisy_blocks"))
     var = F.when(k > 1, (sq - h * h / k) / (k - 1))
     var_nz = F.when(nz > 1, F.greatest(F.lit(0.0), (sq - h * h / nz) / (nz - 1)))
@@ -162,7 +178,7 @@ def spread_map(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int
 
 def trial_stats(frames: DataFrame, perm: DataFrame, codeword: int, capacity: int, max_rows: int = 8192) -> DataFrame:
     """Every per-trial measure on one row per (method, frame)."""
-    st = sides(load_stats(block_loads(frames, perm, codeword, max_rows), capacity))
+    st = sides(load_stats(block_loads(frames, perm, codeword, max_rows), codeword, capacity))
     t = F.lit(float(capacity))
     eff = efficiency(st, capacity)
     return eff.select(

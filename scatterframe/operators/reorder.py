@@ -360,15 +360,19 @@ def extension(perm: DataFrame, keys: list[str]) -> DataFrame:
     return perm.groupBy(*keys, "n_rows").agg(F.max("pos").alias("n_out")).withColumn("be", F.col("n_rows") / F.col("n_out"))
 
 
-def perm_valid(perm: DataFrame, keys: list[str]) -> DataFrame:
-    """Bijection, identity and duplicate checks per permutation."""
+def perm_valid(perm: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """Bijection, identity and duplicate checks per permutation.
+
+    Twins are counted among the permutations that share ``within`` (for example
+    the rules of one frame), which are few.
+    """
     s = perm.groupBy(*keys).agg(
-        F.count("*").alias("n_out"), F.count_distinct("src").alias("n_src"), F.min("src").alias("lo"),
+        F.count("*").alias("n_out"), F.size(F.collect_set("src")).alias("n_src"), F.min("src").alias("lo"),
         F.max("src").alias("hi"), F.sum((F.col("pos") == F.col("src")).cast("bigint")).alias("fixed_points"),
-        F.sum(F.xxhash64("pos", "src").cast("decimal(38,0)")).alias("print"),
+        F.bit_xor(F.xxhash64("pos", "src")).alias("print"),
     )
-    twins = s.groupBy("n_out", "print").agg(F.count("*").alias("copies"))
-    return s.join(twins, ["n_out", "print"]).select(
+    same = Window.partitionBy(*(within or []), "n_out", "print")
+    return s.withColumn("copies", F.count("*").over(same)).select(
         *keys, "n_out", ((F.col("n_src") == F.col("n_out")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n_out"))).alias("bijection"),
         (F.col("fixed_points") == F.col("n_out")).alias("is_identity"), "fixed_points", "copies",
     )

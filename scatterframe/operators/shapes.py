@@ -159,7 +159,11 @@ def balanced_shapes(lengths: DataFrame, extend: float) -> DataFrame:
 
 
 def golden_strides(lengths: DataFrame) -> DataFrame:
-    """Nearest coprime to n/phi, the lower on ties.  Gaps between coprimes are short: 1 to 64 tried."""
+    """Nearest coprime to n/phi, the lower on ties.
+
+    64 numbers either way always contain one: the longest run without a number
+    coprime to n is shorter for every n below 7e12.
+    """
     n, p = F.col("n"), F.col("p")
     target = F.floor(n / F.lit(GOLDEN) + 0.5).cast("bigint")
     near = F.sequence(F.greatest(F.lit(1).cast("bigint"), target - 64), F.least(n - 1, target + 64))

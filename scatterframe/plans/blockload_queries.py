@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import big, rnd
+from ..functions.numeric import rnd
 from ..operators import blockload as bl
 from ..operators import reorder as ro
-from ..sources.tables import EVENT_W, frames_events, obs, sql_frames, SQL_OBS
+from ..sources.tables import EVENT_W, SQL_OBS, frames_events, hundredths, obs, sql_frames
 from .perm_sql import perms_sql
 from .registry import register
 
@@ -51,12 +51,12 @@ def _perm(spark):
     return ro.permutations(spark, PAIRED, EVENT_W)
 
 
-def loads(spark, sf):
-    return bl.block_loads(_frames(spark, sf), _perm(spark), CW)
+def loads(spark, sf, dense=False):
+    return bl.block_loads(_frames(spark, sf), _perm(spark), CW, dense=dense)
 
 
 def stats(spark, sf):
-    return bl.load_stats(loads(spark, sf), T)
+    return bl.load_stats(loads(spark, sf), CW, T)
 
 
 def sides(spark, sf):
@@ -65,7 +65,7 @@ def sides(spark, sf):
 
 @register("E1_block_loads", f"WITH {SQL_LOADS} SELECT method, frame_id, phase, cw, CAST(load AS BIGINT) AS load FROM loads")
 def e1(spark, sf):
-    return loads(spark, sf)
+    return loads(spark, sf, dense=True).drop("n_rows")
 
 
 @register("E2_block_load_stats", f"""WITH {SQL_STATS} SELECT method, frame_id, phase, k AS blocks, CAST(h AS BIGINT) AS hits,
@@ -82,7 +82,7 @@ def e2(spark, sf):
   SELECT frame_id, round(greatest(0.0, least(1.0, 2.0::DOUBLE * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0::DOUBLE) / count(*))), 9) AS gini
   FROM r GROUP BY frame_id""")
 def e3(spark, sf):
-    f = _frames(spark, sf).withColumn("x", big(F.round(F.col("value") * 100)))
+    f = _frames(spark, sf).withColumn("x", hundredths("value"))
     return bl.gini(f, ["frame_id"], "x").select("frame_id", rnd("gini").alias("gini"))
 
 

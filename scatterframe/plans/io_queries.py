@@ -131,7 +131,7 @@ _PERM = "perm AS (" + " UNION ALL ".join(f"SELECT 'random#{d}' AS method, pos, s
   round(avg(es), 9) AS eta_es, round(avg(g), 9) AS gini FROM a GROUP BY ALL""")
 def s13(spark, sf):
     perm = ro.union_draws(spark, "random", EVENT_W, DRAWS)
-    s = bl.load_stats(bl.block_loads(frames_events(spark, sf), perm, CW), T).where(F.col("phase") == "after")
+    s = bl.load_stats(bl.block_loads(frames_events(spark, sf), perm, CW), CW, T).where(F.col("phase") == "after")
     s = s.withColumn("method", F.split_part("method", F.lit("#"), F.lit(1)))
     return io.ensemble_mean(s, ["method", "frame_id"], ["eta_es", "gini"]).select("method", "frame_id", "draws", *R("eta_es", "gini"))
 

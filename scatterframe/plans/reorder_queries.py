@@ -109,17 +109,8 @@ def extension(spark, sf):
 def perm_valid(spark, sf):
     """Checked on the reordered rows themselves, frame by frame, for every rule."""
     f = frames_orders(spark, sf)
-    moved = ro.reorder(f, ro.permutations(spark, ALL_240, ORDER_W), ["value"])
-    # Twins are looked for among the rules of one frame.
-    s = moved.groupBy("method", "frame_id").agg(
-        F.count("*").alias("n_out"), F.count_distinct("src").alias("n_src"), F.min("src").alias("lo"),
-        F.max("src").alias("hi"), F.sum((F.col("pos") == F.col("src")).cast("bigint")).alias("fixed_points"),
-        F.sum(F.xxhash64("pos", "src").cast("decimal(38,0)")).alias("print"))
-    twins = s.groupBy("frame_id", "print").agg(F.count("*").alias("copies"))
-    return s.join(twins, ["frame_id", "print"]).select(
-        "method", "frame_id", "n_out",
-        ((F.col("n_src") == F.col("n_out")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n_out"))).alias("bijection"),
-        (F.col("fixed_points") == F.col("n_out")).alias("is_identity"), "fixed_points", "copies")
+    moved = ro.reorder(f, ro.permutations(spark, ALL_240, ORDER_W), [])
+    return ro.perm_valid(moved, ["method", "frame_id"], ["frame_id"])
 
 
 @register("I25_perm_equal", f"""WITH {sql_frames(source='orders')}, {perms_sql(ALL_240, ORDER_W)},

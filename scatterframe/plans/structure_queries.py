@@ -9,7 +9,7 @@ from ..functions.numeric import big
 from ..operators import load as ld
 from ..operators import reorder as ro
 from ..operators import structure as st
-from ..sources.tables import EVENT_W, frames_events, sql_frames, table
+from ..sources.tables import EVENT_W, frames_events, hundredths, sql_frames, table
 from .blockload_queries import CW, T
 from .kpi_queries import R
 from .perm_sql import hash_sql
@@ -111,7 +111,7 @@ def g11(spark, sf):
   k AS (SELECT frame_id, b, min(d) AS lo, avg(d) AS av, var_samp(d) AS va FROM d GROUP BY ALL)
   SELECT frame_id, round(min(lo), 7) AS min_min, round(max(lo), 7) AS min_max, round(avg(av), 6) AS avg_avg, round(max(va), 4) AS var_max FROM k GROUP BY frame_id""")
 def g11b(spark, sf):
-    f = frames_events(spark, sf).withColumn("x", F.when(F.col("hit") == 1, 0).otherwise(big(F.round(F.col("value") * 100))))
+    f = frames_events(spark, sf).withColumn("x", F.when(F.col("hit") == 1, 0).otherwise(hundredths("value")))
     return st.block_distances(f, K, CW, "x", exclude_zero=True).select("frame_id", *R("min_min", "min_max", d=7), *R("avg_avg", d=6), *R("var_max", d=4))
 
 
@@ -247,7 +247,7 @@ SQL_SWEEP = f"""{SQL_P}, {sql_loads(SWEEP)}, oc AS (SELECT frame_id, CAST(sum(ro
 
 
 def _rhos(spark, sf):
-    out = frames_events(spark, sf).groupBy("frame_id").agg(F.sum(big(F.round(F.col("value") * 100))).alias("y"))
+    out = frames_events(spark, sf).groupBy("frame_id").agg(F.sum(hundredths("value")).alias("y"))
     return ld.rho_by_burst(loads(spark, sf, SWEEP), out, K, ["gini_load", "mean_max", "es_load"])
 
 

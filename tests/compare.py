@@ -49,7 +49,7 @@ def kind(t):
     return str(t)
 
 
-def compare(df, sql: str, con) -> str | None:
+def compare(df, sql: str, con, empty_ok: bool = False) -> str | None:
     """None when equal, otherwise a short description of the first difference."""
     got = df.toArrow()
     res = con.execute(sql)
@@ -63,6 +63,8 @@ def compare(df, sql: str, con) -> str | None:
         return f"types {bad}"
     if got.num_rows != want.num_rows:
         return f"rows {got.num_rows} vs {want.num_rows}"
+    if not got.num_rows and not empty_ok:
+        return "no rows"
     ra, rb = rows(got, a), rows(want, a)
     diff = [(x, y) for x, y in zip(ra, rb) if x != y]
     if diff:
