@@ -45,10 +45,10 @@ def ks_two_sample(r: DataFrame, group: str, reference: str, value: str, k: float
     vc = value_counts(r, [group], value)
     ref = vc.where(F.col(group) == reference).select("v", F.col("cnt").alias("y"))
     others = vc.where(F.col(group) != reference).select(group, "v", F.col("cnt").alias("x"))
-    names = others.select(group).distinct()
-    # Every other group is laid over the reference values.
+    # Every other group is laid over the reference values; the groups are few.
+    names = others.agg(F.array_sort(F.collect_set(group)).alias("g")).scalar()
     grid = others.withColumn("y", F.lit(0).cast("bigint")).unionByName(
-        ref.join(F.broadcast(names.limit(100_000)), F.lit(True)).select(group, "v", F.lit(0).cast("bigint").alias("x"), "y"))
+        ref.select(F.explode(names).alias(group), "v", F.lit(0).cast("bigint").alias("x"), "y"))
     grid = grid.groupBy(group, "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     w = Window.partitionBy(group)
     run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

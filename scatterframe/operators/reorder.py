@@ -333,16 +333,14 @@ def reorder(frames: DataFrame, perm: DataFrame, values: list[str], frame: str =
     Frames must hold one row per position 1..n_rows.  ``max_rows`` is the size
     of ``perm``: within the broadcast bound the frames are not shuffled.
     """
-    p = _small(perm, max_rows)
     extra = [c for c in perm.columns if c not in ("n_rows", "pos", "src")]
-    keep = [frame, "n_rows", *extra, "pos", "src", *values]
-    rows = frames.select(frame, "n_rows", F.col("pos").alias("src"), *values).join(p, ["n_rows", "src"]).select(*keep)
-    pads = (
-        frames.where(F.col("pos") == 1).select(frame, "n_rows")
-        .join(_small(perm.where(F.col("src") > F.col("n_rows")), max_rows), "n_rows")
-    )
-    nulls = [F.lit(None).cast(frames.schema[v].dataType).alias(v) for v in values]
-    return rows.unionByName(pads.select(frame, "n_rows", *extra, "pos", "src", *nulls))
+    # A padding cell is carried by one data row of its frame, in turn, so that
+    # rows and padding leave the same equi-join.
+    real = F.col("src") <= F.col("n_rows")
+    carrier = F.when(real, F.col("src")).otherwise((F.col("src") - F.col("n_rows") - 1) % F.col("n_rows") + 1)
+    p = _small(perm.withColumn("_row", carrier), max_rows)
+    rows = frames.select(frame, "n_rows", F.col("pos").alias("_row"), *values).join(p, ["n_rows", "_row"])
+    return rows.select(frame, "n_rows", *extra, "pos", "src", *[F.when(real, F.col(v)).alias(v) for v in values])
 
 
 def restore(reordered: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id",

@@ -61,13 +61,16 @@ def a2(spark, sf):
     return an.anova_pvalue(table(spark, sf)).select("term", "df", *R("f", d=6), *R("p", d=9))
 
 
-@register("A3_pairwise_means", f"""WITH {SQL_ANOVA}, m AS (SELECT method, count(*) AS n, avg({V}) AS mu FROM pt GROUP BY ALL)
-  SELECT o.method, round(f.mu - o.mu, 9) AS diff, round((f.mu - o.mu) / sqrt((SELECT mse FROM atb WHERE term = 'method') / 2 * (1.0::DOUBLE / f.n + 1.0::DOUBLE / o.n)), 7) AS q
-  FROM m o JOIN m f ON f.method = 'S' AND o.method <> 'S'""")
+SQL_PAIR = f"""{SQL_TRIALS}, hp AS (SELECT *, (frame_id // 10) % 2 AS half FROM pt), m AS (SELECT half, method, count(*) AS n, avg({V}) AS mu FROM hp GROUP BY ALL),
+  er AS (SELECT half, sum(({V} - mc) ** 2) / (count(*) - count(DISTINCT method) * count(DISTINCT bin)) AS mse FROM (SELECT *, avg({V}) OVER (PARTITION BY half, method, bin) AS mc FROM hp) GROUP BY half)"""
+
+
+@register("A3_pairwise_means", f"""WITH {SQL_PAIR} SELECT half, o.method, round(f.mu - o.mu, 9) AS diff, round((f.mu - o.mu) / sqrt(mse / 2 * (1.0::DOUBLE / f.n + 1.0::DOUBLE / o.n)), 7) AS q
+  FROM m o JOIN m f USING (half) JOIN er USING (half) WHERE f.method = 'S' AND o.method <> 'S'""")
 def a3(spark, sf):
-    p = trials(spark, sf).withColumn("all", F.lit(1))
-    t = an.anova_two_way(p, ["all"], "method", "bin", V)
-    return an.pairwise_means(p, t, ["all"], "method", V, "S").select("method", *R("diff"), *R("q", d=7))
+    p = trials(spark, sf).withColumn("half", F.floor(F.col("frame_id") / 10) % 2)
+    t = an.anova_two_way(p, ["half"], "method", "bin", V)
+    return an.pairwise_means(p, t, ["half"], "method", V, "S").select("half", "method", *R("diff"), *R("q", d=7))
 
 
 @register("A4_group_descriptives", f"""WITH {SQL_OBS} SELECT method, count(*) AS n, round(avg(x1), 8) AS mean_x1, round(stddev_samp(x1), 8) AS sd_x1, round(stddev_samp(x1) / sqrt(count(*)), 8) AS sem_x1,

@@ -31,7 +31,7 @@ def sql_rho(src: str, keys: str, least: int = 5, name: str = "pb", extra: str =
 
 
 def sql_fisher(src: str, less: int = 3, r: str = "rho", bound: str = "0.999999") -> str:
-    return f"tanh(sum((m - {less}) * atanh(greatest(-{bound}::DOUBLE, least({bound}::DOUBLE, {r})))) / sum(m - {less}))"
+    return f"tanh(sum((m - {less}) * atanh(greatest(-{bound}::DOUBLE, least({bound}::DOUBLE, {r})))) / sum(CASE WHEN {r} IS NOT NULL THEN m - {less} END))"
 
 
 SQL_PB = f"{SQL_CELLS}, {sql_rho('lg', 'condition, block, metric')}"
@@ -140,10 +140,11 @@ def r9(spark, sf):
 
 
 SQL_WB = f"""{SQL_MX}, wc AS (SELECT condition, block, method, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3, avg(x4) AS x4, avg(x5) AS x5, avg(y) AS y FROM mx GROUP BY ALL),
-  wr AS (SELECT *, """ + ", ".join(
-    f"rank() OVER (PARTITION BY condition, block ORDER BY {m}) + (count(*) OVER (PARTITION BY condition, block, {m}) - 1) / 2.0::DOUBLE AS r_{m}" for m in MX) + """ FROM wc),
+  w0 AS (SELECT *, """ + ", ".join(
+    f"CASE WHEN {m} IS NOT NULL THEN rank() OVER (PARTITION BY condition, block ORDER BY {m}) + (count(*) OVER (PARTITION BY condition, block, {m}) - 1) / 2.0::DOUBLE END AS r_{m}" for m in MX) + """ FROM wc),
+  wr AS (SELECT condition, block, method, """ + ", ".join(f"coalesce({m}, avg({m}) OVER w) AS {m}, coalesce(r_{m}, avg(r_{m}) OVER w) AS r_{m}" for m in MX) + """ FROM w0 WINDOW w AS (PARTITION BY condition, block)),
   wl AS (""" + " UNION ALL ".join(
-    f"SELECT condition, block, '{a}' AS a, '{b}' AS b, count(*) AS m, corr(r_{a}, r_{b}) AS s, corr({a}, {b}) AS p FROM wr GROUP BY condition, block HAVING count(*) >= 5" for a, b in PAIRS) + f"""),
+    f"SELECT condition, block, '{a}' AS a, '{b}' AS b, count(*) AS m, CASE WHEN min({a}) <> max({a}) AND min({b}) <> max({b}) THEN corr(r_{a}, r_{b}) END AS s, CASE WHEN min({a}) <> max({a}) AND min({b}) <> max({b}) THEN corr({a}, {b}) END AS p FROM wr GROUP BY condition, block HAVING count(*) >= 5" for a, b in PAIRS) + f"""),
   wb AS (SELECT condition, a, b, {sql_fisher('wl', r='s', bound='0.999999999999')} AS spearman, {sql_fisher('wl', r='p', bound='0.999999999999')} AS pearson FROM wl GROUP BY ALL)"""
 
 

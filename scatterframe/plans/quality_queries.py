@@ -51,7 +51,7 @@ def paired_rows(spark, sf):
     """One row per (frame, rule): length, size class of the trial and realised density after padding."""
     f = frames_events(spark, sf).groupBy("frame_id", "n_rows").agg(F.sum("hit").alias("hits"))
     ext = ro.extension(ro.permutations(spark, EXTENDING, EVENT_W), ["method"])
-    j = f.join(F.broadcast(ext.limit(1000)), "n_rows")
+    j = f.select("*", F.inline(ext.agg(F.array_agg(F.struct("method", "n_out")).alias("e")).scalar()))
     return j.select(F.concat(F.lit("p"), (F.col("frame_id") % 2).cast("string")).alias("condition"), "frame_id", "method",
                     F.col("n_rows").alias("length"), (F.col("hits") % 3).alias("bin"), F.col("n_out").alias("int_len"), (F.col("hits") / F.col("n_out")).alias("actual"))
 

@@ -93,7 +93,8 @@ def extension(spark, sf):
     ext = ro.extension(ro.permutations(spark, ALL_200, EVENT_W), ["method"])
     tot = frames_events(spark, sf).groupBy("n_rows").agg(
         F.count(F.when(F.col("pos") == 1, 1)).alias("frames"), F.sum("hit").alias("hits"))
-    return tot.join(ext, "n_rows").select(
+    rules = ext.agg(F.array_agg(F.struct("method", "n_out", "be")).alias("e")).scalar()
+    return tot.select("*", F.inline(rules)).select(
         "method", "frames", "hits", "n_out", rnd("be").alias("be"), (F.col("frames") * F.col("n_out")).alias("rows_sent"))
 
 
