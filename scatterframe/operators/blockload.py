@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, big, clip, idiv
-from .reorder import _small
+from .reorder import small_perm
 
 ID = ["method", "frame_id"]
 
 
-def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int = 8192, dense: bool = False) -> DataFrame:
+def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, dense: bool = False) -> DataFrame:
     """(method, frame_id, n_rows, phase, cw, load); phase is before or after.
 
     ``dense`` counts every row, so each block of the frame appears even with
@@ -26,7 +26,7 @@ def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int
     rows = frames.select("frame_id", "n_rows", "pos", "hit")
     if not dense:
         rows = rows.where((F.col("hit") == 1) | (F.col("pos") == 1))
-    rows = rows.join(_small(perm, max_rows), ["n_rows", "pos"])
+    rows = rows.join(small_perm(perm), ["n_rows", "pos"])
     cw = lambda c: idiv(F.col(c) - 1, codeword) + 1
     hit = F.col("hit").cast("bigint")
     both = F.array(
@@ -165,9 +165,9 @@ def sustainability(s: DataFrame) -> DataFrame:
         clip(fewer / n, -1.0, 1.0).alias("over_reduction"), level.alias("level"))
 
 
-def spread_map(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int = 8192) -> DataFrame:
+def spread_map(frames: DataFrame, perm: DataFrame, codeword: int) -> DataFrame:
     """Where the hits of each frame land: distinct blocks before and after, and the spread in percent."""
-    rows = frames.where(F.col("hit") == 1).select("frame_id", "n_rows", "pos").join(_small(perm, max_rows), ["n_rows", "pos"])
+    rows = frames.where(F.col("hit") == 1).select("frame_id", "n_rows", "pos").join(small_perm(perm), ["n_rows", "pos"])
     b, a = idiv(F.col("pos") - 1, codeword), idiv(F.col("src") - 1, codeword)
     return rows.groupBy(*ID).agg(
         F.count("*").alias("hits"), F.count_distinct(b).alias("blocks_before"), F.count_distinct(a).alias("blocks_after"),
@@ -176,9 +176,9 @@ def spread_map(frames: DataFrame, perm: DataFrame, codeword: int, max_rows: int
              (100.0 * F.col("blocks_after") / F.least("_k", "hits")).alias("spread_pct"))
 
 
-def trial_stats(frames: DataFrame, perm: DataFrame, codeword: int, capacity: int, max_rows: int = 8192) -> DataFrame:
+def trial_stats(frames: DataFrame, perm: DataFrame, codeword: int, capacity: int) -> DataFrame:
     """Every per-trial measure on one row per (method, frame)."""
-    st = sides(load_stats(block_loads(frames, perm, codeword, max_rows), codeword, capacity))
+    st = sides(load_stats(block_loads(frames, perm, codeword), codeword, capacity))
     t = F.lit(float(capacity))
     eff = efficiency(st, capacity)
     return eff.select(

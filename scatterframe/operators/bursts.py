@@ -99,7 +99,7 @@ def shared_error_values(rows: DataFrame, bursts: DataFrame, value: str, base: in
     b = bursts.select("frame_id", "start", "size")
     hit = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("size"))
     d = F.when(hit, 1 + hash32(F.lit(seed), F.lit("err"), "frame_id", "pos") % (q - 1)).otherwise(F.lit(0))
-    return attach(rows, b, ["frame_id"]).withColumn("error", big(d)).withColumn(
+    return attach(rows, b, ["frame_id"], salt=1).withColumn("error", big(d)).withColumn(
         "received", (F.col(value) + F.col("error")) % q).drop("start", "size")
 
 

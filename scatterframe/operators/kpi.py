@@ -42,7 +42,7 @@ def res_composite(df: DataFrame, w1: float = 0.5, w2: float | None = None) -> Da
 
 def method_filter(df: DataFrame, methods: DataFrame, keep: bool = True) -> DataFrame:
     """Keep or drop the named methods, before anything is standardised."""
-    return df.join(F.broadcast(methods.select("method").distinct().limit(10_000)), "method", "left_semi" if keep else "left_anti")
+    return attach(df, methods.select("method").distinct(), "method", "left_semi" if keep else "left_anti")
 
 
 def moments(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import BROADCAST_ROWS, attach
+from ..functions.dims import BROADCAST_ROWS, union_all
 from ..functions.numeric import big, hash32, idiv
 from . import shapes as sh
 
@@ -310,8 +310,6 @@ def permutation(spark: SparkSession, rule: str, n: int, **params) -> DataFrame:
 
 def permutations(spark: SparkSession, rules, n: int) -> DataFrame:
     """Several rules for one length, with a ``method`` column; items are names or (name, params)."""
-    from ..functions.dims import union_all
-
     items = [(r, {}) if isinstance(r, str) else r for r in rules]
     return union_all([permutation(spark, r, n, **p).withColumn("method", F.lit(r)) for r, p in items])
 
@@ -322,31 +320,30 @@ def number_rows(df: DataFrame, frame_cols: list[str], order_col: str) -> DataFra
     return df.withColumn("pos", big(F.row_number().over(w.orderBy(order_col)))).withColumn("n_rows", F.count("*").over(w))
 
 
-def _small(perm: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(perm) if max_rows <= BROADCAST_ROWS else perm
+def small_perm(perm: DataFrame) -> DataFrame:
+    """Broadcast a permutation table after counting it; a larger one is left to a shuffle join."""
+    return F.broadcast(perm) if perm.count() <= BROADCAST_ROWS else perm
 
 
-def reorder(frames: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id",
-            max_rows: int = 8192) -> DataFrame:
+def reorder(frames: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id") -> DataFrame:
     """Carry every row to its new position; padding appears as rows with NULL values.
 
-    Frames must hold one row per position 1..n_rows.  ``max_rows`` is the size
-    of ``perm``: within the broadcast bound the frames are not shuffled.
+    Frames must hold one row per position 1..n_rows.  While ``perm`` is within
+    the broadcast bound the frames are not shuffled.
     """
     extra = [c for c in perm.columns if c not in ("n_rows", "pos", "src")]
     # A padding cell is carried by one data row of its frame, in turn, so that
     # rows and padding leave the same equi-join.
     real = F.col("src") <= F.col("n_rows")
     carrier = F.when(real, F.col("src")).otherwise((F.col("src") - F.col("n_rows") - 1) % F.col("n_rows") + 1)
-    p = _small(perm.withColumn("_row", carrier), max_rows)
+    p = small_perm(perm.withColumn("_row", carrier))
     rows = frames.select(frame, "n_rows", F.col("pos").alias("_row"), *values).join(p, ["n_rows", "_row"])
     return rows.select(frame, "n_rows", *extra, "pos", "src", *[F.when(real, F.col(v)).alias(v) for v in values])
 
 
-def restore(reordered: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id",
-            max_rows: int = 8192) -> DataFrame:
+def restore(reordered: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id") -> DataFrame:
     """Undo ``reorder``: swap the two columns of the permutation and drop padding."""
-    back = _small(perm.where(F.col("src") <= F.col("n_rows")), max_rows)
+    back = small_perm(perm.where(F.col("src") <= F.col("n_rows")))
     return (
         reordered.select(frame, "n_rows", "pos", *values).join(back, ["n_rows", "pos"])
         .select(frame, "n_rows", F.col("src").alias("pos"), *values)
@@ -383,12 +380,6 @@ def perm_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(bad).alias("mismatches")).withColumn("equal", F.col("mismatches") == 0)
 
 
-__all__ = ["ARP_TABLE", "RULES", "Rule", "attach", "extension", "number_rows", "perm_equal", "perm_valid",
-           "permutation", "permutations", "reorder", "restore"]
-
-
 def union_draws(spark: SparkSession, rule: str, n: int, draws: int) -> DataFrame:
     """Several seeded draws of a random rule, with methods named rule#draw."""
-    from ..functions.dims import union_all
-
     return union_all([permutation(spark, rule, n, draw=d).withColumn("method", F.lit(f"{rule}#{d}")) for d in range(draws)])
