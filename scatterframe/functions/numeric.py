@@ -57,16 +57,15 @@ def gcd(a, b) -> Column:
 
 
 def modpow(base, exponent, modulus) -> Column:
-    """base^exponent mod modulus by squaring over 31 bits; modulus must stay below 2^31."""
+    """base^exponent mod modulus by squaring over the bits of the exponent; modulus must stay below 2^31."""
     m = as_col(modulus).cast("bigint")
     e = as_col(exponent).cast("bigint")
     seed = F.struct((F.lit(1).cast("bigint") % m).alias("r"), (as_col(base).cast("bigint") % m).alias("b"))
     return F.aggregate(
-        F.sequence(F.lit(0), F.lit(30)),
+        F.sequence(F.lit(0), F.floor(F.log2(F.greatest(e, F.lit(1)).cast("double"))).cast("int")),
         seed,
         lambda s, i: F.struct(
-            F.when(F.shiftrightunsigned(e, 0).bitwiseAND(F.pow(F.lit(2.0), i).cast("bigint")) != 0, s["r"] * s["b"] % m)
-            .otherwise(s["r"]).alias("r"),
+            F.when(F.getbit(e, i) == 1, s["r"] * s["b"] % m).otherwise(s["r"]).alias("r"),
             (s["b"] * s["b"] % m).alias("b"),
         ),
         lambda s: s["r"],

@@ -15,7 +15,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import BROADCAST_ROWS, union_all
+from ..functions.dims import BROADCAST_ROWS, spread, union_all
 from ..functions.numeric import big, hash32, idiv
 from . import shapes as sh
 
@@ -361,11 +361,12 @@ def perm_valid(perm: DataFrame, keys: list[str], within: list[str] | None = None
     Twins are counted among the permutations that share ``within`` (for example
     the rules of one frame), which are few.
     """
-    s = perm.groupBy(*keys).agg(
-        F.count("*").alias("n_out"), F.size(F.collect_set("src")).alias("n_src"), F.min("src").alias("lo"),
-        F.max("src").alias("hi"), F.sum((F.col("pos") == F.col("src")).cast("bigint")).alias("fixed_points"),
-        F.bit_xor(F.xxhash64("pos", "src")).alias("print"),
-    )
+    # One shuffle by permutation serves both levels of the grouping.
+    per_src = spread(perm, *(within or keys)).groupBy(*keys, "src").agg(
+        F.count("*").alias("c"), F.sum((F.col("pos") == F.col("src")).cast("bigint")).alias("f"), F.bit_xor(F.xxhash64("pos", "src")).alias("h"))
+    s = per_src.groupBy(*keys).agg(
+        F.sum("c").alias("n_out"), F.count("*").alias("n_src"), F.min("src").alias("lo"), F.max("src").alias("hi"),
+        F.sum("f").alias("fixed_points"), F.bit_xor("h").alias("print"))
     same = Window.partitionBy(*(within or []), "n_out", "print")
     return s.withColumn("copies", F.count("*").over(same)).select(
         *keys, "n_out", ((F.col("n_src") == F.col("n_out")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n_out"))).alias("bijection"),
