@@ -49,15 +49,15 @@ def row_key(*cols: str) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols]))
 
 
-def small(df: DataFrame, width: int, extra: str | None = None) -> bool:
-    """Whether ``df``, at ``width`` bytes a row besides its column ``extra``, may be broadcast."""
-    size = F.count(F.lit(1)) * width + (F.coalesce(F.sum(F.length(extra)), F.lit(0)) if extra else 0)
-    return df.agg(size.alias("b")).first()["b"] <= BROADCAST_BYTES
+def small(df: DataFrame, width: int, more: Column | None = None) -> bool:
+    """Whether ``df``, at ``width`` bytes a row and ``more`` besides, may be broadcast."""
+    each = F.lit(width) if more is None else F.lit(width) + F.coalesce(more, F.lit(0))
+    return df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
 
 
-def sized(df: DataFrame, width: int, extra: str | None = None) -> DataFrame:
+def sized(df: DataFrame, width: int, more: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, else as it is."""
-    return F.broadcast(df) if small(df, width, extra) else df
+    return F.broadcast(df) if small(df, width, more) else df
 
 
 def tasks(spark: SparkSession) -> int:
