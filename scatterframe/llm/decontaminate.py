@@ -69,10 +69,9 @@ def occurrences(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("rid", same.alias("hits")).where(F.size("hits") > 0)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: its words, hit words, items, and ``keep``'s columns."""
-    kept = [F.col(c).alias(f"_kept_{k}") for k, c in enumerate(keep)]
-    written = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), normal(F.col(text)).alias("norm"), *kept)
+def _marked(docs: DataFrame, items: DataFrame, size: int, text: str, item_key: str, item_text: str, *kept: Column) -> tuple[DataFrame, DataFrame]:
+    """(rid, n_words and ``kept`` of every row; what was found, by rid)."""
+    written = docs.select(F.monotonically_increasing_id().alias("rid"), normal(F.col(text)).alias("norm"), *kept)
     written = table(written.withColumn("n_words", F.size(words("norm")).cast("long")), "normal")
     found = windows(items, size, item_key, item_text)
     hits = table(occurrences(written, found), "hits")
@@ -82,8 +81,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str
     pairs = hits.select("rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["wid"]))).alias("wid")).join(owners, "wid").select("rid", "item_id").distinct()
     listed = F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256)
     by_item = pairs.groupBy("rid").agg(F.count(F.lit(1)).alias("n_items"), listed.alias("items_sha256"))
-    result = table(n_hit.join(by_item, "rid", "left"), "result")
-    rows = written.drop("norm").join(sized(result, 112), "rid", "left")
-    return rows.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *[F.col(f"_kept_{k}").alias(c) for k, c in enumerate(keep)])
+    return written.drop("norm"), sized(table(n_hit.join(by_item, "rid", "left"), "result"), 112)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row per document: its words, hit words and items."""
+    rows, result = _marked(docs, items, size, text, item_key, item_text, F.col(key).alias("doc_id"))
+    none = F.lit(0).cast("long")
+    return rows.join(result, "rid", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that hold no window."""
+    rows, result = _marked(docs, items, size, text, item_key, item_text, F.struct(*docs.columns).alias("kept"))
+    return rows.join(result, "rid", "left_anti").select("kept.*")

@@ -33,7 +33,7 @@ MOST_CHUNKS = 6
 #: Texts, by order of a hash, to which the field is fitted, and islands taken from them.
 SAMPLE_TEXTS = 1000
 SAMPLE_ISLANDS = 3000
-STEPS = 60
+STEPS = 200
 RATE = 0.5
 DECAY = 1e-3
 #: How much better than no span, in log odds, an added span must be.
