@@ -91,10 +91,10 @@ def field(spark):
 
 
 def test_field_parts_cards(field):
-    text = "on 4111111111111111 5500005555555559 and 1234567890123456 v4.0 +1 (017) 555-7713 10.0.0.1 end"
+    text = "on 4111111111111111 5500005555555559 and 1234567890123456 or v4.0 or 10.0.0.1 end"
     base, added = pii.find_spans(text, field)
-    got = {text[s:e]: k for k, s, e in base + added}
-    assert got == {"4111111111111111": "card", "5500005555555559": "card", "+1 (017) 555-7713": "phone", "10.0.0.1": "ip"}
+    assert base == [("ip", text.index("10.0"), text.index(" end"))]
+    assert {text[s:e]: k for k, s, e in added} == {"4111111111111111": "card", "5500005555555559": "card"}
 
 
 def test_gradient_is_the_slope_of_the_likelihood():
