@@ -2,49 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALT = 16
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row of a summary table, about: a word for each column and a short string for each text.
+_WIDTH = {"string": 32, "binary": 32}
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and read it from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; an own one, removed at the end, only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+        atexit.register(remove, spark, named)
+    return named.rstrip("/")
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    private one is made only where none is set, as in local tests.
-    """
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, if the session still lives."""
+    try:
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def attach(df: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, salt: int = SALT) -> DataFrame:
-    """Join a summary table to the rows it summarises.
+def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df``, counted, stay below ``most`` bytes."""
+    return df.count() * sum(_WIDTH.get(t, 16) for _, t in df.dtypes) <= most
+
+
+def attach(df: DataFrame, dim: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a summary table to the rows it summarises; NULL keys meet NULL keys.
 
-    ``dim`` is computed once and counted.  Up to ``max_rows`` it is broadcast,
-    so ``df`` is not shuffled; beyond that the join is salted, so that one hot
-    key is spread over ``salt`` tasks.  ``salt=1`` is for keys that hold few
-    rows each, such as the distinct values of a group.
+    ``dim`` is computed once and measured.  Up to ``most`` bytes it is broadcast,
+    so ``df`` is not shuffled; beyond that adaptive execution splits hot keys.
     """
     on = [on] if isinstance(on, str) else list(on)
     dim = settle(dim)
-    if dim.count() <= max_rows:
-        return df.join(F.broadcast(dim), on, how)
-    return salted_join(df, dim, on, how, salt) if salt > 1 else df.join(dim, on, how)
-
-
-def salted_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salt: int = SALT) -> DataFrame:
-    """Equi-join in which every key of ``df`` is spread over ``salt`` shuffle keys."""
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    small = fits_broadcast(dim, most)
+    dim = dim.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(dim[f"_on_{k}"]) for k in on])
+    return df.join(F.broadcast(dim) if small else dim, same, how).drop(*[f"_on_{k}" for k in on])
 
 
 def with_totals(df: DataFrame, keys: list[str], *aggs) -> DataFrame:

@@ -4,8 +4,7 @@ Everything starts from ``cdf``: one row per distinct value of a group with its
 count, the number of smaller rows and the group total.  Rows are pre-aggregated
 by value before the shuffle.  While every group holds at most ``piece_rows``
 distinct values, one window per group ranks them.  Beyond that, groups are cut
-at some of their own values (those with the smallest hash, so a rerun cuts
-alike), ranked piece by piece, and the piece offsets are added; no task sees a
+at a share of their own values (chosen by hash, so a rerun cuts alike), ranked piece by piece, and the piece offsets are added; no task sees a
 whole group.
 """
 
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from .dims import attach, settle
 from .numeric import as_col
 
-CUTS = 128
 PIECE_ROWS = 1_000_000
 
 
@@ -59,13 +57,12 @@ def _cdf_pieces(vc: DataFrame, keys: list[str], piece_rows: int) -> DataFrame:
     by = keys
     if not keys:
         by, vc = ["_g"], vc.withColumn("_g", F.lit(0))
-    # Knots exist only for groups above the bound, about one per piece_rows values.
+    # Knots exist only for groups above the bound.
     hot = vc.groupBy(*by).agg(F.count("*").alias("nv")).where(F.col("nv") > piece_rows)
-    pick = Window.partitionBy(*by).orderBy(F.xxhash64("v"), "v")
+    # A value is a knot by its hash alone: about four for every piece_rows values.
     knots = (
-        attach(vc.select(*by, "v"), hot, by)
-        .withColumn("rn", F.row_number().over(pick))
-        .where(F.col("rn") <= CUTS).where(F.col("rn") <= F.ceil(F.col("nv") / piece_rows))
+        attach(vc.select(*by, "v"), hot.select(*by), by)
+        .where(F.pmod(F.xxhash64("v"), F.lit(max(1, piece_rows // 4))) == 0)
         .groupBy(*by).agg(F.array_sort(F.collect_list("v")).alias("knots"))
     )
     pieces = attach(vc, knots, by, "left").withColumn(
@@ -152,7 +149,7 @@ def spearman_rows(df: DataFrame, keys: list[str], x, y, piece_rows: int = PIECE_
         ranks = cdf(side, by, None, piece_rows=piece_rows).select(
             *by, F.col("v").alias(c), (F.col("below") + (F.col("cnt") - F.col("total")) / 2.0).alias(f"r{c}")
         )
-        rows = attach(rows, ranks, [*by, c], salt=1)
+        rows = attach(rows, ranks, [*by, c])
     return _weighted_corr(rows, by).drop(*drop)
 
 

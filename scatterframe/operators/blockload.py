@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, big, clip, idiv
-from .reorder import small_perm
+from .reorder import ruled, small_perm
 
 ID = ["method", "frame_id"]
 
@@ -26,7 +26,7 @@ def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, dense: bool =
     rows = frames.select("frame_id", "n_rows", "pos", "hit")
     if not dense:
         rows = rows.where((F.col("hit") == 1) | (F.col("pos") == 1))
-    rows = rows.join(small_perm(perm), ["n_rows", "pos"])
+    rows = rows.join(small_perm(perm), ["n_rows", "pos"], "left").withColumn("src", ruled("src"))
     cw = lambda c: idiv(F.col(c) - 1, codeword) + 1
     hit = F.col("hit").cast("bigint")
     both = F.array(
@@ -167,7 +167,7 @@ def sustainability(s: DataFrame) -> DataFrame:
 
 def spread_map(frames: DataFrame, perm: DataFrame, codeword: int) -> DataFrame:
     """Where the hits of each frame land: distinct blocks before and after, and the spread in percent."""
-    rows = frames.where(F.col("hit") == 1).select("frame_id", "n_rows", "pos").join(small_perm(perm), ["n_rows", "pos"])
+    rows = frames.where(F.col("hit") == 1).select("frame_id", "n_rows", "pos").join(small_perm(perm), ["n_rows", "pos"], "left").withColumn("src", ruled("src"))
     b, a = idiv(F.col("pos") - 1, codeword), idiv(F.col("src") - 1, codeword)
     return rows.groupBy(*ID).agg(
         F.count("*").alias("hits"), F.count_distinct(b).alias("blocks_before"), F.count_distinct(a).alias("blocks_after"),

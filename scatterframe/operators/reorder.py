@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from math import isqrt
+from math import gcd, isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import BROADCAST_ROWS, spread, union_all
+from ..functions.dims import fits_broadcast, spread, union_all
 from ..functions.numeric import big, hash32, idiv
 from . import shapes as sh
 
@@ -53,6 +53,10 @@ class Rule:
     params: dict[str, int] = field(default_factory=dict)
 
 
+def _refuse(why: str):
+    raise ValueError(why)
+
+
 def _grid(n_out: int, src, **params) -> Rule:
     return Rule(n_out, src, params=params)
 
@@ -117,7 +121,10 @@ def spiral(n: int, extend: float = 0.5) -> Rule:
     return Rule(l * k, lambda q: q + 1, order, params={"l": l, "k": k})
 
 
-def hierarchical(n: int) -> Rule:
+def hierarchical(n: int, extend: float = 0.5) -> Rule:
+    """Coarse and fine block; the length is raised until both split."""
+    fits = lambda m: 1 < sh.largest_divisor(m) < m and 1 < sh.largest_divisor(m // sh.largest_divisor(m)) < m // sh.largest_divisor(m)
+    n = next((m for m in range(n, n + max(1, round(n * extend)) + 1) if fits(m)), None) or _refuse(f"no length near {n} splits twice")
     qr = sh.largest_divisor(n)
     r = n // qr
     s = sh.coprime_stride(r)
@@ -161,15 +168,17 @@ def latin_square(n: int) -> Rule:
     return Rule(k * k, src, lambda q: [q], keep=n, params={"k": k})
 
 
-def time_depth(n: int, depth: int = 1) -> Rule:
-    sym = sh.largest_divisor(n)
-    sc = n // sym
+def time_depth(n: int, depth: int = 1, extend: float = 0.5) -> Rule:
+    """At least three symbols; the length is raised until it splits so."""
+    sym, sc = sh.first_splittable(n, extend, 3)
+    if gcd(depth, sym) != 1:
+        _refuse(f"depth {depth} shares a factor with {sym} symbols")
 
     def src(q):
         s = q % sc
         return ((idiv(q, sc) + s * depth) % sym) * sc + s + 1
 
-    return _grid(n, src, sc=sc, sym=sym, depth=depth)
+    return _grid(sym * sc, src, sc=sc, sym=sym, depth=depth)
 
 
 def freq_determ(n: int, extend: float = 0.5) -> Rule:
@@ -212,12 +221,20 @@ def prime(n: int) -> Rule:
 
 
 def quadratic(n: int, f1: int, f2: int) -> Rule:
+    if len({(f1 * q + f2 * q * q) % n for q in range(n)}) != n:
+        _refuse(f"{f1}, {f2} give no permutation of {n} rows")
     return _grid(n, lambda q: (f1 * q + f2 * (q * q % n)) % n + 1, f1=f1, f2=f2)
 
 
 def convolutional(n: int, branches: int | None = None, depth: int = 1) -> Rule:
+    """A prime length takes one row of padding; the delay is 1 to rows - 1."""
+    n += int(branches is None and len(sh.prime_factors(n)) == 1)
     m = branches or sh.largest_divisor(n)
+    if n % m:
+        _refuse(f"{m} branches do not divide {n} rows")
     r = n // m
+    if r > 1 and not 1 <= depth < r:
+        _refuse(f"delay {depth} is not within 1 to {r - 1}")
 
     def src(q):
         b = q % m
@@ -227,7 +244,9 @@ def convolutional(n: int, branches: int | None = None, depth: int = 1) -> Rule:
 
 
 def convolutional_matched(n: int, codeword: int = 15) -> Rule:
-    return convolutional(n, codeword, max(1, n // codeword // codeword))
+    """Branches of a codeword's length, or of the nearest divisor's where that does not divide."""
+    m = min((d for d in range(2, n) if n % d == 0), key=lambda d: (abs(d - codeword), d), default=None) if n % codeword else codeword
+    return convolutional(n, m, max(1, n // m // m)) if m else convolutional(n)
 
 
 def arp(n: int) -> Rule:
@@ -241,6 +260,8 @@ def arp(n: int) -> Rule:
 def drp(n: int, p: int, s: int = 0, read: list[int] | None = None, write: list[int] | None = None) -> Rule:
     m = len(read or write or [0, 1, 2, 3])
     r_, w_ = read or list(range(m)), write or list(range(m))
+    if gcd(p, n) != 1 or n % m or sorted(r_) != list(range(m)) or sorted(w_) != list(range(m)):
+        _refuse(f"stride {p} and dithers of {m} give no permutation of {n} rows")
     at = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
 
     def src(q):
@@ -314,6 +335,12 @@ def permutations(spark: SparkSession, rules, n: int) -> DataFrame:
     return union_all([permutation(spark, r, n, **p).withColumn("method", F.lit(r)) for r, p in items])
 
 
+def permutations_of(frames: DataFrame, rules) -> DataFrame:
+    """The rules for every frame length that occurs, of which there are few."""
+    lengths = sorted(r["n_rows"] for r in frames.select("n_rows").distinct().collect())
+    return union_all([permutations(frames.sparkSession, rules, n) for n in lengths])
+
+
 def number_rows(df: DataFrame, frame_cols: list[str], order_col: str) -> DataFrame:
     """1-based row number inside each frame and the frame length; frames are bounded."""
     w = Window.partitionBy(*frame_cols)
@@ -321,14 +348,20 @@ def number_rows(df: DataFrame, frame_cols: list[str], order_col: str) -> DataFra
 
 
 def small_perm(perm: DataFrame) -> DataFrame:
-    """Broadcast a permutation table after counting it; a larger one is left to a shuffle join."""
-    return F.broadcast(perm) if perm.count() <= BROADCAST_ROWS else perm
+    """Broadcast a permutation table after measuring it; a larger one is left to a shuffle join."""
+    return F.broadcast(perm) if fits_broadcast(perm) else perm
+
+
+def ruled(col: str) -> Column:
+    """``col`` of a joined rule; an error where no rule has the frame's length."""
+    return F.coalesce(F.col(col), F.raise_error(F.concat(F.lit("no rule for a frame of length "), F.col("n_rows").cast("string"))).cast("bigint")).alias(col)
 
 
 def reorder(frames: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id") -> DataFrame:
     """Carry every row to its new position; padding appears as rows with NULL values.
 
-    Frames must hold one row per position 1..n_rows.  While ``perm`` is within
+    Frames must hold one row per position 1..n_rows, and every frame length must
+    have its rule, else the query fails.  While ``perm`` is within
     the broadcast bound the frames are not shuffled.
     """
     extra = [c for c in perm.columns if c not in ("n_rows", "pos", "src")]
@@ -337,16 +370,16 @@ def reorder(frames: DataFrame, perm: DataFrame, values: list[str], frame: str =
     real = F.col("src") <= F.col("n_rows")
     carrier = F.when(real, F.col("src")).otherwise((F.col("src") - F.col("n_rows") - 1) % F.col("n_rows") + 1)
     p = small_perm(perm.withColumn("_row", carrier))
-    rows = frames.select(frame, "n_rows", F.col("pos").alias("_row"), *values).join(p, ["n_rows", "_row"])
-    return rows.select(frame, "n_rows", *extra, "pos", "src", *[F.when(real, F.col(v)).alias(v) for v in values])
+    rows = frames.select(frame, "n_rows", F.col("pos").alias("_row"), *values).join(p, ["n_rows", "_row"], "left")
+    return rows.select(frame, "n_rows", *extra, ruled("pos"), "src", *[F.when(real, F.col(v)).alias(v) for v in values])
 
 
 def restore(reordered: DataFrame, perm: DataFrame, values: list[str], frame: str = "frame_id") -> DataFrame:
     """Undo ``reorder``: swap the two columns of the permutation and drop padding."""
     back = small_perm(perm.where(F.col("src") <= F.col("n_rows")))
     return (
-        reordered.select(frame, "n_rows", "pos", *values).join(back, ["n_rows", "pos"])
-        .select(frame, "n_rows", F.col("src").alias("pos"), *values)
+        reordered.where(F.col("src") <= F.col("n_rows")).select(frame, "n_rows", "pos", *values).join(back, ["n_rows", "pos"], "left")
+        .select(frame, "n_rows", ruled("src").alias("pos"), *values)
     )
 
 

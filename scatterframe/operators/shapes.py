@@ -196,10 +196,15 @@ def primitive_roots(prime_table: DataFrame, tries: int = 16) -> DataFrame:
     return spread(qs, "p").withColumn("root", head).select("p", tail.alias("root"))
 
 
-def cyclic_spread(p: Column, n: Column, window: int = 16) -> Column:
-    """min over lags 1..window of lag + cyclic distance, for one permutation held as an array."""
+def all_lags(n: Column) -> Column:
+    """Lags beyond which lag + distance cannot be the least: some lag up to sqrt(n) has a distance below 2 sqrt(n)."""
+    return F.sequence(F.lit(1), F.least((n - 1).cast("int"), (F.ceil(2 * F.sqrt(n - 1.0)) + 1).cast("int")))
+
+
+def cyclic_spread(p: Column, n: Column) -> Column:
+    """min over lags of lag + cyclic distance, for one permutation held as an array."""
     p = as_col(p)
-    lags = F.sequence(F.lit(1), F.least(F.lit(window), (n - 1).cast("int")))
+    lags = all_lags(n)
 
     def at_lag(d):
         gaps = F.zip_with(F.slice(p, F.lit(1), F.size(p) - d), F.slice(p, d + 1, F.size(p) - d), lambda u, v: F.abs(v - u))
@@ -208,12 +213,11 @@ def cyclic_spread(p: Column, n: Column, window: int = 16) -> Column:
     return F.array_min(F.transform(lags, at_lag))
 
 
-def qpp_search(lengths: DataFrame, window: int = 16, budget: int = 20_000) -> DataFrame:
-    """Best quadratic map f1*x + f2*x^2 mod n by windowed cyclic spread, one row per length.
+def qpp_search(lengths: DataFrame) -> DataFrame:
+    """Best quadratic map f1*x + f2*x^2 mod n by cyclic spread, one row per length.
 
-    f1 is coprime to n and f2 a multiple of the radical of n.  The first
-    ``budget`` bijective pairs in (f1, f2) order are compared, as the search
-    being reproduced declares; earlier pairs win ties.
+    f1 is coprime to n and f2 a multiple of the radical of n.  All bijective
+    pairs are compared; the first in (f1, f2) order wins ties.
     """
     n, f1, f2 = F.col("n"), F.col("f1"), F.col("f2")
     base = lengths.select(big("n").alias("n")).distinct()
@@ -228,12 +232,9 @@ def qpp_search(lengths: DataFrame, window: int = 16, budget: int = 20_000) -> Da
         .withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n))
         .where(F.size(F.array_distinct("map")) == n)
     )
-    order = Window.partitionBy("n").orderBy("f1", "f2")
-    kept = cand.select("n", "f1", "f2").withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= budget)
-    scored = spread(kept, "n", "f1", "f2").withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n)).withColumn(
-        "spread", cyclic_spread("map", n, window))
+    scored = cand.withColumn("spread", cyclic_spread("map", n)).drop("map")
     return scored.groupBy("n").agg(
-        F.max_by(F.struct("f1", "f2", "spread"), F.struct("spread", -F.col("seq"))).alias("b"), F.count("*").alias("tried")
+        F.max_by(F.struct("f1", "f2", "spread"), F.struct("spread", -f1, -f2)).alias("b"), F.count("*").alias("tried")
     ).select("n", F.col("b.f1").alias("f1"), F.col("b.f2").alias("f2"), F.col("b.spread").alias("spread"), "tried")
 
 
@@ -246,7 +247,7 @@ def snew_array(p: Column, lags: Column) -> Column:
     return F.array_min(F.transform(lags, at_lag))
 
 
-def dither_search(lengths: DataFrame, window: int = 16) -> DataFrame:
+def dither_search(lengths: DataFrame) -> DataFrame:
     """Coordinate search of the dithered relative-prime map, all lengths side by side.
 
     Eight steps: stride, phase, read dither, write dither, twice over.  A step
@@ -277,7 +278,7 @@ def dither_search(lengths: DataFrame, window: int = 16) -> DataFrame:
         (bank, {"ra": lambda c: c["a"], "rb": lambda c: c["b"]}),
         (bank, {"wa": lambda c: c["a"], "wb": lambda c: c["b"]}),
     ]
-    lags = F.sequence(F.lit(1), F.least(F.lit(window), (n - 1).cast("int")))
+    lags = all_lags(n)
     for _ in range(2):
         for cands, sets in coords:
             tried = spread(now.select("*", F.posexplode(cands).alias("i", "c")), "n", "i")
@@ -327,7 +328,7 @@ def arp_offset_search(lengths: DataFrame) -> DataFrame:
     n = F.col("n")
     zero = F.lit(0).cast("bigint")
     steps = lambda lo, by: F.sequence(lo, n - 1, F.lit(by).cast("bigint"))
-    lags = F.sequence(F.lit(1), F.least((n - 1).cast("int"), (F.ceil(2 * F.sqrt(n - 1.0)) + 1).cast("int")))
+    lags = all_lags(n)
     firsts = arp_strides(lengths.where(n % 4 == 0)).withColumn("p1", F.explode(steps(zero, 2))).withColumn("p2", F.explode(steps(zero, 4)))
     cand = spread(firsts, "n", "p1", "p2").withColumn("p3", F.explode(steps(F.col("p1") % 4, 4)))
     image = F.transform(F.sequence(zero, n - 1), lambda j: arp_image(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"), n, j))

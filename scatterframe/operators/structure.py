@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import BROADCAST_ROWS, settle, spread
+from ..functions.dims import BROADCAST_BYTES, settle, spread, union_all
 from ..functions.numeric import EPS, big, idiv
 
 
@@ -191,17 +191,20 @@ def closed_blocks(perm: DataFrame, keys: list[str]) -> DataFrame:
     return ends.select(*keys, width.alias("w")).groupBy(*keys).agg(F.count("*").alias("blocks"), F.max("w").alias("widest"))
 
 
-def pairwise_distance(vectors: DataFrame, id_col: str, vec: str, others: DataFrame, other_id: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pairwise_distance(vectors: DataFrame, id_col: str, vec: str, others: DataFrame, other_id: str, most: int = BROADCAST_BYTES) -> DataFrame:
     """Euclidean distance of every vector to every row of a bounded second set.
 
-    The second set is counted first and travels with each row as one array; it
-    must fit in ``max_rows``, as the result has one row per combination.
+    The result has a row per combination.  The second set is measured: up to
+    ``most`` bytes it travels with each row as one array; a larger one is dealt
+    with in blocks of that size, one after another.
     """
     o = settle(others.select(F.col(other_id).cast("bigint").alias("id"), F.col("vec")))
-    if o.count() > max_rows:
-        raise ValueError("second set too large to be paired with every vector")
-    arr = o.agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("a")).scalar()
-    d = vectors.select(id_col, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v"), F.inline(arr))
+    size = o.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
+    blocks = 1 + size // most
+    parts = o.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("_a"))
+    arrays = [parts.where(F.col("_b") == b).select("_a").scalar() for b in range(blocks)]
+    left = vectors.select(id_col, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v"))
+    d = union_all([left.select("*", F.inline(a)) for a in arrays])
     sq = F.aggregate(F.zip_with("_v", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return d.select(id_col, F.col("id").alias(other_id), F.sqrt(sq).alias("distance"))
 

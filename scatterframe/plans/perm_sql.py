@@ -115,4 +115,11 @@ def perms_sql(items, n: int, name: str = "perm") -> str:
         f"SELECT '{r}' AS method, pos, src FROM ({perm_sql(r, n, **kw)})" for r, kw in items) + ")"
 
 
-__all__ = ["hash_sql", "perm_sql", "perms_sql", "sh"]
+def perms_by_length(items, lengths, name: str = "perm") -> str:
+    """The same for several frame lengths, with n_rows."""
+    items = [(r, {}) if isinstance(r, str) else r for r in items]
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"SELECT '{r}' AS method, CAST({n} AS BIGINT) AS n_rows, pos, src FROM ({perm_sql(r, n, **kw)})" for n in lengths for r, kw in items) + ")"
+
+
+__all__ = ["hash_sql", "perm_sql", "perms_by_length", "perms_sql", "sh"]

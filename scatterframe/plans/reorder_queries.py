@@ -1,13 +1,14 @@
-"""Every reorder rule applied to every whole frame of a table."""
+"""Every reorder rule applied to every frame of a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dims import settle
 from ..functions.numeric import big, rnd
 from ..operators import reorder as ro
 from ..sources.tables import EVENT_W, ORDER_W, frames_events, frames_orders, sql_frames
-from .perm_sql import perm_sql, perms_sql
+from .perm_sql import perms_by_length, perms_sql
 from .registry import register
 
 DRP = {"p": 23, "s": 1, "read": [3, 0, 1, 2], "write": [0, 3, 2, 1]}
@@ -41,25 +42,27 @@ RULE_QUERIES = [
 ]
 
 
-def frames(spark, sf, source):
-    return frames_events(spark, sf) if source == "events" else frames_orders(spark, sf)
+#: Frame lengths of the tables: the width, and the last frames of the small scale factors.
+LENGTHS = {"events": (EVENT_W,), "orders": (ORDER_W, 120, 60)}
+#: Rules with parameters for listed lengths only; they take whole frames.
+LISTED = {"arp"}
 
 
-def width(source):
-    return EVENT_W if source == "events" else ORDER_W
+def frames(spark, sf, source, whole=False):
+    return frames_events(spark, sf, whole=whole) if source == "events" else frames_orders(spark, sf, whole=whole)
 
 
 def _add(name, rule, source, kw):
-    n = width(source)
-    sql = f"""WITH {sql_frames(source=source)}, perm AS ({perm_sql(rule, n, **kw)}),
-    ids AS (SELECT DISTINCT frame_id FROM f)
-    SELECT i.frame_id, p.pos, p.src, f.value FROM ids i CROSS JOIN perm p
+    whole = rule in LISTED
+    sql = f"""WITH {sql_frames(source=source, whole=whole)}, {perms_by_length([(rule, kw)], LENGTHS[source][: 1 if whole else None])},
+    ids AS (SELECT DISTINCT frame_id, n_rows FROM f)
+    SELECT i.frame_id, p.pos, p.src, f.value FROM ids i JOIN perm p ON p.n_rows = i.n_rows
     LEFT JOIN f ON f.frame_id = i.frame_id AND f.pos = p.src"""
 
     @register(name, sql)
     def run(spark, sf):
-        perm = ro.permutation(spark, rule, n, **kw)
-        return ro.reorder(frames(spark, sf, source), perm, ["value"]).select("frame_id", "pos", "src", "value")
+        f = frames(spark, sf, source, whole)
+        return ro.reorder(f, ro.permutations_of(f, [(rule, kw)]), ["value"]).select("frame_id", "pos", "src", "value")
 
 
 for _q in RULE_QUERIES:
@@ -78,7 +81,7 @@ def restore(spark, sf):
         "frame_id", "pos", "value", big((F.col("value") != F.col("was")).cast("int")).alias("moved_back_wrong"))
 
 
-ALL_240 = [(r, kw) for _, r, s, kw in RULE_QUERIES if s == "orders"] + [("identity", {})]
+ALL_240 = [(r, kw) for _, r, s, kw in RULE_QUERIES if s == "orders" and r not in LISTED] + [("identity", {})]
 ALL_200 = ["block", "matrix", "snake", "helical", "helicalScan", "diagonal", "spiral", "hierarchical", "multiDim",
            "latinSquare", "time", "freqDeterm", "goldenRP", "prime", "convolutional", "S", "identity"]
 
@@ -98,10 +101,10 @@ def extension(spark, sf):
         "method", "frames", "hits", "n_out", rnd("be").alias("be"), (F.col("frames") * F.col("n_out")).alias("rows_sent"))
 
 
-@register("I24_perm_valid", f"""WITH {sql_frames(source='orders')}, {perms_sql(ALL_240, ORDER_W)},
-    ids AS (SELECT DISTINCT frame_id FROM f),
-    got AS (SELECT method, i.frame_id, p.pos, p.src, g.value FROM ids i CROSS JOIN perm p
-            JOIN f g ON g.frame_id = i.frame_id AND g.pos = p.src),
+@register("I24_perm_valid", f"""WITH {sql_frames(source='orders', whole=False)}, {perms_by_length(ALL_240, LENGTHS['orders'])},
+    ids AS (SELECT DISTINCT frame_id, n_rows FROM f),
+    got AS (SELECT method, i.frame_id, p.pos, p.src, g.value FROM ids i JOIN perm p ON p.n_rows = i.n_rows
+            LEFT JOIN f g ON g.frame_id = i.frame_id AND g.pos = p.src),
     fp AS (SELECT method, frame_id, count(*) AS n_out, count(DISTINCT src) AS n_src, sum((pos = src)::INT) AS fx,
            string_agg(CAST(src AS VARCHAR), ',' ORDER BY pos) AS s FROM got GROUP BY ALL),
     dup AS (SELECT frame_id, s, count(*) AS copies FROM fp GROUP BY ALL)
@@ -109,13 +112,13 @@ def extension(spark, sf):
     CAST(fx AS BIGINT) AS fixed_points, CAST(copies AS BIGINT) AS copies FROM fp JOIN dup USING (frame_id, s)""")
 def perm_valid(spark, sf):
     """Checked on the reordered rows themselves, frame by frame, for every rule."""
-    f = frames_orders(spark, sf)
-    moved = ro.reorder(f, ro.permutations(spark, ALL_240, ORDER_W), [])
+    f = frames_orders(spark, sf, whole=False)
+    moved = ro.reorder(f, settle(ro.permutations_of(f, ALL_240)), [])
     return ro.perm_valid(moved, ["method", "frame_id"], ["frame_id"])
 
 
-@register("I25_perm_equal", f"""WITH {sql_frames(source='orders')}, {perms_sql(ALL_240, ORDER_W)},
-    g AS (SELECT f.frame_id, method, p.pos, p.src FROM f JOIN perm p ON f.pos = p.src),
+@register("I25_perm_equal", f"""WITH {sql_frames(source='orders', whole=False)}, {perms_by_length(ALL_240, LENGTHS['orders'])},
+    g AS (SELECT f.frame_id, method, p.pos, p.src FROM f JOIN perm p ON f.pos = p.src AND f.n_rows = p.n_rows),
     w AS (SELECT frame_id, pos, row_number() OVER (PARTITION BY frame_id ORDER BY (pos - 1) % 15, pos) AS bpos FROM f)
     SELECT g.method, g.frame_id, count(*) AS rows, CAST(sum((w.pos <> g.src)::INT) AS BIGINT) AS mismatches,
     sum((w.pos <> g.src)::INT) = 0 AS equal
@@ -124,9 +127,9 @@ def perm_equal(spark, sf):
     """Rule tables against the order Spark gives by sorting each frame on (column, row)."""
     from pyspark.sql import Window
 
-    f = frames_orders(spark, sf)
+    f = frames_orders(spark, sf, whole=False)
     w = Window.partitionBy("frame_id").orderBy((F.col("pos") - 1) % 15, "pos")
     sorted_ = f.select("frame_id", F.col("pos").alias("src"), big(F.row_number().over(w)).alias("pos"))
-    rules = ro.reorder(f, ro.permutations(spark, ALL_240, ORDER_W), [])
+    rules = ro.reorder(f, settle(ro.permutations_of(f, ALL_240)), [])
     by_rule = sorted_.withColumn("method", F.explode(F.array(*[F.lit(r) for r, _ in ALL_240])))
     return ro.perm_equal(rules, by_rule, ["method", "frame_id"])

@@ -65,7 +65,7 @@ def f5(spark, sf):
 @register("F6_qpp_search", f"""WITH {SQL_PART}, rd AS (SELECT n, CAST(product(d) AS BIGINT) AS rad FROM ln JOIN range(2, 1000) r(d) ON d <= n AND n % d = 0 WHERE NOT EXISTS (SELECT 1 FROM range(2, 100) s(e) WHERE e * e <= d AND d % e = 0) GROUP BY n),
   ca AS (SELECT n, f1, f2 FROM rd, LATERAL (SELECT unnest(range(1, n)) AS f1), LATERAL (SELECT unnest(range(0, n, rad)) AS f2) WHERE gcd(f1, n) = 1),
   mp AS (SELECT n, f1, f2, x, (f1 * x + f2 * x * x) % n AS y FROM ca, LATERAL (SELECT unnest(range(0, n)) AS x)), ok AS (SELECT n, f1, f2 FROM mp GROUP BY ALL HAVING count(DISTINCT y) = n),
-  sp AS (SELECT n, f1, f2, min(b.x - a.x + least(abs(b.y - a.y), n - abs(b.y - a.y))) AS spread FROM ok JOIN mp a USING (n, f1, f2) JOIN mp b USING (n, f1, f2) WHERE b.x > a.x AND b.x - a.x <= 16 GROUP BY ALL),
+  sp AS (SELECT n, f1, f2, min(b.x - a.x + least(abs(b.y - a.y), n - abs(b.y - a.y))) AS spread FROM ok JOIN mp a USING (n, f1, f2) JOIN mp b USING (n, f1, f2) WHERE b.x > a.x GROUP BY ALL),
   bs AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY spread DESC, f1, f2) AS r, count(*) OVER (PARTITION BY n) AS tried FROM sp)
   SELECT part, n, f1, f2, spread, tried FROM pl JOIN bs USING (n) WHERE r = 1""")
 def f6(spark, sf):
@@ -74,7 +74,31 @@ def f6(spark, sf):
     return d.select("part", "n", "f1", "f2", big("spread").alias("spread"), "tried")
 
 
-@register("F7_dither_search")
+def _dither_sql() -> str:
+    """The eight steps one after another; every step is a table of all its candidates' scores over all lags."""
+    bank = "(SELECT list({'a': a, 'b': b} ORDER BY a, b) FROM (SELECT unnest(range(1, m)) AS a) x, (SELECT unnest(range(0, m)) AS b) y WHERE gcd(a, m) = 1)"
+    strides = "list_filter(range(greatest(2, floor(sqrt(n) / 2))::BIGINT, least(n - 2, ceil(4 * sqrt(n)))::BIGINT + 1), lambda c: gcd(c, n) = 1)"
+    coords = [(strides, {"p": "c"}), ("range(0, m)", {"s": "c"}), (bank, {"ra": "c.a", "rb": "c.b"}), (bank, {"wa": "c.a", "wb": "c.b"})]
+    names = ("p", "s", "ra", "rb", "wa", "wb")
+    out = [f"""st0 AS (SELECT n, m, ({strides})[1] AS p, 0::BIGINT AS s, 1::BIGINT AS ra, 0::BIGINT AS rb, 1::BIGINT AS wa, 0::BIGINT AS wb, -1::BIGINT AS best
+      FROM (SELECT n, CASE WHEN n > 1000 AND n % 16 = 0 THEN 16 WHEN n > 200 AND n % 8 = 0 THEN 8 ELSE 4 END::BIGINT AS m FROM ln WHERE n >= 12 AND n % 4 = 0))"""]
+    for k in range(8):
+        cands, sets = coords[k % 4]
+        new = ", ".join(f"{sets[c]} AS {c}" if c in sets else c for c in names)
+        iw = "(m * (i // m) + (wa * (i % m) + wb) % m)"
+        ib = f"((s + {iw} * p) % n)"
+        out += [
+            f"c{k} AS (SELECT * EXCLUDE (cs), unnest(cs) AS c, unnest(range(0, len(cs))) AS k FROM (SELECT *, {cands} AS cs FROM st{k}))",
+            f"n{k} AS (SELECT n, m, best, k, {new} FROM c{k})",
+            f"a{k} AS (SELECT *, list_transform(range(0, n), lambda i: m * ({ib} // m) + (ra * ({ib} % m) + rb) % m) AS a FROM n{k})",
+            f"v{k} AS (SELECT * EXCLUDE (a), list_min(list_transform(range(1, n), lambda d: d + list_min(list_transform(range(1, n - d + 1), lambda j: abs(a[j + d] - a[j]))))) AS v FROM a{k})",
+            f"w{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY v DESC, k) AS r FROM v{k}) WHERE r = 1)",
+            f"st{k + 1} AS (SELECT n, o.m, " + ", ".join(f"CASE WHEN w.v > o.best THEN w.{c} ELSE o.{c} END AS {c}" if c in sets else f"o.{c}" for c in names) + f", greatest(o.best, w.v) AS best FROM st{k} o JOIN w{k} w USING (n))",
+        ]
+    return f"WITH {SQL_PART}, {', '.join(out)} SELECT part, n, m, p, s, ra, rb, wa, wb, best FROM pl JOIN st8 USING (n)"
+
+
+@register("F7_dither_search", _dither_sql())
 def f7(spark, sf):
     s = part_lengths(spark, sf).where((F.col("n") >= 12) & (F.col("n") % 4 == 0))
     return s.join(sh.dither_search(s), "n").select("part", "n", "m", "p", "s", "ra", "rb", "wa", "wb", "best")

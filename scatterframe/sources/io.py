@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dims import attach
+from ..functions.dims import attach, remove, shared_dir
 from ..functions.numeric import as_col, big, finite
 
 # Condition names look like <variable>_<regime>_<grid>_<yymmdd>_<version>.
@@ -22,9 +22,10 @@ SCORECARD = T.StructType([
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder the cluster shares; a private one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/tables-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
+    """A fresh path in the folder the cluster shares, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
 def name_parts(name) -> dict[str, Column]:
@@ -78,7 +79,7 @@ def decode_category(df: DataFrame, dim: DataFrame, col: str) -> DataFrame:
 
 def export_csv_gz(df: DataFrame, path: str, allow: DataFrame, drop: list[str] = (), col: str = "method") -> None:
     """Write gzip CSV after dropping rows; refuses when a name outside the allow-list remains."""
-    kept = df.where(~F.col(col).isin(list(drop))) if drop else df
+    kept = df.where(~F.coalesce(F.col(col).isin(list(drop)), F.lit(False))) if drop else df
     extra = kept.select(col).distinct().join(allow.select(col), col, "left_anti").limit(20)
     names = [r[0] for r in extra.toLocalIterator()]
     if names:

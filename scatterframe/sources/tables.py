@@ -20,22 +20,27 @@ def hundredths(c: str) -> Column:
     return F.floor(F.col(c) * 100 + 0.5).cast("bigint")
 
 
-def _frames(df: DataFrame, key: str, width: int, hit, value: str) -> DataFrame:
-    """Whole frames of ``width`` consecutive keys; keys run 0..n-1 without gaps."""
-    last = df.agg(idiv(F.max(key) + 1, width).alias("n")).select("n").scalar()
+def _frames(df: DataFrame, key: str, width: int, hit, value: str, whole: bool) -> DataFrame:
+    """Frames of ``width`` consecutive keys; keys run 0..n-1 without gaps.
+
+    The last frame is shorter where the width does not divide the table; with
+    ``whole`` (designs that need equal frames) it is left out.
+    """
+    rows = df.agg(big(F.max(key) + 1).alias("n")).select("n").scalar()
     fid = idiv(F.col(key), width)
-    return df.where(fid < last).select(
+    frames = df.select(
         fid.alias("frame_id"), (big(key) % width + 1).alias("pos"),
-        F.lit(width).cast("bigint").alias("n_rows"), hit.cast("int").alias("hit"), F.col(value).alias("value"),
+        F.least(F.lit(width).cast("bigint"), rows - fid * width).alias("n_rows"), hit.cast("int").alias("hit"), F.col(value).alias("value"),
     )
+    return frames.where(F.col("n_rows") == width) if whole else frames
 
 
-def frames_events(spark, sf, width: int = EVENT_W) -> DataFrame:
-    return _frames(table(spark, sf, "events"), "event_id", width, F.col("event_type") == "error", "value")
+def frames_events(spark, sf, width: int = EVENT_W, whole: bool = True) -> DataFrame:
+    return _frames(table(spark, sf, "events"), "event_id", width, F.col("event_type") == "error", "value", whole)
 
 
-def frames_orders(spark, sf, width: int = ORDER_W) -> DataFrame:
-    return _frames(table(spark, sf, "orders"), "o_orderkey", width, F.col("o_orderstatus") == "F", "o_totalprice")
+def frames_orders(spark, sf, width: int = ORDER_W, whole: bool = True) -> DataFrame:
+    return _frames(table(spark, sf, "orders"), "o_orderkey", width, F.col("o_orderstatus") == "F", "o_totalprice", whole)
 
 
 def obs(spark, sf) -> DataFrame:
@@ -68,16 +73,16 @@ def kpi_in(spark, sf) -> DataFrame:
 
 # --- the same bindings for the oracle side -------------------------------
 
-def sql_frames(name: str = "f", source: str = "events", width: int | None = None) -> str:
+def sql_frames(name: str = "f", source: str = "events", width: int | None = None, whole: bool = True) -> str:
     tab, key, hit, val, w = {
         "events": ("events", "event_id", "event_type = 'error'", "value", EVENT_W),
         "orders": ("orders", "o_orderkey", "o_orderstatus = 'F'", "o_totalprice", ORDER_W),
     }[source]
     w = width or w
     return (
-        f"{name} AS (SELECT {key} // {w} AS frame_id, {key} % {w} + 1 AS pos, {w} AS n_rows, "
-        f"CAST({hit} AS INTEGER) AS hit, {val} AS value FROM {tab} "
-        f"WHERE {key} // {w} < (SELECT (max({key}) + 1) // {w} FROM {tab}))"
+        f"{name} AS (SELECT {key} // {w} AS frame_id, {key} % {w} + 1 AS pos, CAST(least({w}, total - {key} // {w} * {w}) AS BIGINT) AS n_rows, "
+        f"CAST({hit} AS INTEGER) AS hit, {val} AS value FROM {tab}, (SELECT max({key}) + 1 AS total FROM {tab})"
+        + (f" WHERE total - {key} // {w} * {w} >= {w})" if whole else ")")
     )
 
 

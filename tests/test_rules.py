@@ -157,3 +157,38 @@ def test_dither_search_improves_on_identity(spark):
         p = np.array(seq(spark, "drp", n, p=r["p"], s=r["s"], read=read, write=write))
         assert sorted(p) == list(range(1, n + 1))
         assert min(k + np.abs(p[k:] - p[:-k]).min() for k in range(1, 17)) == r["best"]
+
+
+@pytest.mark.parametrize(("n", "best"), [(256, 20), (400, 24), (512, 32)])
+def test_dither_search_over_all_lags(spark, n, best):
+    r = sh.dither_search(spark.createDataFrame([(n,)], "n bigint")).first()
+    m = r.m
+    image = []
+    for i in range(n):
+        ib = (r.s + (m * (i // m) + (r.wa * (i % m) + r.wb) % m) * r.p) % n
+        image.append(m * (ib // m) + (r.ra * (ib % m) + r.rb) % m)
+    assert sorted(image) == list(range(n))
+    assert min(d + abs(image[i + d] - image[i]) for d in range(1, n) for i in range(n - d)) == r.best == best
+
+
+@pytest.mark.parametrize("n", [13, 14, 61, 120, 200])
+def test_rules_are_permutations_at_any_length(spark, n):
+    rules = [r for r in ro.RULES if r not in ("arp", "algebraic", "turbo", "drp")]
+    d = ro.permutations(spark, rules, n).groupBy("method").agg(F.count("*").alias("k"), F.count_distinct("src").alias("d"), F.min("src").alias("lo"), F.max("src").alias("hi"), F.max("pos").alias("top"))
+    for r in d.collect():
+        assert r.k == r.d == r.hi == r.top >= n and r.lo == 1, (n, r)
+        assert r.method in ("identity", "helicalScan") or r.k > 1
+
+
+def test_rules_refuse_what_is_no_permutation():
+    for rule, kw in (("algebraic", {"f1": 6, "f2": 30}), ("drp", {"p": 24}), ("time", {"depth": 15}), ("convolutional", {"depth": 16}), ("drp", {"p": 23, "read": [0, 0, 1, 2], "write": [0, 1, 2, 3]})):
+        with pytest.raises(ValueError):
+            ro.RULES[rule](240, **kw)
+    assert ro.time_depth(13).params["sym"] >= 3 and ro.hierarchical(13).n_out > 13
+
+
+def test_a_length_without_a_rule_fails(spark):
+    frames = spark.createDataFrame([(f, p, n, 1, 1.0) for f, n in ((0, 4), (1, 3)) for p in range(1, n + 1)], "frame_id bigint, pos bigint, n_rows bigint, hit int, value double")
+    with pytest.raises(Exception, match="no rule for a frame of length 3"):
+        ro.reorder(frames, ro.permutation(spark, "block", 4), ["value"]).collect()
+    assert ro.reorder(frames, ro.permutations_of(frames, ["block"]), ["value"]).where("value is not null").count() == 7

@@ -123,9 +123,8 @@ def test_gini_load_anchor(perms, rng):
     assert got["rnd"]["gini_load"] == pytest.approx(0.41, abs=0.02)
 
 
-def test_pairwise_distance_refuses_large_second_set(spark):
-    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "vec_id bigint, vec array<double>")
-    d = st.pairwise_distance(v, "vec_id", "vec", v.withColumnRenamed("vec_id", "o"), "o").collect()
-    assert {(r["vec_id"], r["o"]): r["distance"] for r in d}[(1, 2)] == 5.0
-    with pytest.raises(ValueError):
-        st.pairwise_distance(v, "vec_id", "vec", v.withColumnRenamed("vec_id", "o"), "o", max_rows=1)
+def test_pairwise_distance_in_blocks(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0, 1.0])], "vec_id bigint, vec array<double>")
+    pairs = lambda **kw: {(r["vec_id"], r["o"]): r["distance"] for r in st.pairwise_distance(v, "vec_id", "vec", v.withColumnRenamed("vec_id", "o"), "o", **kw).collect()}
+    assert pairs()[(1, 2)] == 5.0 and len(pairs()) == 9
+    assert pairs(most=1) == pairs()
