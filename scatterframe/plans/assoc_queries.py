@@ -158,9 +158,9 @@ def r10(spark, sf):
 
 
 @register("R11_redundant_pairs", f"""WITH {SQL_MATRIX}, k AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY abs(round(r, 9)) DESC, a, b) AS rank FROM mt)
-  SELECT condition, a, b, round(r, 8) AS r, rank, abs(r) > 0.95 AS redundant FROM k WHERE rank <= 10""")
+  SELECT condition, a, b, round(r, 8) AS r, rank, abs(r) > 0.95 AS redundant FROM k WHERE rank <= 50""")
 def r11(spark, sf):
-    return ac.redundant_pairs(matrix(spark, sf), ["condition"], 10).select("condition", "a", "b", *R("r", d=8), "rank", "redundant")
+    return ac.redundant_pairs(matrix(spark, sf), ["condition"], 50).select("condition", "a", "b", *R("r", d=8), "rank", "redundant")
 
 
 @register("R12_metric_groups", f"""WITH RECURSIVE {SQL_MATRIX}, nm AS (SELECT unnest({MX!r}) AS name, generate_subscripts({MX!r}, 1) AS i),
@@ -238,7 +238,7 @@ def q1(spark, sf):
 
 
 @register("K20_top_correlated", f"""WITH {SQL_PIVOT}, k AS (SELECT kpi, metric, spearman AS r, row_number() OVER (PARTITION BY kpi ORDER BY abs(round(spearman, 9)) DESC, metric) AS rank FROM j WHERE abs(spearman) > 0.002)
-  SELECT kpi, metric, round(r, 8) AS r, rank FROM k WHERE rank <= 2""")
+  SELECT kpi, metric, round(r, 8) AS r, rank FROM k WHERE rank <= 6""")
 def k20(spark, sf):
     c = _pivot(spark, sf).select("kpi", "metric", F.col("spearman").alias("r"))
-    return kp.top_correlated(c, ["kpi"], 2, 0.002).select("kpi", "metric", *R("r", d=8), "rank")
+    return kp.top_correlated(c, ["kpi"], 6, 0.002).select("kpi", "metric", *R("r", d=8), "rank")

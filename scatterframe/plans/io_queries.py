@@ -123,7 +123,7 @@ def s12(spark, sf):
     return d.select("condition", "quantity", *R("mean", "sd"), "n")
 
 
-DRAWS = 5
+DRAWS = 15
 _PERM = "perm AS (" + " UNION ALL ".join(f"SELECT 'random#{d}' AS method, pos, src FROM ({perm_sql('random', EVENT_W, draw=d)})" for d in range(DRAWS)) + ")"
 
 

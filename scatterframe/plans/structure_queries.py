@@ -217,7 +217,7 @@ def l7(spark, sf):
     return d.select("frame_id", *cols, "b_guar", *R("dispersion"), "s_new", "s_ach", *R("adj_dispersion"))
 
 
-ENSEMBLE, BB = 40, 60
+ENSEMBLE, BB = 200, 60
 
 
 @register("L8_bracket", f"""WITH {SQL_P}, e AS (SELECT d AS draw, v AS src, row_number() OVER (PARTITION BY d ORDER BY {hash_sql('42', 'd', 'v')}, v) AS pos FROM range(0, {ENSEMBLE}) a(d) CROSS JOIN range(1, {N + 1}) b(v)),

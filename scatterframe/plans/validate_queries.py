@@ -17,7 +17,7 @@ from .kpi_queries import IN_SQL, OUT, R
 from .perm_sql import hash_sql
 from .registry import register
 
-DRAWS = 60
+DRAWS = 5000
 PASS = "(abs(round(rho, 12)) >= 0.3)::INT"
 SQL_FC = f"{SQL_PB}, fc AS (SELECT condition, metric, count(*) AS blocks, {sql_fisher('pb')} AS rho FROM pb GROUP BY ALL)"
 SQL_BOOT = f"""{SQL_FC}, bl AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY block) - 1 AS slot, count(*) OVER (PARTITION BY condition) AS nb FROM (SELECT DISTINCT condition, block FROM pb)),
@@ -120,7 +120,7 @@ def r22(spark, sf):
     return d.select("metric", "left_out", *R("mean_abs"), "pass")
 
 
-NULLS = 20
+NULLS = 5000
 SQL_NULL = f"""{SQL_CELLS}, b0 AS (SELECT condition, block, method, x1 AS x, y FROM cl), bs AS (SELECT condition, block, method,
     rank() OVER (PARTITION BY condition, block ORDER BY x) + (count(*) OVER (PARTITION BY condition, block, x) - 1) / 2.0::DOUBLE AS rx,
     rank() OVER (PARTITION BY condition, block ORDER BY y) + (count(*) OVER (PARTITION BY condition, block, y) - 1) / 2.0::DOUBLE AS ry,
@@ -145,7 +145,7 @@ def r23(spark, sf):
     return d.select("kind", "draws", *R("p95", "p99", "p999", "highest", d=8), "max_pass")
 
 
-SUB = 25
+SUB = 2000
 
 
 @register("R24_subset_stability", f"""WITH {SQL_PB}, dr AS (SELECT block, d AS draw, row_number() OVER (PARTITION BY d ORDER BY {hash_sql('42', 'd', 'block')}, block) AS rk
