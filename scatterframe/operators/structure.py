@@ -7,8 +7,11 @@ length and scan lags inside the row, so pairs of positions never become rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dims import BROADCAST_BYTES, settle, spread, union_all
 from ..functions.numeric import EPS, big, idiv
@@ -51,12 +54,59 @@ def _shifted(p: Column, d: Column, f) -> Column:
     return F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, d + 1, n), f)
 
 
+#: Frames above this length are refused by the kernels below, whose work grows with its square.
+MOST_ROWS = 100_000
+
+
+def _by_length(arrays: pd.Series, kernel) -> list[int]:
+    """``kernel`` on stacks of equally long permutations, results in the order of ``arrays``."""
+    out = np.zeros(len(arrays), np.int64)
+    sizes = arrays.map(len).to_numpy()
+    for n in np.unique(sizes):
+        if n > MOST_ROWS:
+            raise ValueError(f"a frame of {n} rows is too long")
+        at = np.flatnonzero(sizes == n)
+        step = max(1, (1 << 22) // int(n))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            out[part] = kernel(np.array(arrays.iloc[part].tolist(), np.int64))
+    return out.tolist()
+
+
+def _vectors(p: np.ndarray) -> np.ndarray:
+    """Distinct (gap, displacement) vectors of each row."""
+    m, n = p.shape
+    seen, total, row = np.empty((m, 2 * n), bool), np.zeros(m, np.int64), np.arange(m)[:, None]
+    for d in range(1, n):
+        seen[:] = False
+        seen[row, p[:, d:] - p[:, :-d] + n] = True
+        total += seen.sum(1)
+    return total
+
+
+def _sidelobe(p: np.ndarray) -> np.ndarray:
+    """Largest absolute autocorrelation of each row's centred values over all lags but 0."""
+    x = 2 * p - p.shape[1] - 1
+    best = np.zeros(len(x), np.int64)
+    for d in range(1, x.shape[1]):
+        best = np.maximum(best, np.abs((x[:, d:] * x[:, :-d]).sum(1)))
+    return best
+
+
+@F.pandas_udf(T.LongType())
+def distinct_vectors(p: pd.Series) -> pd.Series:
+    return pd.Series(_by_length(p, _vectors))
+
+
+@F.pandas_udf(T.LongType())
+def largest_sidelobe(p: pd.Series) -> pd.Series:
+    return pd.Series(_by_length(p, _sidelobe))
+
+
 def dispersion(perm: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (source gap, displacement) vectors over all pairs, as a share of the pairs."""
-    a = as_array(perm, keys, "src", "pos")
-    per_gap = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda d: F.size(F.array_distinct(_shifted(F.col("p"), d, lambda u, v: v - u))))
-    distinct = F.aggregate(per_gap, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return a.select(*keys, distinct.alias("distinct"), (distinct / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("dispersion"))
+    a = as_array(perm, keys, "src", "pos").select(*keys, "n", distinct_vectors("p").alias("distinct"))
+    return a.select(*keys, "distinct", (F.col("distinct") / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("dispersion"))
 
 
 def lag_minima(perm: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,11 +153,9 @@ def apsr(perm: DataFrame, keys: list[str]) -> DataFrame:
     Values are centred as whole numbers (2p - N - 1), so the sums are exact.
     """
     a = as_array(perm, keys, "pos", "src")
-    a = a.withColumn("x", F.transform("p", lambda v: (2 * v - F.col("n") - 1).cast("bigint")))
-    total = lambda arr: F.aggregate(arr, F.lit(0).cast("bigint"), lambda s, v: s + v)
-    side = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.abs(total(_shifted(F.col("x"), k, lambda u, v: u * v)))))
-    peak = total(F.transform("x", lambda v: v * v))
-    lobe = side / peak
+    peak = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, v: s + (2 * v - F.col("n") - 1) * (2 * v - F.col("n") - 1))
+    a = a.select(*keys, largest_sidelobe("p").alias("side"), peak.alias("peak"))
+    lobe = F.col("side") / F.col("peak")
     return a.select(*keys, lobe.alias("max_sidelobe"), (10 * F.log10(1 / (lobe + EPS))).alias("apsr"))
 
 
