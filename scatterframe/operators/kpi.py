@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import attach, union_all, with_totals
 from ..functions.numeric import EPS, as_col, big, finite
+from ..functions.rank import avg_rank_small
 
 
 def kpi_core(df: DataFrame) -> DataFrame:
@@ -238,3 +239,11 @@ def noise_discretize(df: DataFrame, value, levels: list[float]) -> DataFrame:
     mids = [a + (b - a) / 2 for a, b in zip(levels, levels[1:])]
     cat = sum(((as_col(value) >= F.lit(m)).cast("bigint") for m in mids), F.lit(1).cast("bigint"))
     return df.withColumn("noise_cat", cat)
+
+
+def kappa_rank_agreement(free: DataFrame, keys: list[str], block: str, least: int = 3) -> DataFrame:
+    """Spearman per block of the methods' mean RES as stored and as rebuilt: least and median over blocks."""
+    c = free.groupBy(*keys, block, "method").agg(F.round(F.avg("res"), 12).alias("a"), F.round(F.avg("res_free"), 12).alias("b"))
+    r = c.select(*keys, block, avg_rank_small([*keys, block], "a").alias("a"), avg_rank_small([*keys, block], "b").alias("b"))
+    per = r.groupBy(*keys, block).agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho")).where(F.col("n") >= least)
+    return per.groupBy(*keys).agg(F.count("*").alias("blocks"), F.min("rho").alias("rho_min"), F.median("rho").alias("rho_median"))

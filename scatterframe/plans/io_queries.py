@@ -37,7 +37,7 @@ def s1(spark, sf):
 def s2(spark, sf):
     path = io.shared_folder(spark)
     io.write_conditioned(conditioned(spark, sf), path)
-    d = io.grid_filter(spark.read.parquet(path), "common")
+    d = io.grid_filter(io.read_conditioned(spark, path), "common")
     return d.groupBy("regime", "method").agg(F.count("*").alias("rows"), F.sum("qty").alias("qty"))
 
 
@@ -78,8 +78,10 @@ def s6(spark, sf):
 @register("S7_write_conditioned", f"WITH {SQL_COND} SELECT regime, grid, count(*) AS rows, string_agg(DISTINCT method, ',' ORDER BY method) AS variables FROM co GROUP BY ALL")
 def s7(spark, sf):
     path = io.shared_folder(spark)
-    io.write_conditioned(conditioned(spark, sf), path)
-    return io.inventory(spark.read.parquet(path), ["regime", "grid"], "method")
+    d = conditioned(spark, sf)
+    io.write_conditioned(d.limit(0), path)
+    latest = io.write_conditioned(d, path)
+    return io.inventory(io.read_conditioned(spark, path, latest), ["regime", "grid"], "method")
 
 
 @register("S8_wide_to_long", f"""WITH {SQL_CORE}, l AS (SELECT condition, method, 'cr' AS metric, cr AS v FROM core UNION ALL SELECT condition, method, 'be', be FROM core

@@ -160,6 +160,16 @@ def k13(spark, sf):
     return m.select("condition", "method", "n", *R("res", "res_free", d=8), rnd(F.col("res_free") - F.col("res"), 8).alias("shift"))
 
 
+@register("K13b_kappa_rank_agreement", f"""WITH {SQL_FREE}, c AS (SELECT condition, block, method, round(avg(res), 12) AS a, round(avg(res_free), 12) AS b FROM s GROUP BY ALL),
+  r AS (SELECT condition, block, rank() OVER (PARTITION BY condition, block ORDER BY a) + (count(*) OVER (PARTITION BY condition, block, a) - 1) / 2.0 AS a,
+    rank() OVER (PARTITION BY condition, block ORDER BY b) + (count(*) OVER (PARTITION BY condition, block, b) - 1) / 2.0 AS b FROM c),
+  p AS (SELECT condition, block, corr(a, b) AS rho FROM r GROUP BY ALL HAVING count(*) >= 3)
+  SELECT condition, count(*) AS blocks, round(min(rho), 8) AS rho_min, round(median(rho), 8) AS rho_median FROM p GROUP BY condition""")
+def k13b(spark, sf):
+    s = kp.kappa_free(core(spark, sf), ["condition"], in_scope())
+    return kp.kappa_rank_agreement(s, ["condition"], "block").select("condition", "blocks", *R("rho_min", "rho_median", d=8))
+
+
 @register("K14_fit_weights", f"""WITH {SQL_Z}, n AS (SELECT condition, sum(cr_z * cr_z) aa, sum(cr_z * be_z) ab, sum(be_z * be_z) bb, sum(cr_z * r) ay, sum(be_z * r) by_
   FROM (SELECT *, 0.8::DOUBLE * cr_z + 0.2::DOUBLE * be_z AS r FROM s) GROUP BY condition)
   SELECT condition, round((bb * ay - ab * by_) / (aa * bb - ab * ab), 6) AS w1, round((aa * by_ - ab * ay) / (aa * bb - ab * ab), 6) AS w2, 0.0::DOUBLE AS max_residual FROM n""")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.rank import spearman_rows
 from ..operators import assoc as ac
 from ..operators import blockload as bl
+from ..operators import reorder as ro
 from ..operators import validate as va
-from ..sources.tables import SQL_OBS, frames_events, obs
+from ..sources.tables import EVENT_W, SQL_OBS, frames_events, obs
 from .assoc_queries import SQL_CELLS, SQL_PB, X, cells, long, sql_fisher, sql_rho
 from .blockload_queries import CW, SQL_STATS, T, _perm
 from .burst_queries import sql_hazen
@@ -292,3 +293,15 @@ def r35(spark, sf):
     return va.within_trial_invariance(p, ["metric", "frame_id"], "x").select("metric", "frame_id", "methods", *R("spread", "level"), "distinct", "invariant")
 
 
+#: Rules that keep a frame's length at the width used here; the others pad it.
+SQL_PLAIN = f"pl AS (SELECT method FROM perm GROUP BY method HAVING max(pos) = {EVENT_W})"
+
+
+@register("R35b_invariance_without_padding", f"""WITH {SQL_PAIRED}, {SQL_PLAIN}, pp AS (SELECT * FROM pt WHERE method IN (SELECT method FROM pl)), l AS (SELECT 'u_ecc' AS metric, frame_id, u_ecc AS x FROM pp UNION ALL SELECT 'delta_g', frame_id, delta_g FROM pp)
+  SELECT metric, frame_id, count(*) AS methods, round(max(x) - min(x), 9) AS spread, round(avg(abs(x)), 9) AS level, count(DISTINCT round(x, 12)) AS "distinct",
+  (max(x) - min(x)) / greatest(avg(abs(x)), 2.220446049250313e-16) < 1e-9 AS invariant FROM l GROUP BY ALL""")
+def r35b(spark, sf):
+    plain = ro.extension(_perm(spark), ["method"]).where("n_out = n_rows").select("method")
+    p = paired(spark, sf).join(F.broadcast(plain), "method", "left_semi").select("frame_id", F.inline(F.array(
+        F.struct(F.lit("u_ecc").alias("metric"), F.col("u_ecc").alias("x")), F.struct(F.lit("delta_g").alias("metric"), F.col("delta_g").alias("x")))))
+    return va.within_trial_invariance(p, ["metric", "frame_id"], "x").select("metric", "frame_id", "methods", *R("spread", "level"), "distinct", "invariant")

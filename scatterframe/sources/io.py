@@ -45,8 +45,27 @@ def write_named(df: DataFrame, path: str, name: Column) -> None:
     df.withColumn("file", name).write.mode("overwrite").partitionBy("file").parquet(path)
 
 
-def write_conditioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("regime", "grid")) -> None:
-    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions saved under ``path``, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def write_conditioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("regime", "grid")) -> int:
+    """Save as the next version, partitioned by condition; earlier versions stay.  Returns the version."""
+    version = max(versions(df.sparkSession, path), default=0) + 1
+    df.write.partitionBy(*keys).parquet(f"{path}/version={version}")
+    return version
+
+
+def read_conditioned(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One saved version, the latest unless named."""
+    found = versions(spark, path)
+    if not found or version not in (None, *found):
+        raise ValueError(f"no version {version or ''} under {path}")
+    return spark.read.parquet(f"{path}/version={version or found[-1]}")
 
 
 def inventory(df: DataFrame, keys: list[str], variable: str) -> DataFrame:
