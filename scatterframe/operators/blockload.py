@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dims import spread
 from ..functions.numeric import EPS, big, clip, idiv
 from .reorder import ruled, small_perm
 
@@ -27,6 +28,7 @@ def block_loads(frames: DataFrame, perm: DataFrame, codeword: int, dense: bool =
     if not dense:
         rows = rows.where((F.col("hit") == 1) | (F.col("pos") == 1))
     rows = rows.join(small_perm(perm), ["n_rows", "pos"], "left").withColumn("src", ruled("src"))
+    rows = spread(rows, *ID)  # every grouping below holds a frame's rows of a method, so this is the only shuffle
     cw = lambda c: idiv(F.col(c) - 1, codeword) + 1
     hit = F.col("hit").cast("bigint")
     both = F.array(
