@@ -56,7 +56,15 @@ def a1(spark, sf):
     return table(spark, sf).select("term", *R("ss", d=8), "df", *R("ms", d=8), *R("f", d=6), *R("eta2", d=8), "effect")
 
 
-@register("A2_anova_pvalue")
+#: The F tail as the integral of a beta density, by Simpson's rule over the stretch that holds all but e^-60 of it.
+STEPS = 20_000
+SQL_TAIL = f"""{SQL_ANOVA}, tt AS (SELECT *, ss / df / mse AS f, df / 2.0::DOUBLE AS b, de / 2.0::DOUBLE AS a FROM atb WHERE term <> 'error'),
+  tx AS (SELECT *, de / (de + df * f) AS x, lgamma(a + b) - lgamma(a) - lgamma(b) AS lb FROM tt), tw AS (SELECT *, greatest(0, x - 60 / a) AS x0, (x - greatest(0, x - 60 / a)) / {STEPS} AS h FROM tx),
+  tp AS (SELECT term, df, f, ss / st AS eta2, h / 3 * list_sum(list_transform(range(0, {STEPS + 1}), lambda k: (CASE WHEN k IN (0, {STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(lb + (a - 1) * ln(greatest(x0 + k * h, 1e-300)) + (b - 1) * ln(greatest(1 - x0 - k * h, 1e-300))))) AS p FROM tw)"""
+
+
+@register("A2_anova_pvalue", f"""WITH {SQL_TAIL} SELECT term, df, round(f, 6) AS f, round(p, 9) AS p FROM tp UNION ALL SELECT term, df, NULL, NULL FROM atb WHERE term = 'error'""")
 def a2(spark, sf):
     return an.anova_pvalue(table(spark, sf)).select("term", "df", *R("f", d=6), *R("p", d=9))
 
@@ -93,7 +101,8 @@ def a6(spark, sf):
     return an.method_bin_profile(obs(spark, sf), ["condition", "method", "bin"], "x1").select("condition", "method", "bin", "n", *R("mean", "sem", d=8))
 
 
-@register("A7_effect_flags")
+@register("A7_effect_flags", f"""WITH {SQL_TAIL} SELECT '{V}' AS metric, max(eta2) FILTER (term = 'method') > 0.14 AS method_strong, max(eta2) FILTER (term = 'bin') > 0.14 AS bin_strong,
+  max(p) FILTER (term = 'interaction') < 0.05 AS interaction_present FROM tp""")
 def a7(spark, sf):
     p = trials(spark, sf).withColumn("metric", F.lit(V))
     return an.effect_flags(an.anova_pvalue(an.anova_two_way(p, ["metric"], "method", "bin", V)), ["metric"])
