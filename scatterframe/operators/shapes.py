@@ -50,10 +50,22 @@ def balanced_pair(n: int, extend: float) -> tuple[int, int]:
                 if stops:
                     best = min(ranked)
                     return best[3], best[4]
-    if not ranked:
-        raise ValueError(f"no coprime rectangle for {n} within {extend:.0%}")
-    best = min(ranked)
-    return best[3], best[4]
+    if ranked:
+        best = min(ranked)
+        return best[3], best[4]
+    return _far_pair(n, floor(n * (1 + extend)))
+
+
+def _far_pair(n: int, most: int) -> tuple[int, int]:
+    """Where no near-square rectangle fits: the best coprime sides at all, else neighbours, else two columns."""
+    pairs = [(m // a - a + 0.1 * (m - n), m, a) for m in range(n, most + 1) for a in range(2, isqrt(m) + 1) if m % a == 0 and gcd(a, m // a) == 1]
+    if pairs:
+        _, m, a = min(pairs)
+        return a, m // a
+    r = floor(sqrt(n) + 0.5)
+    if r >= 2 and r * (r + 1) <= most:
+        return r, r + 1
+    return 2, max(3, -(-n // 2) | 1)
 
 
 def prime_factors(n: int) -> list[int]:
@@ -134,7 +146,9 @@ def balanced_shapes(lengths: DataFrame, extend: float) -> DataFrame:
     Candidates run by padded length m and then by trial divisor a near sqrt(m).
     The first one that is nearly square (sides differ by less than 2, padding
     under a tenth) ends the search; among the candidates seen by then the
-    smallest |L-K| + 0.1*padding wins, the earliest on ties.
+    smallest |L-K| + 0.1*padding wins, the earliest on ties.  A length without
+    one takes the best coprime sides at all, else neighbouring sides, else two
+    columns.
     """
     n, m, a = F.col("n"), F.col("m"), F.col("a")
     root = F.sqrt(m)
@@ -153,9 +167,19 @@ def balanced_shapes(lengths: DataFrame, extend: float) -> DataFrame:
     )
     first_stop = F.min(F.when(F.col("stops"), m * 1000000 + a)).over(Window.partitionBy("n"))
     seen = cand.withColumn("end", first_stop).where(F.col("end").isNull() | (m * 1000000 + a <= F.col("end")))
-    return seen.groupBy("n").agg(
-        F.min_by(F.struct("l", "k", "m"), F.struct("score", "m", "a")).alias("s")
-    ).select("n", F.col("s.l").alias("l"), F.col("s.k").alias("k"), (F.col("s.m") - n).alias("pad"))
+    near = seen.groupBy("n").agg(F.min_by(F.struct("l", "k", "m"), F.struct("score", "m", "a")).alias("s"))
+    rest = padded.join(near, "n", "left_anti")
+    side = F.sequence(F.lit(2).cast("bigint"), F.greatest(F.lit(2), F.floor(root)).cast("bigint"))
+    far = rest.withColumn("a", F.explode(side)).withColumn("b", idiv(m, a))
+    fits = (m % a == 0) & (a < F.col("b")) & (gcd_col(a, F.col("b")) == 1)
+    far = far.groupBy("n").agg(F.max("m").alias("most"), F.min_by(
+        F.when(fits, F.struct(a.alias("l"), F.col("b").alias("k"), "m")),
+        F.when(fits, F.struct(F.round(F.col("b") - a + (m - n) * 0.1, 6), m, a))).alias("s"))
+    r = F.floor(F.sqrt(n) + 0.5).cast("bigint")
+    wide = F.greatest(F.lit(3).cast("bigint"), F.ceil(n / 2).cast("bigint").bitwiseOR(F.lit(1).cast("bigint")))
+    near_square = F.when((r >= 2) & (r * (r + 1) <= F.col("most")), F.struct(r.alias("l"), (r + 1).alias("k"), (r * (r + 1)).alias("m")))
+    far = far.select("n", F.coalesce("s", near_square, F.struct(F.lit(2).cast("bigint").alias("l"), wide.alias("k"), (2 * wide).alias("m"))).alias("s"))
+    return near.union(far).select("n", F.col("s.l").alias("l"), F.col("s.k").alias("k"), (F.col("s.m") - n).alias("pad"))
 
 
 def golden_strides(lengths: DataFrame) -> DataFrame:

@@ -144,6 +144,10 @@ def test_golden_and_shapes_match_one_length_functions(spark):
     assert {r["n"]: r["stride"] for r in sh.golden_strides(d).collect()} == {n: sh.golden_stride_of(n) for n in ns}
     got = {r["n"]: (r["l"], r["k"]) for r in sh.balanced_shapes(d, 0.5).collect()}
     assert got == {n: sh.balanced_pair(n, 0.5) for n in ns}
+    odd = spark.createDataFrame([(n,) for n in (2, 3, 4, 5, 7, 8, 9, 13, 16, 97, 2053)], "n bigint")
+    rest = {r["n"]: (r["l"], r["k"], r["pad"]) for r in sh.balanced_shapes(odd, 0.02).collect()}
+    assert {n: (l, k) for n, (l, k, _) in rest.items()} == {r.n: sh.balanced_pair(r.n, 0.02) for r in odd.collect()}
+    assert all(l * k == n + pad >= n and np.gcd(l, k) == 1 for n, (l, k, pad) in rest.items())
     p = spark.createDataFrame([(3,), (7,), (41,), (191,), (409,)], "p bigint")
     assert {r["p"]: r["root"] for r in sh.primitive_roots(p).collect()} == {3: 2, 7: 3, 41: 6, 191: 19, 409: 21}
 
