@@ -62,8 +62,8 @@ def spearman_trials(trials: DataFrame, metrics: list[str], outcome: str, least:
 
 
 def between_block(long: DataFrame, least: int = 5) -> DataFrame:
-    """Spearman of block means over the blocks of a condition."""
-    means = long.groupBy("condition", "block", "metric").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    """Spearman of block means over the blocks of a condition; means are rounded, so ties do not hang on the order of sums."""
+    means = long.groupBy("condition", "block", "metric").agg(F.round(F.avg("x"), 12).alias("x"), F.round(F.avg("y"), 6).alias("y"))
     return spearman_by_block(means, ["condition", "metric"], least)
 
 

@@ -178,9 +178,7 @@ def k14(spark, sf):
     return kp.fit_weights(z, ["condition"]).select("condition", *R("w1", "w2", "max_residual", d=6))
 
 
-GROUPINGS = {"condition": ["condition"], "bin": ["condition", "bin"], "block": ["condition", "block"], "block x bin": ["condition", "block", "bin"],
-             "none": []}
-GROUPINGS.pop("none")
+GROUPINGS = {"condition": ["condition"], "bin": ["condition", "bin"], "block": ["condition", "block"], "block x bin": ["condition", "block", "bin"]}
 
 
 def _aff(name, keys):
