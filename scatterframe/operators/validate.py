@@ -278,3 +278,9 @@ def within_trial_invariance(trials: DataFrame, trial: list[str], value: str, tol
     ).withColumn("invariant", F.col("spread") / F.greatest("level", F.lit(EPS)) < tol)
 
 
+
+
+def discarded_rest(scores: DataFrame, shown: list[str]) -> DataFrame:
+    """What the metrics that a campaign matrix leaves out reach at most: number, |rho| and conditions passed."""
+    rest = scores.where(~F.col("metric").isin(shown))
+    return rest.groupBy("campaign").agg(F.count("*").alias("metrics"), F.max("mean_abs").alias("rho_max"), F.max("pass").cast("bigint").alias("pass_max"))

@@ -305,3 +305,9 @@ def r35b(spark, sf):
     p = paired(spark, sf).join(F.broadcast(plain), "method", "left_semi").select("frame_id", F.inline(F.array(
         F.struct(F.lit("u_ecc").alias("metric"), F.col("u_ecc").alias("x")), F.struct(F.lit("delta_g").alias("metric"), F.col("delta_g").alias("x")))))
     return va.within_trial_invariance(p, ["metric", "frame_id"], "x").select("metric", "frame_id", "methods", *R("spread", "level"), "distinct", "invariant")
+
+
+@register("R33b_discarded_rest", f"""WITH {SQL_FC} SELECT condition AS campaign, count(*) AS metrics, round(max(abs(rho)), 8) AS rho_max, CAST(max({PASS}) AS BIGINT) AS pass_max FROM fc WHERE metric <> 'x1' GROUP BY condition""")
+def r33b(spark, sf):
+    s = va.score(ac.fisher_combine(per_block(spark, sf), ["condition", "metric"]), ["metric", "condition"]).withColumnRenamed("condition", "campaign")
+    return va.discarded_rest(s, ["x1"]).select("campaign", "metrics", *R("rho_max", d=8), "pass_max")
