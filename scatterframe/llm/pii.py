@@ -221,9 +221,12 @@ def fit(texts: list[str]) -> Field:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_TEXTS) -> Field:
-    """Fit a field to at most ``sample`` texts that hold a digit, ``@`` or ``+``."""
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@+]") & (F.length("text") < 20_000))
-    return fit([r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample).collect()])
+    """Fit a field to at most ``sample`` different texts that hold a digit, ``@`` or ``+``."""
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@+]") & (F.length("text") < 20_000)).withColumn("h", F.xxhash64("text"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # Only hashes are ranked; then the texts up to the last one are fetched.
+    texts = rows.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")) if last is not None else rows.limit(0)
+    return fit([r.text for r in sorted(texts.collect(), key=lambda r: r.h)])
 
 
 def find_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
