@@ -17,6 +17,9 @@ else in the corpus too, in the same document or another.
 3. *Removal.*  Marked starts become byte ranges of their documents, which are cut
    out in one last pass over the texts.
 
+Texts meet their slices and ranges by shuffle joins at every size, since both grow
+with the corpus.
+
 Defined results: a null text is an empty one.  Texts are judged whole and as
 given, matches never cross documents, and occurrences may overlap.  Repeated
 rows are separate occurrences, so their long texts vanish as a whole.  An empty
@@ -293,7 +296,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: s
     again = table(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     cuts = each.join(sized(again, 16), "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("cuts"))
     cuts = table(cuts, "cuts")
-    slices = _slices(long.join(sized(cuts, 80, F.size("cuts") * 24), "key").select("key", "data", "cuts"), least)
+    slices = _slices(long.join(cuts, "key").select("key", "data", "cuts"), least)
     ranges = _cover(slices, least).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     ranges = table(ranges, "ranges")
     schema = _KEPT if with_text else _KEPT.rsplit(", ", 1)[0]
@@ -311,4 +314,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: s
             cols = list(zip(*out)) or [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(cols, types, names)], names)
 
-    return rows.join(sized(ranges, 80, F.size("starts") * 16), "key", "left").select("doc_id", "data", "starts", "ends").mapInArrow(cut, schema)
+    return rows.join(ranges, "key", "left").select("doc_id", "data", "starts", "ends").mapInArrow(cut, schema)
