@@ -7,13 +7,17 @@ else in the corpus too, in the same document or another.
    ``GRAM`` bytes, the one of least hash, the leftmost of equals.  Equal strings
    have equal anchors, so only strings whose anchor occurs again can repeat.  The
    stretch of consecutive starts that one anchor serves is cut out as a slice,
-   and slices are dealt to tasks by anchor.
+   and slices are dealt to tasks by anchor.  An anchor whose strings pass a counted
+   bound (``CROWD``) has its strings' fingerprints dealt instead, by their value:
+   equal strings still meet, and no task holds more than its share of them.
+   Strings that repeat within a group of documents are marked there and sent once.
 2. *Suffix arrays.*  A task reads its slices batch by batch.  The suffixes of a
    batch are sorted by a fingerprint of their first ``least`` bytes, since
    only matches of that length count.  The batch's array is merge-scanned against
    the array of every level, suffixes that meet are marked on both sides, and the
    array becomes a level; levels of like size are merged, so that a task that has
-   read n suffixes holds log n arrays at most.
+   read n suffixes holds log n arrays at most.  There are as many tasks as the
+   counted strings need at ``SHARE`` a task.
 3. *Removal.*  Marked starts become byte ranges of their documents, which are cut
    out in one last pass over the texts.
 
@@ -29,6 +33,7 @@ table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,10 @@ GRAM = 51
 #: Bytes of texts that are hashed together, and suffixes in a new array, about.
 PIECE = 1 << 20
 BATCH = 1 << 20
+#: Strings of one anchor that meet in one task, and strings of a task, at most about; a slice counts as ``SLICE`` strings besides its own.
+CROWD = 1 << 22
+SHARE = 1 << 22
+SLICE = 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -223,7 +232,15 @@ def _slices(docs: DataFrame, least: int) -> DataFrame:
 _COVER = "key string, starts array<long>, ends array<long>"
 
 
-def _cover(slices: DataFrame, least: int) -> DataFrame:
+_NAMES = ["key", "starts", "ends"]
+_LONGS = pa.list_(pa.int64())
+
+
+def _ranges(out: dict[str, tuple[list, list]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(out), pa.string()), pa.array([v[0] for v in out.values()], _LONGS), pa.array([v[1] for v in out.values()], _LONGS)], _NAMES)
+
+
+def _cover(slices: DataFrame, least: int, n_tasks: int) -> DataFrame:
     """Byte ranges of repeated strings, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +277,7 @@ def _cover(slices: DataFrame, least: int) -> DataFrame:
             levels.add(np.concatenate(held))
         marks, ends = levels.marks(), np.cumsum(sizes)
         out: dict[str, tuple[list, list]] = {}
+        full = 0
         for r, e, n in zip(refs, ends, sizes):
             start, end = (np.zeros(1, int), np.full(1, n)) if len(r) > 1 else runs(marks[e - n : e])
             if len(start):
@@ -267,9 +285,105 @@ def _cover(slices: DataFrame, least: int) -> DataFrame:
                     ranges = out.setdefault(x["key"], ([], []))
                     ranges[0].extend((x["first"] + start).tolist())
                     ranges[1].extend((x["first"] + end + least - 1).tolist())
-        yield pa.record_batch([pa.array(list(out), pa.string()), pa.array([v[0] for v in out.values()], pa.list_(pa.int64())), pa.array([v[1] for v in out.values()], pa.list_(pa.int64()))], ["key", "starts", "ends"])
+                full += len(start) * len(r)
+            if full >= BATCH:
+                yield _ranges(out)
+                out, full = {}, 0
+        yield _ranges(out)
+
+    return slices.repartition(n_tasks, "anchor").mapInArrow(run, _COVER)
+
+
+_WINDOWS = "part int, keys array<string>, owners binary, starts binary, ends binary, prints binary"
+
+
+def _windows(docs: DataFrame, least: int, parts: int) -> DataFrame:
+    """The strings of crowded anchors, cut into ``parts`` by fingerprint.
+
+    A row has the fingerprints of a group of documents that fall in one part, each with its
+    document (a place in ``keys``; -1 for strings that repeat in the group, which are sent
+    once) and start; or, without fingerprints, the ranges of strings that repeat in the group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for group in _documents(batches, 2 * PIECE):
+            lengths = np.array([len(d) for _, d, _ in group])
+            base = np.cumsum(lengths) - lengths
+            names = np.array([k for k, _, _ in group], object)
+            cuts = [[x.to_numpy(zero_copy_only=False) for x in c.values.flatten()] for _, _, c in group]
+            owner = np.repeat(np.arange(len(group)), [len(c[0]) for c in cuts])
+            first, last = np.concatenate([c[1] for c in cuts]), np.concatenate([c[2] for c in cuts])
+            n = last - first + 1
+            owner = np.repeat(owner, n)
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            prints = window_hashes(np.frombuffer(b"".join(d for _, d, _ in group), np.uint8), least, powers)[base[owner] + start]
+            kinds, of, count = np.unique(prints, return_inverse=True, return_counts=True)
+            once = count[of] == 1
+            rows = []
+            flags = np.zeros(lengths.sum(), bool)
+            flags[(base[owner] + start)[~once]] = True
+            begin, end = runs(flags)
+            if len(begin):
+                doc = np.searchsorted(base + lengths, begin, "right")
+                used, at = np.unique(doc, return_inverse=True)
+                rows.append((zlib.crc32(names[used[0]].encode()) % parts, names[used].tolist(), at.astype(np.int32).tobytes(), (begin - base[doc]).tobytes(), (end - base[doc] + least - 1).tobytes(), None))
+            known = kinds[count > 1]
+            prints = np.concatenate((prints[once], known))
+            owner = np.concatenate((owner[once], np.full(len(known), -1)))
+            start = np.concatenate((start[once], np.zeros(len(known), int)))
+            part = (prints % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            prints, owner, start, part = prints[order], owner[order], start[order], part[order]
+            edges = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)]), len(part))
+            for a, b in zip(edges, edges[1:]):
+                used, at = np.unique(owner[a:b], return_inverse=True)
+                at = at.astype(np.int32)
+                if used[0] < 0:
+                    used, at = used[1:], at - np.int32(1)
+                rows.append((int(part[a]), names[used].tolist(), at.tobytes(), start[a:b].tobytes(), None, prints[a:b].tobytes()))
+            cols = list(zip(*rows)) or [[]] * 6
+            types = [pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 4]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], ["part", "keys", "owners", "starts", "ends", "prints"])
+
+    return docs.mapInArrow(run, _WINDOWS)
+
+
+def _met(windows: DataFrame, least: int, parts: int) -> DataFrame:
+    """Byte ranges of the strings of ``_windows`` that repeat, by document."""
+
+    def ranges(keys: pa.Array, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((start, owner))
+        owner, start, end = owner[order], start[order], end[order]
+        at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))[: len(owner)])
+        edges = pa.array(np.append(at, len(owner)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x, pa.int64())) for x in (start, end)]
+        return pa.record_batch([keys.take(pa.array(owner[at], pa.int32())), *lists], _NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, rows, held, waiting = Levels(), [], [], 0
+        for batch in batches:
+            for _, keys, owners, starts, ends, prints in zip(*batch.columns):
+                owner, start = np.frombuffer(owners.as_buffer(), np.int32), np.frombuffer(starts.as_buffer(), np.int64)
+                if not prints.is_valid:
+                    yield ranges(keys.values, owner, start, np.frombuffer(ends.as_buffer(), np.int64))
+                    continue
+                rows.append((pa.concat_arrays([keys.values]), owner.copy(), start.copy()))
+                held.append(np.frombuffer(prints.as_buffer(), np.uint64).copy())
+                waiting += len(owner)
+                if waiting >= BATCH:
+                    levels.add(np.concatenate(held))
+                    held, waiting = [], 0
+        if held:
+            levels.add(np.concatenate(held))
+        marks, done = levels.marks(), 0
+        for keys, owner, start in rows:
+            found = marks[done : done + len(owner)] & (owner >= 0)
+            done += len(owner)
+            if found.any():
+                yield ranges(keys, owner[found], start[found], start[found] + least)
 
-    return slices.repartition(tasks(slices.sparkSession), "anchor").mapInArrow(run, _COVER)
+    return windows.repartitionById(parts, "part").mapInArrow(run, _COVER)
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -293,11 +407,19 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: s
     stretches = table(_stretches(long, least, gram), "stretches")
     each = stretches.select("key", F.explode(F.arrays_zip("anchors", "firsts", "lasts")).alias("s"))
     each = each.select("key", F.col("s.anchors").alias("anchor"), F.col("s.firsts").alias("first"), F.col("s.lasts").alias("last"))
-    again = table(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    cuts = each.join(sized(again, 16), "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("cuts"))
+    again = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("last") - F.col("first") + 1 + SLICE).alias("w")).where("n > 1")
+    again = table(again.select("anchor", "w", (F.col("w") > CROWD).alias("crowd")), "anchors")
+    load = dict(again.groupBy("crowd").agg(F.sum("w").alias("w")).collect())
+    share = lambda crowd: max(tasks(docs.sparkSession), -(-load.get(crowd, 0) // SHARE))
+    cuts = each.join(sized(again.select("anchor", "crowd"), 16), "anchor").groupBy("key").agg(*[
+        F.collect_set(F.when(c, F.struct("anchor", "first", "last"))).alias(n) for n, c in (("cuts", ~F.col("crowd")), ("crowds", F.col("crowd")))])
     cuts = table(cuts, "cuts")
-    slices = _slices(long.join(cuts, "key").select("key", "data", "cuts"), least)
-    ranges = _cover(slices, least).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    cut_out = lambda of: long.join(cuts.where(F.size(of) > 0).select("key", of), "key").select("key", "data", of)
+    covers = _cover(_slices(cut_out("cuts"), least), least, share(False))
+    if True in load:
+        parts = share(True)
+        covers = covers.union(_met(_windows(cut_out("crowds"), least, parts), least, parts))
+    ranges = covers.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     ranges = table(ranges, "ranges")
     schema = _KEPT if with_text else _KEPT.rsplit(", ", 1)[0]
 

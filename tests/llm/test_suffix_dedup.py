@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scatterframe.llm import suffix_dedup
 from scatterframe.llm.suffix_dedup_query import op3
@@ -70,3 +71,33 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     for w in (1, 2, 7, 50):
         assert suffix_dedup.sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(51 - w)]
+
+
+@pytest.mark.parametrize("batch", [64, 1 << 20])
+def test_crowded_anchor(spark, docs, batch, monkeypatch):
+    """A passage in every document, with other text around it: no task gets more than its share of the strings."""
+    draw = random.Random(7)
+    words = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    passage = words(30)
+    rows = [(k, words(40) + passage + words(40)) for k in range(300)] + [(k, words(25) + passage[:25] + "z") for k in range(300, 330)]
+    rows += [(400, rows[0][1]), (401, rows[0][1]), (401, rows[0][1]), (402, "a" * 300), (403, None), (404, passage)]
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 500, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SHARE", 2000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+
+    def bounded(name, key, strings, most):
+        call = getattr(suffix_dedup, name, None)
+
+        def checked(df, *args):
+            sizes.append((name, df.groupBy(key).agg(F.sum(F.expr(strings)).alias("n")).agg(F.max("n")).first()[0], most))
+            return call(df, *args)
+
+        monkeypatch.setattr(suffix_dedup, name, checked, raising=False)
+
+    sizes = []
+    bounded("_cover", "anchor", "length(slice) - 19", 500)
+    bounded("_met", "part", "length(prints) / 8", 4000)
+    assert result(suffix_dedup.remove_repeats(docs(rows), 20, 4)) == brute(rows, 20)
+    assert [n for n, _, _ in sizes] == ["_cover", "_met"]
+    assert all(n <= most for _, n, most in sizes)
