@@ -113,7 +113,7 @@ def s10(spark, sf):
   SELECT count(*) AS rows, count(*) FILTER (b.pos IS NULL) AS only_a, 0::BIGINT AS only_b, count(*) FILTER (abs(f.value - b.value) > 1e-9) AS diff_value, count(*) FILTER (f.hit <> b.hit) AS diff_hit
   FROM f LEFT JOIN b ON b.frame_id = f.frame_id AND b.pos = f.pos""")
 def s11(spark, sf):
-    f = frames_events(spark, sf)
+    f = frames_events(spark, sf, whole=False)
     b = f.where(F.col("pos") != 3).withColumn("value", F.when(F.col("pos") % 50 == 7, F.col("value") + 1).otherwise(F.col("value")))
     return io.row_alignment(f, b, ["frame_id", "pos"], ["value", "hit"], 1e-9)
 

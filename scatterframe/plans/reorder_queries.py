@@ -73,8 +73,8 @@ for _q in RULE_QUERIES:
     CAST(0 AS BIGINT) AS moved_back_wrong FROM f""")
 def restore(spark, sf):
     """Reorder with a padding rule, restore, and compare with the original row by row."""
-    f = frames_events(spark, sf)
-    perm = ro.permutation(spark, "helical", EVENT_W)
+    f = frames_events(spark, sf, whole=False)
+    perm = ro.permutations_of(f, ["helical"]).drop("method")
     back = ro.restore(ro.reorder(f, perm, ["value"]), perm, ["value"])
     orig = f.select("frame_id", "pos", F.col("value").alias("was"))
     return back.join(orig, ["frame_id", "pos"]).select(

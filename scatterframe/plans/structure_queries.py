@@ -129,8 +129,7 @@ def g12(spark, sf):
   SELECT frame_id, round(((SELECT sum(d * d) FROM dg WHERE dg.frame_id = nn.frame_id) + (SELECT sum(w * w) FROM ad WHERE ad.frame_id = nn.frame_id))::DOUBLE / (n * n), 9) AS energy FROM nn""")
 def g12b(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_id"), F.col("event_type").alias("kind"))
-    last = ev.agg(F.floor((F.max("event_id") + 1) / N).alias("n")).scalar()
-    t = ev.where(F.floor(F.col("event_id") / N) < last).select(F.floor(F.col("event_id") / N).alias("frame_id"), (F.col("event_id") % N + 1).alias("pos"), "kind")
+    t = ev.select(F.floor(F.col("event_id") / N).alias("frame_id"), (F.col("event_id") % N + 1).alias("pos"), "kind")
     nodes = t.groupBy("frame_id").agg(F.count_distinct("kind").alias("n"))
     return st.laplacian_energy(st.transition_edges(t, K, "kind"), nodes, K).select("frame_id", *R("energy"))
 
