@@ -6,8 +6,11 @@ them.  The field reads each island (a run of chunks between white space that
 hold a digit, ``@`` or ``+``): every stretch of up to ``MOST_CHUNKS`` chunks
 is scored as a whole for each kind, and dynamic programming chooses boundaries
 and kinds together.  Its weights are fitted, by the gradient of the conditional
-likelihood, to the pattern spans of a bounded sample of texts.  Chunks outside
-islands hold nothing that a kind could score, so they need no scores.
+likelihood, to the pattern spans of a bounded sample of texts.  A text of
+``UNIT`` characters or more enters the sample as units of its islands, and an
+island of more than ``MOST_RUN`` chunks as runs of them, so none is left out for
+its length.  Chunks outside islands hold nothing that a kind could score, so they
+need no scores.
 
 Defined results: a null or empty text has no spans.  Pattern spans always stay,
 also where kinds overlap; spans of the field are added where they touch no
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ MOST_CHUNKS = 6
 #: Texts, by order of a hash, to which the field is fitted, and islands taken from them.
 SAMPLE_TEXTS = 1000
 SAMPLE_ISLANDS = 3000
+#: Characters from which a text is drawn in units, about as long at most; a chunk is never cut.
+UNIT = 20_000
+#: Chunks that are fitted together, at most; longer islands are cut between spans.
+MOST_RUN = 40
 STEPS = 200
 RATE = 0.5
 DECAY = 1e-3
@@ -110,6 +118,36 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
             yield cores
 
 
+def runs(cores: list[tuple[int, int]], base: list[Span]) -> Iterator[list[tuple[int, int]]]:
+    """An island in runs of at most ``MOST_RUN`` chunks, cut where no pattern span crosses if there is such a place."""
+    at = 0
+    while len(cores) - at > MOST_RUN:
+        to = next((k for k in range(at + MOST_RUN, at, -1) if not any(s < cores[k - 1][1] and cores[k][0] < e for _, s, e in base)), at + MOST_RUN)
+        yield cores[at:to]
+        at = to
+    yield cores[at:]
+
+
+def units(text: str) -> Iterator[str]:
+    """All islands of a text, with one run of chunks a line, in parts of about ``UNIT`` characters."""
+    base, held, size = base_spans(text), [], 0
+    for island in islands(text):
+        s, e = island[0][0], island[-1][1]
+        for cores in runs(island, [b for b in base if b[1] < e and s < b[2]] if len(island) > MOST_RUN else []):
+            s, e = cores[0][0], cores[-1][1]
+            while s and not text[s - 1].isspace():
+                s -= 1
+            while e < len(text) and not text[e].isspace():
+                e += 1
+            if held and size + e - s >= UNIT:
+                yield "\n".join(held)
+                held, size = [], 0
+            held.append(text[s:e])
+            size += e - s + 1
+    if held:
+        yield "\n".join(held)
+
+
 _SHAPES = (
     re.compile(r"[^\s@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
@@ -206,11 +244,12 @@ def fit(texts: list[str]) -> Field:
     cases: dict = {}
     for text in texts:
         base = base_spans(text)
-        for cores in islands(text):
-            if len(cores) <= 40 and sum(c[2] for c in cases.values()) < SAMPLE_ISLANDS:
-                n, stretches, true = _seen(text, cores, base)
-                key = (n, tuple(x.tobytes() for _, _, x in stretches), tuple(sorted(true.items())))
-                cases[key] = ((n, stretches, true), 0, cases.get(key, (0, 0, 0))[2] + 1)
+        for island in islands(text):
+            for cores in runs(island, base):
+                if sum(c[2] for c in cases.values()) < SAMPLE_ISLANDS:
+                    n, stretches, true = _seen(text, cores, base)
+                    key = (n, tuple(x.tobytes() for _, _, x in stretches), tuple(sorted(true.items())))
+                    cases[key] = ((n, stretches, true), 0, cases.get(key, (0, 0, 0))[2] + 1)
     weights, total = np.zeros((len(KINDS), WIDTH)), sum(c[2] for c in cases.values())
     pace = np.zeros_like(weights)
     for _ in range(STEPS if total else 0):
@@ -221,8 +260,15 @@ def fit(texts: list[str]) -> Field:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_TEXTS) -> Field:
-    """Fit a field to at most ``sample`` different texts that hold a digit, ``@`` or ``+``."""
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@+]") & (F.length("text") < 20_000)).withColumn("h", F.xxhash64("text"))
+    """Fit a field to at most ``sample`` different texts, or units of long ones, that hold a digit, ``@`` or ``+``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.record_batch([pa.array(units(t.as_py()), pa.string())], ["text"])
+
+    told = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@+]"))
+    rows = told.where(F.length("text") < UNIT).union(told.where(F.length("text") >= UNIT).mapInArrow(cut, "text string")).withColumn("h", F.xxhash64("text"))
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     # Only hashes are ranked; then the texts up to the last one are fetched.
     texts = rows.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")) if last is not None else rows.limit(0)

@@ -125,3 +125,22 @@ def test_odd(spark, docs):
     assert [r.n_email for r in got] == [len([s for s in pii.base_spans(t or "") if s[0] == "email"]) for _, t in rows]
     assert got[1].spans == got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find_pii(docs([])).count() == 0
+
+
+def test_long_texts_and_islands_are_fitted(spark, docs):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009"]
+    row = lambda k: f"card {cards[k % 3]} or {k} or a{k}@b.cc"
+    field = pii.train(docs([(1, "word " * 5000 + "\n".join(map(row, range(200))))]))
+    assert field.weights.any() and [t[0] for t in pii.find_spans(f"{cards[0]} {cards[1]}", field)[1]] == ["card", "card"]
+    table = " ".join(f"a{k}@b.cc 1 {cards[k % 3]}x" for k in range(60))
+    assert pii.fit([table]).weights.any()
+
+
+def test_units_keep_every_chunk_and_span():
+    text = "start " * 4000 + " ".join(f"4111 1111 1111 1111 x {k}" for k in range(900)) + " end\n" + "+1 (202) 555-0143 " * 3000
+    parts = list(pii.units(text))
+    assert len(parts) > 1 and max(map(len, parts)) <= pii.UNIT
+    chunks = lambda t: [t[s:e] for cores in pii.islands(t) for s, e in cores]
+    assert [c for p in parts for c in chunks(p)] == chunks(text)
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii.base_spans(t)]
+    assert sorted(x for p in parts for x in spans(p)) == sorted(spans(text))
