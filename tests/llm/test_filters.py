@@ -31,7 +31,7 @@ def test_transducer_long():
 
 
 def brute(rows, labels):
-    good, toxic = ({i for i, q, t in labels if (q, t)[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, q, t in labels if (q, t)[k] == 1 and i is not None} for k in (0, 1))
     docs = []
     for i, text, lang in rows:
         text = text or ""
