@@ -217,7 +217,7 @@ def _tiles(rows: DataFrame, asking: DataFrame, width: int, k: int, same: bool, s
     def tile(block: pd.DataFrame) -> pd.DataFrame:
         asked, others = block[block["code"].isna()], block[block["code"].notna()]
         if not len(asked) or not len(others):
-            return pd.DataFrame({c: [] for c in ("anchor", "row", "of", "id", "score")})
+            return pd.DataFrame({c: np.empty(0, object if c == "row" else np.int64) for c in ("anchor", "row", "of", "id", "score")})
         names = {x: i for i, x in enumerate(sorted(set(block["label"])))}
         mine, theirs = (x["label"].map(names).to_numpy() for x in (asked, others))
         bands = [[(b["of"], b["least"], b["most"]) for b in x] for x in asked["bands"]]
