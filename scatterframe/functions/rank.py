@@ -1,15 +1,18 @@
 """Ranks, order statistics and empirical distributions that survive hot groups.
 
-Everything starts from ``cdf``: one row per distinct value of a group with its
-count, the number of smaller rows and the group total.  Rows are pre-aggregated
-by value before the shuffle.  While every group holds at most ``piece_rows``
-distinct values, one window per group ranks them.  Beyond that, groups are cut
-at a share of their own values (chosen by hash, so a rerun cuts alike), ranked piece by piece, and the piece offsets are added; no task sees a
-whole group.
+Everything starts from ``running``: sums of weights up to each row of its group.
+``cdf`` applies it to one row per distinct value of a group, so rows are
+pre-aggregated by value before the shuffle.  While every group holds at most
+``piece_rows`` rows, one window per group adds them up.  Beyond that the table
+is dealt by ranges of (group, value): each range is summed on its own, and the
+totals of the ranges before it, one row for each range and group, are added.
+No task sees more than its range, however large a group is.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +29,53 @@ def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
     )
 
 
-def _cdf_window(vc: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return vc.select(
-        *keys, "v", "cnt", (F.sum("cnt").over(run) - F.col("cnt")).alias("below"), F.sum("cnt").over(w).alias("total"))
-
-
 def _largest(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group: one light pass over the key columns."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("b")).first()["b"] or 0
 
 
+def _in_order(keys: list[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _running_windows(df: DataFrame, keys: list[str], order: str, weights: list[str]) -> DataFrame:
+    run, whole = _in_order(keys, order), Window.partitionBy(*keys)
+    return df.withColumns({f"upto_{w}": F.sum(w).over(run) for w in weights} | {f"total_{w}": F.sum(w).over(whole) for w in weights})
+
+
+def _running_ranges(df: DataFrame, keys: list[str], order: str, weights: list[str], piece_rows: int) -> DataFrame:
+    rows, spark = df.count(), df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // piece_rows))
+    # the number of a range is stored with its rows, so that a rerun cannot cut otherwise
+    dealt = settle(df.repartitionByRange(ranges, *keys, order).withColumn("_range", F.spark_partition_id()))
+    inside = _in_order(["_range", *keys], order)
+    sums = dealt.groupBy("_range", *keys).agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    before, whole = _in_order(keys, "_range"), Window.partitionBy(*keys)
+    offsets = sums.select("_range", *keys, *[(F.sum(f"_{w}").over(before) - F.col(f"_{w}")).alias(f"before_{w}") for w in weights],
+                          *[F.sum(f"_{w}").over(whole).alias(f"total_{w}") for w in weights])
+    summed = dealt.withColumns({f"upto_{w}": F.sum(w).over(inside) for w in weights})
+    out = attach(summed, offsets, ["_range", *keys])
+    return out.withColumns({f"upto_{w}": F.col(f"upto_{w}") + F.col(f"before_{w}") for w in weights}).drop("_range", *[f"before_{w}" for w in weights])
+
+
+def running(df: DataFrame, keys: list[str], order: str, weights: list[str], small: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``df`` with ``upto_w``, the sum of each weight up to and with the row, and ``total_w``, that of its group.
+
+    Rows of a group must differ in ``order``.  ``small`` states that groups are
+    bounded by design, so their size is not looked up.
+    """
+    if small:
+        return _running_windows(df, keys, order, weights)
+    df = settle(df)  # read several times below, computed once
+    sums = _running_windows if _largest(df, keys) <= piece_rows else partial(_running_ranges, piece_rows=piece_rows)
+    return sums(df, keys, order, weights)
+
+
+def row_numbers(df: DataFrame, order: str, name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``df`` with its rows, which must differ in ``order``, numbered from 1."""
+    return running(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, ["_one"], piece_rows=piece_rows).withColumnRenamed("upto__one", name).drop("_one", "total__one")
+
+
 def cdf(df: DataFrame, keys: list[str], value, small: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(keys, v, cnt, below, total).
 
@@ -45,42 +83,9 @@ def cdf(df: DataFrame, keys: list[str], value, small: bool = False, piece_rows:
     looked up.  With ``value=None`` the input already holds (keys, v, cnt).
     """
     vc = df if value is None else value_counts(df, keys, value)
-    if small or (value is not None and _largest(df, keys) <= piece_rows):
-        return _cdf_window(vc, keys)
-    vc = settle(vc)  # read several times below, computed once
-    if _largest(vc, keys) <= piece_rows:
-        return _cdf_window(vc, keys)
-    return _cdf_pieces(vc, keys, piece_rows)
-
-
-def _cdf_pieces(vc: DataFrame, keys: list[str], piece_rows: int) -> DataFrame:
-    by = keys
-    if not keys:
-        by, vc = ["_g"], vc.withColumn("_g", F.lit(0))
-    # Knots exist only for groups above the bound.
-    hot = vc.groupBy(*by).agg(F.count("*").alias("nv")).where(F.col("nv") > piece_rows)
-    # A value is a knot by its hash alone: about four for every piece_rows values.
-    knots = (
-        attach(vc.select(*by, "v"), hot.select(*by), by)
-        .where(F.pmod(F.xxhash64("v"), F.lit(max(1, piece_rows // 4))) == 0)
-        .groupBy(*by).agg(F.array_sort(F.collect_list("v")).alias("knots"))
-    )
-    pieces = attach(vc, knots, by, "left").withColumn(
-        "piece", F.coalesce(F.size(F.filter("knots", lambda k: k <= F.col("v"))), F.lit(0))
-    ).withColumn("piece", F.greatest("piece", F.lit(0))).drop("knots")
-    w_piece = Window.partitionBy(*by, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = pieces.withColumn("upto", F.sum("cnt").over(w_piece))
-    sums = pieces.groupBy(*by, "piece").agg(F.sum("cnt").alias("n"))
-    w_key = Window.partitionBy(*by)
-    offsets = sums.select(
-        *by, "piece",
-        (F.sum("n").over(w_key.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("n")).alias("before"),
-        F.sum("n").over(w_key).alias("total"),
-    )
-    return ranked.join(offsets, [*by, "piece"]).select(
-        *keys, "v", "cnt", (F.col("before") + F.col("upto") - F.col("cnt")).alias("below"), "total"
-    )
+    small = small or (value is not None and _largest(df, keys) <= piece_rows)
+    out = running(vc, keys, "v", ["cnt"], small, piece_rows)
+    return out.select(*keys, "v", "cnt", (F.col("upto_cnt") - F.col("cnt")).alias("below"), F.col("total_cnt").alias("total"))
 
 
 def order_stats(c: DataFrame, keys: list[str], picks: dict[str, Column]) -> DataFrame:
@@ -160,3 +165,33 @@ def _weighted_corr(rows: DataFrame, by: list[str]) -> DataFrame:
         F.sum("w").alias("m"), (F.min("x") != F.max("x")).alias("_vx"), (F.min("y") != F.max("y")).alias("_vy"),
         F.sum(a * a * w).alias("aa"), F.sum(b * b * w).alias("bb"), F.sum(a * b * w).alias("ab"))
     return s.select(*by, "m", F.when(F.col("_vx") & F.col("_vy"), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
+
+
+def kendall_rows(df: DataFrame, keys: list[str], x, y, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Kendall tau-b of raw rows per group, hot groups included: (keys, m, rho).
+
+    Inversions are counted as a merge sort does, in log2(rows) rounds at once.
+    Rows are sorted by x into positions; two of them meet in the one round in
+    which their positions first differ by a bit, on its two sides.  There each
+    row of the upper side counts the lower side's rows with a smaller and with a
+    larger y, which are running sums by y.  Rows with equal x share a position
+    and never meet; with equal y they count for neither.
+    """
+    by = keys or ["_g"]
+    raw = df.select(*(keys or [F.lit(0).alias("_g")]), as_col(x).alias("x"), as_col(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = settle(raw.groupBy(*by, "x", "y").agg(F.count("*").alias("w")))
+    sides = {c: cdf(pairs.groupBy(*by, F.col(c).alias("v")).agg(F.sum("w").alias("cnt")), by, None, piece_rows=piece_rows) for c in "xy"}
+    placed = attach(pairs, sides["x"].select(*by, F.col("v").alias("x"), F.col("below").alias("at"), F.col("total").alias("m")), [*by, "x"])
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.col("m") - 1)) - 1)
+    met = placed.select(*by, "y", "w", "at", F.explode(rounds).alias("_bit"))
+    upper = F.expr("shiftright(at, _bit) & 1") == 1
+    met = met.groupBy(*by, "_bit", F.expr("shiftright(at, _bit + 1)").alias("_run"), "y").agg(
+        F.sum(F.when(upper, 0).otherwise(F.col("w"))).alias("low"), F.sum(F.when(upper, F.col("w")).otherwise(0)).alias("up"))
+    seen = running(met, [*by, "_bit", "_run"], "y", ["low"], piece_rows=piece_rows)
+    smaller, larger = F.col("upto_low") - F.col("low"), F.col("total_low") - F.col("upto_low")
+    score = seen.groupBy(*by).agg((2 * F.sum(F.col("up") * (smaller - larger))).cast("double").alias("s"))
+    # ordered pairs that differ in x, and in y
+    untied = {c: t.groupBy(*by).agg(F.max("total").alias("m"), F.sum((F.col("cnt") * (F.col("total") - F.col("cnt"))).cast("double")).alias(f"n{c}")) for c, t in sides.items()}
+    d = attach(attach(untied["x"], untied["y"].drop("m"), by), score, by)
+    rho = F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny")))
+    return d.select(*keys, "m", rho.alias("rho"))

@@ -12,8 +12,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dims import settle
 from ..functions.numeric import atanh_clipped, big, finite
-from ..functions.rank import avg_rank_small, percentiles, spearman_rows
+from ..functions.rank import PIECE_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_rows
 
 CB = ["condition", "block"]
 
@@ -214,25 +215,10 @@ def rank_partial_by_block(cells: DataFrame, metrics: list[str], outcome: str, co
     return s.select(*keys, "m", F.when(den2 > 1e-12, (F.col("xy") - F.col("xc") * F.col("cy")) / F.sqrt(den2)).alias("rho"))
 
 
-def kendall_by_block(long: DataFrame, keys: list[str] | None = None, least: int = 5) -> DataFrame:
-    """Kendall tau-b per (condition, block, metric).
-
-    A group holds one row per method; it is kept as one array of (x, y) and the
-    concordance is summed inside the row, so pairs are never rows.
-    """
-    keys = keys or [*CB, "metric"]
-    g = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys).agg(
-        F.array_agg(F.struct("x", "y")).alias("v"), F.count("*").alias("m"), (F.min("x") != F.max("x")).alias("_v"))
-    g = g.where((F.col("m") >= least) & F.col("_v"))
-
-    def total(f):
-        return F.aggregate("v", F.lit(0.0), lambda s, p: s + F.aggregate("v", F.lit(0.0), lambda t, q: t + f(p, q)))
-
-    sx = lambda p, q: F.signum(p["x"] - q["x"])
-    sy = lambda p, q: F.signum(p["y"] - q["y"])
-    d = g.select(*keys, "m", total(lambda p, q: sx(p, q) * sy(p, q)).alias("s"),
-                 total(lambda p, q: F.abs(sx(p, q))).alias("nx"), total(lambda p, q: F.abs(sy(p, q))).alias("ny"))
-    return d.select(*keys, "m", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("rho"))
+def kendall_by_block(long: DataFrame, keys: list[str] | None = None, least: int = 5, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Kendall tau-b per (condition, block, metric), of cells or of raw trials."""
+    k = kendall_rows(long, keys or [*CB, "metric"], "x", "y", piece_rows)
+    return k.where((F.col("m") >= least) & F.col("rho").isNotNull())
 
 
 def tau_threshold(rho: float = 0.30) -> float:
@@ -242,8 +228,11 @@ def tau_threshold(rho: float = 0.30) -> float:
     return 2 / pi * asin(2 * sin(pi * rho / 6))
 
 
-def pooled_vs_within(long: DataFrame, least_pooled: int = 11) -> DataFrame:
-    """Spearman over all cells of a condition beside the within-block value."""
-    within = fisher_combine(spearman_by_block(long), ["condition", "metric"]).withColumnRenamed("rho", "within")
-    pooled = spearman_rows(long, ["condition", "metric"], "x", "y").where(F.col("m") >= least_pooled)
+def pooled_vs_within(long: DataFrame, least_pooled: int = 11, least: int = 5) -> DataFrame:
+    """Spearman over all cells of a condition beside the within-block value, both ranked in one pass."""
+    levels = F.array(F.struct(F.col("block").alias("_block"), F.lit(False).alias("pooled")), F.struct(F.lit(None).cast(long.schema["block"].dataType).alias("_block"), F.lit(True).alias("pooled")))
+    both = long.select("condition", "metric", "x", "y", F.inline(levels)).withColumnRenamed("_block", "block")
+    s = settle(spearman_rows(both, [*CB, "metric", "pooled"], "x", "y").where(F.col("rho").isNotNull()))
+    within = fisher_combine(s.where(~F.col("pooled") & (F.col("m") >= least)), ["condition", "metric"]).withColumnRenamed("rho", "within")
+    pooled = s.where(F.col("pooled") & (F.col("m") >= least_pooled))
     return pooled.select("condition", "metric", "m", F.col("rho").alias("pooled")).join(within, ["condition", "metric"])

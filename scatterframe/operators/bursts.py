@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import attach
 from ..functions.numeric import EPS, big, hash32
-from ..functions.rank import percentiles, value_counts
+from ..functions.rank import PIECE_ROWS, percentiles, running, value_counts
 
 
 def runs(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,10 +37,10 @@ def run_quantiles(r: DataFrame, keys: list[str], ps=(5, 25, 50, 75, 95)) -> Data
     return percentiles(r, keys, "len", {f"p{p}": p for p in ps}, small=True)
 
 
-def ks_two_sample(r: DataFrame, group: str, reference: str, value: str, k: float = 1.36) -> DataFrame:
+def ks_two_sample(r: DataFrame, group: str, reference: str, value: str, k: float = 1.36, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """sup|F1 - F2| of every group against one reference group, with the critical value.
 
-    Works on counts per distinct value, so its windows hold one row per value.
+    Works on running counts per distinct value; a group with many of them is dealt by ranges.
     """
     vc = value_counts(r, [group], value)
     ref = vc.where(F.col(group) == reference).select("v", F.col("cnt").alias("y"))
@@ -50,10 +50,8 @@ def ks_two_sample(r: DataFrame, group: str, reference: str, value: str, k: float
     grid = others.withColumn("y", F.lit(0).cast("bigint")).unionByName(
         ref.select(F.explode(names).alias(group), "v", F.lit(0).cast("bigint").alias("x"), "y"))
     grid = grid.groupBy(group, "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.partitionBy(group)
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n, m = F.sum("x").over(w), F.sum("y").over(w)
-    g = grid.select(group, n.alias("n"), m.alias("m"), F.abs(F.sum("x").over(run) / n - F.sum("y").over(run) / m).alias("d"))
+    g = running(grid, [group], "v", ["x", "y"], piece_rows=piece_rows)
+    g = g.select(group, F.col("total_x").alias("n"), F.col("total_y").alias("m"), F.abs(F.col("upto_x") / F.col("total_x") - F.col("upto_y") / F.col("total_y")).alias("d"))
     out = g.groupBy(group).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("d").alias("ks"))
     return out.withColumn("critical", k * F.sqrt((F.col("n") + F.col("m")) / (F.col("n").cast("double") * F.col("m"))))
 

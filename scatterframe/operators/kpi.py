@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import attach, union_all, with_totals
+from ..functions.dims import attach, settle, with_totals
 from ..functions.numeric import EPS, as_col, big, finite
 from ..functions.rank import avg_rank_small
 
@@ -149,15 +149,22 @@ def fit_weights(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def affine_groupings(scored: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
-    """Largest residual of z = a*x + b fitted per group, for each candidate grouping."""
-    out = []
-    for name, keys in candidates.items():
-        fit = scored.groupBy(*keys).agg(F.regr_slope("cr_z", "cr").alias("a"), F.regr_intercept("cr_z", "cr").alias("b"))
-        r = attach(scored.select(*keys, "cr", "cr_z"), fit, keys)
-        out.append(r.agg(F.max(F.abs(F.col("cr_z") - F.col("a") * F.col("cr") - F.col("b"))).alias("worst"),
-                         F.greatest(F.lit(1.0), F.max(F.abs("cr_z"))).alias("scale")).select(
-            F.lit(name).alias("grouping"), "worst", (F.col("worst") < 1e-6 * F.col("scale")).alias("affine")))
-    return union_all(out)
+    """Largest residual of z = a*x + b fitted per group, for each candidate grouping.
+
+    One pass fits all candidates as grouping sets, a second takes all residuals.
+    """
+    cols = list(dict.fromkeys(k for keys in candidates.values() for k in keys))
+    number = {name: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keys) for name, keys in candidates.items()}
+    sets = {number[name]: keys for name, keys in candidates.items()}
+    fits = settle(scored.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(c) for c in cols]).agg(
+        F.grouping_id(*cols).alias("_set"), F.regr_slope("cr_z", "cr").alias("a"), F.regr_intercept("cr_z", "cr").alias("b")))
+    r = scored.select(*cols, "cr", "cr_z")
+    for i, keys in sets.items():
+        r = attach(r, fits.where(F.col("_set") == i).select(*keys, F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}")), keys)
+    worst = [F.max(F.abs(F.col("cr_z") - F.col(f"a{i}") * F.col("cr") - F.col(f"b{i}"))).alias(f"w{i}") for i in sets]
+    one = r.agg(F.greatest(F.lit(1.0), F.max(F.abs("cr_z"))).alias("scale"), *worst)
+    rows = F.array(*[F.struct(F.lit(name).alias("grouping"), F.col(f"w{i}").alias("worst")) for name, i in number.items()])
+    return one.select("scale", F.inline(rows)).select("grouping", "worst", (F.col("worst") < 1e-6 * F.col("scale")).alias("affine"))
 
 
 def population_fit(scored: DataFrame, keys: list[str], scope: Column, cell: list[str]) -> DataFrame:
@@ -234,11 +241,36 @@ def metric_mean_finite(df: DataFrame, keys: list[str], metrics: dict[str, Column
     return long.withColumn("rank", big(F.row_number().over(w)))
 
 
-def noise_discretize(df: DataFrame, value, levels: list[float]) -> DataFrame:
-    """Nearest level by midpoints; a value on a midpoint goes to the higher level."""
-    mids = [a + (b - a) / 2 for a, b in zip(levels, levels[1:])]
-    cat = sum(((as_col(value) >= F.lit(m)).cast("bigint") for m in mids), F.lit(1).cast("bigint"))
-    return df.withColumn("noise_cat", cat)
+def noise_discretize(df: DataFrame, value, levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``noise_cat``: the number of the nearest level of the row's key, by midpoints; a midpoint goes to the higher level.
+
+    ``levels`` is (keys, level).  Between the lowest and the highest midpoint of a
+    key the line is cut into four buckets a level; an interval meets the values
+    of the buckets that it touches.  NULL values and keys without levels get NULL.
+    """
+    by = keys or ["_g"]
+    if not keys:
+        df, levels = df.withColumn("_g", F.lit(0)), levels.withColumn("_g", F.lit(0))
+    w = Window.partitionBy(*by).orderBy("level")
+    before = F.lag("level").over(w)
+    d = levels.select(*by, F.col("level").cast("double").alias("level")).where(F.col("level").isNotNull()).distinct()
+    d = d.select(*by, big(F.row_number().over(w)).alias("noise_cat"), (before + (F.col("level") - before) / 2).alias("_lo"))
+    d = d.withColumn("_hi", F.lead("_lo").over(Window.partitionBy(*by).orderBy("noise_cat")))
+    shape = d.groupBy(*by).agg(F.min("_lo").alias("_first"), (4.0 * F.count("*")).alias("_cuts"), (F.max("_lo") - F.min("_lo")).alias("_range"))
+
+    def bucket(v):
+        width = F.when(F.col("_range") > 0, F.col("_range") / F.col("_cuts")).otherwise(1.0)
+        place = F.floor(F.least((v - F.col("_first")) / width, F.col("_cuts"))) + 1
+        return F.when(F.col("_first").isNull(), 0).otherwise(F.greatest(F.lit(0), place)).cast("bigint")
+
+    ends = F.sequence(F.when(F.col("_lo").isNull(), F.lit(0).cast("bigint")).otherwise(bucket(F.col("_lo"))),
+                      F.when(F.col("_hi").isNull(), big(F.col("_cuts")) + 1).otherwise(bucket(F.col("_hi"))))
+    intervals = attach(d, shape, by).select(*by, "noise_cat", "_lo", "_hi", F.explode(ends).alias("_bucket"))
+    v = as_col(value).cast("double")
+    rows = attach(df, shape, by, "left").withColumn("_bucket", F.when(v.isNotNull() & F.col("_cuts").isNotNull(), bucket(v)))
+    met = attach(rows, intervals, [*by, "_bucket"], "left")
+    inside = (F.col("_lo").isNull() | (v >= F.col("_lo"))) & (F.col("_hi").isNull() | (v < F.col("_hi")))
+    return met.where(F.col("noise_cat").isNull() | inside).drop("_first", "_cuts", "_range", "_bucket", "_lo", "_hi", *([] if keys else ["_g"]))
 
 
 def kappa_rank_agreement(free: DataFrame, keys: list[str], block: str, least: int = 3) -> DataFrame:

@@ -335,10 +335,19 @@ def permutations(spark: SparkSession, rules, n: int) -> DataFrame:
     return union_all([permutation(spark, r, n, **p).withColumn("method", F.lit(r)) for r, p in items])
 
 
-def permutations_of(frames: DataFrame, rules) -> DataFrame:
-    """The rules for every frame length that occurs, of which there are few."""
+def listed(rule: str, n: int) -> bool:
+    """Whether a rule has parameters for frames of ``n`` rows; only published tables leave lengths out."""
+    return rule != "arp" or any(r[0] == n for r in ARP_TABLE)
+
+
+def permutations_of(frames: DataFrame, rules, where_listed: bool = False) -> DataFrame:
+    """The rules for every frame length that occurs, of which there are few.
+
+    With ``where_listed`` a rule without parameters for a length is passed over there.
+    """
     lengths = sorted(r["n_rows"] for r in frames.select("n_rows").distinct().collect())
-    return union_all([permutations(frames.sparkSession, rules, n) for n in lengths])
+    items = [(r, {}) if isinstance(r, str) else r for r in rules]
+    return union_all([permutations(frames.sparkSession, [i for i in items if not where_listed or listed(i[0], n)], n) for n in lengths])
 
 
 def number_rows(df: DataFrame, frame_cols: list[str], order_col: str) -> DataFrame:

@@ -6,12 +6,17 @@ The functions at the top give the parameters of one length as plain integers
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import count, takewhile
 from math import ceil, floor, gcd, isqrt, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.dims import settle, spread
+from ..functions.dims import attach, settle, spread
 from ..functions.numeric import as_col, big, idiv, modpow
 from ..functions.numeric import gcd as gcd_col
 
@@ -78,16 +83,22 @@ def prime_factors(n: int) -> list[int]:
     return out + ([n] if n > 1 else [])
 
 
+def _products(m: int, k: int, least: int = 2) -> list[tuple[int, ...]]:
+    """All ways to write m as k rising factors of at least ``least``."""
+    if k == 1:
+        return [(m,)] if m >= least else []
+    return [(a, *rest) for a in takewhile(lambda a: a**k <= m, count(least)) if m % a == 0 for rest in _products(m // a, k - 1, a)]
+
+
 def balanced_dims(n: int, k: int, extend: float) -> list[int]:
-    """k sides of the first length from n up that has k prime factors, kept near equal."""
+    """k sides for the first length from n up that has k factors.
+
+    A box of given volume is the nearer to a cube the smaller the sum of its
+    sides; of equal sums the one with the smaller longest side is taken.
+    """
     for m in range(n, floor(n * (1 + extend)) + 1):
-        fs = sorted(prime_factors(m), reverse=True)
-        if len(fs) >= k:
-            sides = fs[:k]
-            for f in fs[k:]:
-                j = sides.index(min(sides))
-                sides[j] *= f
-            return sorted(sides)
+        if boxes := _products(m, k):
+            return list(min(boxes, key=lambda s: (sum(s), s[-1])))
     raise ValueError(f"no {k}-way split of {n} within {extend:.0%}")
 
 
@@ -107,22 +118,71 @@ def next_prime_root(n: int) -> tuple[int, int]:
 
 # --- jobs over tables of lengths ------------------------------------------
 
+#: Numbers of one segment of the sieve.
+SEGMENT = 1 << 20
+
+
+def smallest_factors(top: int, spark, segment: int = SEGMENT) -> DataFrame:
+    """(n, spf) for 2 <= n <= top: the smallest prime factor of each number, by a segmented sieve.
+
+    The primes up to the square root of ``top``, few beside ``top``, come from
+    the same sieve.  Each row of the first step is one segment; it crosses out
+    the multiples of one prime at a time, from its square on.
+    """
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("spf", T.LongType())])
+    segments = max(1, -(-(top + 1) // segment))
+    starts = spark.range(segments, numPartitions=min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return starts.mapInPandas(partial(_sieved, top=top, segment=segment), schema)
+
+
+def _sieved(batches, top: int, segment: int):
+    base = _base_primes(isqrt(top))
+    for batch in batches:
+        for s in batch["id"]:
+            lo, hi = max(2, s * segment), min(top + 1, (s + 1) * segment)
+            spf = np.arange(lo, hi)
+            for p in base[base * base < hi][::-1]:  # the smallest comes last and stays
+                first = max(p * p, -(-lo // p) * p)
+                spf[first - lo :: p] = p
+            yield pd.DataFrame({"n": np.arange(lo, hi), "spf": spf})
+
+
+def _base_primes(top: int) -> np.ndarray:
+    keep = np.ones(top + 1, bool)
+    keep[:2] = False
+    for i in range(2, isqrt(top) + 1):
+        if keep[i]:
+            keep[i * i :: i] = False
+    return np.flatnonzero(keep)
+
+
 def primes(numbers: DataFrame, col: str = "n") -> DataFrame:
-    """The rows of a number table that are prime: no divisor up to the square root."""
-    tests = F.sequence(F.lit(2).cast("bigint"), F.greatest(F.lit(2), F.floor(F.sqrt(F.col(col)))).cast("bigint"))
-    divides = F.exists(tests, lambda d: (F.col(col) > d) & (F.col(col) % d == 0))
-    return numbers.where((F.col(col) >= 2) & ~divides)
+    """The rows of a number table that are prime: met by the sieve as their own smallest factor."""
+    top = numbers.agg(F.max(col)).first()[0] or 0
+    if top < 2:
+        return numbers.limit(0)
+    found = smallest_factors(int(top), numbers.sparkSession).where(F.col("n") == F.col("spf")).select(F.col("n").alias("_p"))
+    return numbers.join(found, numbers[col] == F.col("_p"), "left_semi")
 
 
 def factor_pairs(numbers: DataFrame, col: str = "n") -> DataFrame:
-    """(n, a, b) with a*b = n and 2 <= a <= b."""
-    n = F.col(col)
-    return (
-        numbers.where(n >= 4)
-        .withColumn("a", F.explode(F.sequence(F.lit(2).cast("bigint"), F.floor(F.sqrt(n)).cast("bigint"))))
-        .where(n % F.col("a") == 0)
-        .select(n.alias("n"), "a", idiv(n, F.col("a")).alias("b"))
-    )
+    """(n, a, b) with a*b = n and 2 <= a <= b.
+
+    Every factor up to the square root of the largest number is written against
+    its multiples from its square on, so all pairs of all numbers come without a
+    division; they meet the table on n.
+    """
+    top = numbers.agg(F.max(col)).first()[0] or 0
+    if top < 4:
+        return numbers.where(F.lit(False)).select(F.col(col).alias("n"), big(F.lit(2)).alias("a"), big(F.lit(2)).alias("b"))
+    sides = numbers.sparkSession.range(2, isqrt(int(top)) + 1).select(F.col("id").alias("a"))
+    # a factor has top/a multiples: long rows of them are cut into even stretches
+    width = F.lit(SEGMENT).cast("long")
+    cut = sides.withColumn("_from", F.explode(F.sequence(F.col("a"), F.floor(F.lit(int(top)) / F.col("a")).cast("long"), width)))
+    last = F.least(F.col("_from") + width - 1, F.floor(F.lit(int(top)) / F.col("a")).cast("long"))
+    pairs = spread(cut, "a", "_from").select("a", F.explode(F.sequence("_from", last)).alias("b"))
+    pairs = pairs.select((F.col("a") * F.col("b")).alias("_n"), "a", "b")
+    return numbers.join(pairs, numbers[col] == F.col("_n")).select(F.col(col).alias("n"), "a", "b")
 
 
 def best_pairs(pairs: DataFrame, min_factor: int = 2) -> DataFrame:
@@ -225,41 +285,58 @@ def all_lags(n: Column) -> Column:
     return F.sequence(F.lit(1), F.least((n - 1).cast("int"), (F.ceil(2 * F.sqrt(n - 1.0)) + 1).cast("int")))
 
 
-def cyclic_spread(p: Column, n: Column) -> Column:
-    """min over lags of lag + cyclic distance, for one permutation held as an array."""
-    p = as_col(p)
-    lags = all_lags(n)
+#: Lags that rank all candidates of a search before the others are looked at.
+FIRST_LAGS = 4
 
-    def at_lag(d):
-        gaps = F.zip_with(F.slice(p, F.lit(1), F.size(p) - d), F.slice(p, d + 1, F.size(p) - d), lambda u, v: F.abs(v - u))
-        return F.array_min(F.transform(gaps, lambda x: F.least(x, n - x))) + d
 
-    return F.array_min(F.transform(lags, at_lag))
+def _best_candidate(cand: DataFrame, by: list[str], choice: list[str], at_lag) -> DataFrame:
+    """Per key the candidate with the greatest least score over all lags, the first in ``choice`` order on ties.
+
+    Branch and bound: the shortest lags give every candidate an upper bound.  The
+    best by that bound is scored over all lags, and only candidates whose bound
+    reaches its score are scored further.
+    """
+    n = F.col("n")
+    least = lambda lags: F.array_min(F.transform(lags, at_lag)).cast("bigint")
+    order = [-F.col(c) for c in choice]
+    bounded = settle(cand.withColumn("bound", least(F.slice(all_lags(n), 1, FIRST_LAGS))))
+    lead = bounded.groupBy(*by).agg(F.max_by(F.struct(*choice), F.struct("bound", *order)).alias("c"), F.count("*").alias("tried"))
+    reached = lead.select(*by, "tried", "c.*").withColumn("reached", least(all_lags(n))).select(*by, "tried", "reached")
+    left = attach(bounded, reached, by).where(F.col("bound") >= F.col("reached"))
+    scored = spread(left, *by, *choice).withColumn("score", least(all_lags(n)))
+    return scored.groupBy(*by).agg(F.max_by(F.struct(*choice, "score"), F.struct("score", *order)).alias("c"), F.max("tried").alias("tried")).select(*by, "c.*", "tried")
+
+
+def qpp_lag_score(n: Column, f1: Column, f2: Column, d: Column) -> Column:
+    """lag + least cyclic distance of images ``d`` apart under f1*x + f2*x^2 mod n, f2 a multiple of the radical of n.
+
+    The distances are f1*d + f2*d^2 + 2*f2*d*x mod n.  Over n/g values of x,
+    g = gcd(2*f2*d, n), they take every residue that is congruent to the first
+    modulo g; with fewer values, in short frames only, they are gone through.
+    """
+    first = (f1 * d + f2 * (d * d % n)) % n
+    g = gcd_col(2 * f2 % n * d % n, n)
+    g = F.when(g == 0, n).otherwise(g)
+    cyclic = lambda v, m: F.least(v % m, m - v % m)
+    walked = F.array_min(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1 - d), lambda x: cyclic(first + 2 * f2 % n * (d * x % n) % n, n)))
+    return d + F.when((n - d) * g >= n, cyclic(first, g)).otherwise(walked)
 
 
 def qpp_search(lengths: DataFrame) -> DataFrame:
     """Best quadratic map f1*x + f2*x^2 mod n by cyclic spread, one row per length.
 
-    f1 is coprime to n and f2 a multiple of the radical of n.  All bijective
-    pairs are compared; the first in (f1, f2) order wins ties.
+    f1 is coprime to n and f2 a multiple of the radical of n, which makes every
+    such map a bijection; ``tried`` is their number.  The first in (f1, f2)
+    order wins ties.
     """
     n, f1, f2 = F.col("n"), F.col("f1"), F.col("f2")
     base = lengths.select(big("n").alias("n")).distinct()
-    small = F.sequence(F.lit(2).cast("bigint"), n)
-    is_prime = lambda d: ~F.exists(F.sequence(F.lit(2).cast("bigint"), d), lambda e: (e < d) & (d % e == 0))
-    rad = F.aggregate(F.filter(small, lambda d: (n % d == 0) & is_prime(d)), F.lit(1).cast("bigint"), lambda s, d: s * d)
-    x = F.sequence(F.lit(0).cast("bigint"), n - 1)
-    firsts = base.withColumn("rad", rad).withColumn("f1", F.explode(F.sequence(F.lit(1).cast("bigint"), n - 1))).where(gcd_col(f1, n) == 1)
-    cand = (
-        spread(firsts, "n", "f1")
-        .withColumn("f2", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.col("rad"))))
-        .withColumn("map", F.transform(x, lambda v: (f1 * v + f2 * (v * v % n)) % n))
-        .where(F.size(F.array_distinct("map")) == n)
-    )
-    scored = cand.withColumn("spread", cyclic_spread("map", n)).drop("map")
-    return scored.groupBy("n").agg(
-        F.max_by(F.struct("f1", "f2", "spread"), F.struct("spread", -f1, -f2)).alias("b"), F.count("*").alias("tried")
-    ).select("n", F.col("b.f1").alias("f1"), F.col("b.f2").alias("f2"), F.col("b.spread").alias("spread"), "tried")
+    prime_divisors = primes(base.select(F.explode(F.sequence(F.lit(2).cast("bigint"), n)).alias("q")).distinct(), "q")
+    rad = base.join(prime_divisors, n % F.col("q") == 0).groupBy("n").agg(F.aggregate(F.collect_list("q"), F.lit(1).cast("bigint"), lambda s, q: s * q).alias("rad"))
+    firsts = rad.withColumn("f1", F.explode(F.sequence(F.lit(1).cast("bigint"), n - 1))).where(gcd_col(f1, n) == 1)
+    cand = spread(firsts, "n", "f1").withColumn("f2", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.col("rad")))).select("n", "f1", "f2")
+    best = _best_candidate(cand, ["n"], ["f1", "f2"], lambda d: qpp_lag_score(n, f1, f2, d.cast("bigint")))
+    return best.select("n", "f1", "f2", F.col("score").alias("spread"), "tried")
 
 
 def snew_array(p: Column, lags: Column) -> Column:
@@ -342,21 +419,38 @@ def arp_strides(lengths: DataFrame) -> DataFrame:
     return d.groupBy("n").agg(F.min_by(p, F.struct(F.abs(p - F.sqrt(2.0 * n)), p)).alias("p0"))
 
 
+def arp_lag_score(n: Column, p0: Column, phases: list[Column], d: Column) -> Column:
+    """lag + least image difference of slots ``d`` apart under the 4-phase map.
+
+    Slots of phase r differ by c = p0*d + phase(r+d) - phase(r) mod n, as c or,
+    where the image wraps, as n - c.  The images of a phase are every fourth
+    number, and at most d/4 + 1 of them have no partner; so from n = 48 on, where
+    all lags stay below n/2 - 8, the smaller of the two always occurs.  Shorter
+    frames are gone through slot by slot.
+    """
+    phase = lambda r: F.element_at(F.array(*phases), (r % 4 + 1).cast("int"))
+    image = lambda j: (p0 * j + phase(j) + 1) % n
+    gap = lambda r: (p0 * d + phase(F.lit(r) + d) - phases[r] + 2 * n) % n
+    closed = F.least(*[F.least(gap(r), n - gap(r)) for r in range(4)])
+    walked = F.array_min(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1 - d), lambda j: F.abs(image(j + d) - image(j))))
+    return d + F.when(n >= 48, closed).otherwise(walked)
+
+
 def arp_offset_search(lengths: DataFrame) -> DataFrame:
     """Best offsets of the 4-phase map over the whole admissible set, by S_min, smaller triples on ties.
 
-    Admissible: P1 even, P2 a multiple of 4, P3 congruent to P1 modulo 4.  S_min
-    is the least lag + |image difference|.  Lengths must be multiples of 4; the
-    set has n^3/32 members, so this is for small n.
+    Admissible: P1 even, P2 a multiple of 4, P3 congruent to P1 modulo 4, n^3/32
+    triples for a length that is a multiple of 4.  A triple is feasible if the
+    four phases land on different residues modulo 4.  S_min is the least
+    lag + |image difference|.
     """
-    n = F.col("n")
+    n, p0, p1, p2, p3 = (F.col(c) for c in ("n", "p0", "p1", "p2", "p3"))
     zero = F.lit(0).cast("bigint")
     steps = lambda lo, by: F.sequence(lo, n - 1, F.lit(by).cast("bigint"))
-    lags = all_lags(n)
+    phases = [zero, idiv(n, 2) + p1, p2, idiv(n, 2) + p3]
     firsts = arp_strides(lengths.where(n % 4 == 0)).withColumn("p1", F.explode(steps(zero, 2))).withColumn("p2", F.explode(steps(zero, 4)))
-    cand = spread(firsts, "n", "p1", "p2").withColumn("p3", F.explode(steps(F.col("p1") % 4, 4)))
-    image = F.transform(F.sequence(zero, n - 1), lambda j: arp_image(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"), n, j))
-    ok = cand.withColumn("map", image).where(F.size(F.array_distinct("map")) == n)
-    scored = ok.withColumn("s_min", snew_array(F.col("map"), lags).cast("bigint"))
-    best = F.max_by(F.struct("p1", "p2", "p3", "s_min"), F.struct(F.col("s_min"), -F.col("p1"), -F.col("p2"), -F.col("p3")))
-    return scored.groupBy("n", "p0").agg(best.alias("b"), F.count("*").alias("feasible")).select("n", "p0", "b.p1", "b.p2", "b.p3", "b.s_min", "feasible")
+    cand = spread(firsts, "n", "p1", "p2").withColumn("p3", F.explode(steps(p1 % 4, 4)))
+    lands = F.array(*[(p0 * r + phases[r]) % 4 for r in range(4)])
+    cand = cand.where(F.size(F.array_distinct(lands)) == 4)
+    best = _best_candidate(cand, ["n", "p0"], ["p1", "p2", "p3"], lambda d: arp_lag_score(n, p0, phases, d.cast("bigint")))
+    return best.select("n", "p0", "p1", "p2", "p3", F.col("score").alias("s_min"), F.col("tried").alias("feasible"))

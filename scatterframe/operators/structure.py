@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dims import BROADCAST_BYTES, settle, spread, union_all
-from ..functions.numeric import EPS, big, idiv
+from ..functions.numeric import EPS, big, hash32, idiv
 
 
 def _win(keys, order):
@@ -54,23 +54,22 @@ def _shifted(p: Column, d: Column, f) -> Column:
     return F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, d + 1, n), f)
 
 
-#: Frames above this length are refused by the kernels below, whose work grows with its square.
-MOST_ROWS = 100_000
+#: Pairs of positions that one call of the dispersion kernel compares; longer permutations are dealt by lags.
+PAIRS_A_TASK = 1 << 28
+#: Registers of a distinct-count sketch are 2^SKETCH_BITS; its relative standard error is about 1.04 / 2^(SKETCH_BITS/2).
+SKETCH_BITS = 12
 
 
-def _by_length(arrays: pd.Series, kernel) -> list[int]:
-    """``kernel`` on stacks of equally long permutations, results in the order of ``arrays``."""
-    out = np.zeros(len(arrays), np.int64)
+def _by_length(arrays: pd.Series, kernel, out: np.ndarray, cells: int) -> pd.Series:
+    """``kernel`` on stacks of equally long permutations of about ``cells`` values, results in the order of ``arrays``."""
     sizes = arrays.map(len).to_numpy()
     for n in np.unique(sizes):
-        if n > MOST_ROWS:
-            raise ValueError(f"a frame of {n} rows is too long")
         at = np.flatnonzero(sizes == n)
-        step = max(1, (1 << 22) // int(n))
+        step = max(1, cells // int(n))
         for k in range(0, len(at), step):
             part = at[k : k + step]
             out[part] = kernel(np.array(arrays.iloc[part].tolist(), np.int64))
-    return out.tolist()
+    return pd.Series(out)
 
 
 def _vectors(p: np.ndarray) -> np.ndarray:
@@ -84,29 +83,102 @@ def _vectors(p: np.ndarray) -> np.ndarray:
     return total
 
 
-def _sidelobe(p: np.ndarray) -> np.ndarray:
-    """Largest absolute autocorrelation of each row's centred values over all lags but 0."""
-    x = 2 * p - p.shape[1] - 1
-    best = np.zeros(len(x), np.int64)
-    for d in range(1, x.shape[1]):
-        best = np.maximum(best, np.abs((x[:, d:] * x[:, :-d]).sum(1)))
-    return best
+def _vectors_at(p: np.ndarray, first: int, step: int) -> int:
+    """Distinct (gap, displacement) vectors of one permutation over every ``step``-th gap from ``first`` on."""
+    n = len(p)
+    p, seen, total = p.astype(np.int32), np.empty(2 * n, bool), 0
+    for d in range(first, n, step):
+        seen[:] = False
+        seen[p[d:] - p[:-d] + n] = True
+        total += np.count_nonzero(seen)
+    return total
 
 
-@F.pandas_udf(T.LongType())
-def distinct_vectors(p: pd.Series) -> pd.Series:
-    return pd.Series(_by_length(p, _vectors))
+def autocorrelations(x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Aperiodic autocorrelation of each row of whole numbers as exact sums: (shift, r) with the sum of r * 2^shift.
+
+    Numbers are cut into digits so short that rounding a product of their
+    Fourier transforms is certain to give its whole value.
+    """
+    n = x.shape[1]
+    size = 1 << (2 * n - 1).bit_length()
+    bits = int(np.abs(x).max(initial=1)).bit_length() + 1
+    digits = next(k for k in range(1, bits + 1) if n * 4.0 ** -(-bits // k) * 2.0**-53 * 16 * size.bit_length() < 0.25)
+    width = -(-bits // digits)
+    half, left, spectra = 1 << (width - 1), x, []
+    for _ in range(digits):
+        low = ((left + half) & (2 * half - 1)) - half
+        left = (left - low) >> width
+        spectra.append(np.fft.rfft(low, size))
+    if left.any():  # the carry of the last digit
+        spectra.append(np.fft.rfft(left, size))
+    out = []
+    for i, a in enumerate(spectra):
+        for j in range(i, len(spectra)):
+            cross = a * np.conj(spectra[j])
+            r = np.fft.irfft(cross if i == j else cross + np.conj(cross), size)[:, :n]
+            out.append((width * (i + j), np.rint(r).astype(np.int64)))
+    return out
+
+
+#: Up to this length whole sums fit 64 bits.
+_WHOLE = 2_900_000
+
+
+def _lobes(p: np.ndarray) -> np.ndarray:
+    """Largest absolute autocorrelation of each row's centred values over all lags but 0, over that at lag 0."""
+    n = p.shape[1]
+    if n == 1:
+        return np.full(len(p), np.nan)
+    parts = autocorrelations(2 * p - n - 1)
+    r = sum(part << shift for shift, part in parts) if n <= _WHOLE else sum(part.astype(np.longdouble) * 2.0**shift for shift, part in parts)
+    return (np.abs(r[:, 1:]).max(1).astype(np.float64) / r[:, 0].astype(np.float64))
 
 
 @F.pandas_udf(T.LongType())
-def largest_sidelobe(p: pd.Series) -> pd.Series:
-    return pd.Series(_by_length(p, _sidelobe))
+def distinct_vectors(p: pd.Series, first: pd.Series, step: pd.Series) -> pd.Series:
+    out, whole = np.zeros(len(p), np.int64), (step == 1).to_numpy()
+    out[whole] = _by_length(p[whole], _vectors, out[whole], 1 << 22)
+    for i in np.flatnonzero(~whole):
+        out[i] = _vectors_at(np.asarray(p.iloc[i]), int(first.iloc[i]), int(step.iloc[i]))
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.DoubleType())
+def largest_lobe(p: pd.Series) -> pd.Series:
+    return _by_length(p, _lobes, np.zeros(len(p)), 1 << 20)
+
+
+def _dealt_by_lag(perm: DataFrame, keys: list[str], pairs_a_task: int) -> DataFrame:
+    """(keys, p, n, first, step): positions by source; long permutations once for each of ``step`` sets of lags."""
+    a = as_array(perm, keys, "src", "pos")
+    longest = perm.agg(F.max("n_rows")).first()[0] or 0
+    if longest * (longest - 1) // 2 <= pairs_a_task:
+        return a.select("*", F.lit(1).alias("first"), F.lit(1).alias("step"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("n").cast("double") * (F.col("n") - 1) / (2 * pairs_a_task)).cast("int"))
+    return spread(a.withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(1), F.col("step")))), *keys, "first")
 
 
-def dispersion(perm: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct (source gap, displacement) vectors over all pairs, as a share of the pairs."""
-    a = as_array(perm, keys, "src", "pos").select(*keys, "n", distinct_vectors("p").alias("distinct"))
-    return a.select(*keys, "distinct", (F.col("distinct") / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("dispersion"))
+def dispersion(perm: DataFrame, keys: list[str], pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """Distinct (source gap, displacement) vectors over all pairs, as a share of the pairs.
+
+    Vectors of different gaps differ, so gaps are counted apart: a permutation
+    with more than ``pairs_a_task`` pairs goes to several tasks by its gaps.
+    """
+    a = _dealt_by_lag(perm, keys, pairs_a_task).select(*keys, "n", distinct_vectors("p", "first", "step").alias("distinct"))
+    a = a.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("distinct").alias("distinct"))
+    return a.select(*keys, "distinct", F.try_divide("distinct", F.col("n").cast("double") * (F.col("n") - 1) / 2.0).alias("dispersion"))
+
+
+def dispersion_approx(perm: DataFrame, keys: list[str], bits: int = SKETCH_BITS, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """``dispersion`` with the vectors of each set of gaps counted by a sketch, and sketches merged over all gaps."""
+    a = _dealt_by_lag(perm, keys, pairs_a_task)
+    gap = F.explode(F.sequence(F.col("first"), F.col("n") - 1, F.col("step"))).alias("d")
+    v = a.where(F.col("first") < F.col("n")).select(*keys, "n", "first", "p", gap).select(*keys, "n", "first", "d", F.explode(_shifted(F.col("p"), F.col("d"), lambda u, v: v - u)).alias("v"))
+    # a vector as one number; hashed by the sketch
+    s = v.groupBy(*keys, "first").agg(F.max("n").alias("n"), F.hll_sketch_agg(F.col("d").cast("long") * 2 * F.col("n") + F.col("v") + F.col("n"), F.lit(bits)).alias("s"))
+    s = s.groupBy(*keys).agg(F.max("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("s")).alias("distinct"))
+    return s.select(*keys, "distinct", F.try_divide("distinct", F.col("n").cast("double") * (F.col("n") - 1) / 2.0).alias("dispersion"))
 
 
 def lag_minima(perm: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,13 +222,34 @@ def b_guar(perm: DataFrame, keys: list[str], codeword: int, capacity: int) -> Da
 def apsr(perm: DataFrame, keys: list[str]) -> DataFrame:
     """Peak to largest sidelobe of the aperiodic autocorrelation, in dB.
 
-    Values are centred as whole numbers (2p - N - 1), so the sums are exact.
+    Values are centred as whole numbers (2p - N - 1), and their sums, taken by
+    Fourier transforms, are exact.
     """
-    a = as_array(perm, keys, "pos", "src")
-    peak = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, v: s + (2 * v - F.col("n") - 1) * (2 * v - F.col("n") - 1))
-    a = a.select(*keys, largest_sidelobe("p").alias("side"), peak.alias("peak"))
-    lobe = F.col("side") / F.col("peak")
-    return a.select(*keys, lobe.alias("max_sidelobe"), (10 * F.log10(1 / (lobe + EPS))).alias("apsr"))
+    lobe = F.col("max_sidelobe")
+    a = as_array(perm, keys, "pos", "src").select(*keys, largest_lobe("p").alias("max_sidelobe"))
+    return a.select(*keys, lobe, (10 * F.log10(1 / (lobe + EPS))).alias("apsr"))
+
+
+def sampled_spread(perm: DataFrame, keys: list[str], size: int, seed: int = 42) -> DataFrame:
+    """Euclidean spread of ``size`` positions of each permutation, drawn by hash without replacement.
+
+    The sample's points (position, source) are laid on a grid of square cells.
+    With k = floor(sqrt(m - 1)), two of m points share one of the k^2 squares of
+    side n/k that fill the n by n square, so some pair is at most sqrt(2) n/k
+    apart.  Cells of that width put the closest pair into the same or
+    neighbouring cells; a cell meets half of its neighbours, and only pairs that
+    meet are compared, about two points to a cell.
+    """
+    draw = Window.partitionBy(*keys).orderBy(hash32(F.lit(seed), "pos"), "pos")
+    s = perm.select(*keys, "n_rows", "pos", "src", F.row_number().over(draw).alias("_i")).where(F.col("_i") <= max(2, size))
+    points = F.least(F.col("n_rows"), F.lit(max(2, size)))
+    width = 2.0**0.5 * F.col("n_rows") / F.floor(F.sqrt(F.greatest(F.lit(1), points - 1).cast("double")))
+    cell = s.select(*keys, "pos", "src", F.floor(F.col("pos") / width).alias("u"), F.floor(F.col("src") / width).alias("v"))
+    steps = F.array(*[F.struct(F.lit(i).alias("du"), F.lit(j).alias("dv")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    near = cell.select(*keys, F.col("pos").alias("pos2"), F.col("src").alias("src2"), "u", "v", F.inline(steps)).withColumn("u", F.col("u") - F.col("du")).withColumn("v", F.col("v") - F.col("dv"))
+    pairs = cell.join(near, [*keys, "u", "v"]).where((F.col("du") != 0) | (F.col("dv") != 0) | (F.col("pos") < F.col("pos2")))
+    x, y = F.col("pos") - F.col("pos2"), F.col("src") - F.col("src2")
+    return pairs.groupBy(*keys).agg(F.sqrt(F.min(x * x + y * y).cast("double")).alias("s_factor"))
 
 
 def source_separation(perm: DataFrame, keys: list[str], codeword: int) -> DataFrame:

@@ -253,18 +253,20 @@ def campaign_matrix(scores: DataFrame, campaigns: list[str], least_pass: int) ->
     return scores.select("metric", "campaign", text.alias("t")).groupBy("metric").pivot("campaign", campaigns).agg(F.max("t"))
 
 
-def column_identity(df: DataFrame, keys: list[str], a: str, b: str, block: str) -> DataFrame:
+def column_identity(df: DataFrame, keys: list[str], a: str, b: str, block: str, subset: Column | None = None) -> DataFrame:
     """Are two columns the same, and does the first separate methods at one block?
 
     Distinct values are counted at 1e-12 after rounding; the block with most
-    rows (the smallest on ties) is inspected.
+    rows (the smallest on ties) is inspected.  ``subset`` marks rows that are
+    counted once more on their own.
     """
     va, vb = F.round(finite(a), 12), F.round(finite(b), 12)
-    per = settle(df.groupBy(*keys, block, va.alias("va"), vb.alias("vb")).agg(F.count("*").alias("n"), F.max(F.abs(finite(a) - finite(b))).alias("d")))
-    whole = per.groupBy(*keys).agg(F.max("d").alias("max_diff"), F.count_distinct("va").alias("n_a"), F.count_distinct("vb").alias("n_b"))
+    per = settle(df.groupBy(*keys, block, va.alias("va"), vb.alias("vb")).agg(F.count("*").alias("n"), F.max(F.abs(finite(a) - finite(b))).alias("d"), F.max(F.lit(True) if subset is None else subset).alias("s")))
+    whole = per.groupBy(*keys).agg(F.max("d").alias("max_diff"), F.count_distinct("va").alias("n_a"), F.count_distinct("vb").alias("n_b"),
+                                   *[F.count_distinct(F.when(F.col("s"), F.col(f"v{c}"))).alias(f"n_{c}_subset") for c in "ab"])
     at = per.groupBy(*keys, block).agg(F.sum("n").alias("n"), F.count_distinct("va").alias("n_a_block"), F.count_distinct("vb").alias("n_b_block"))
     top = at.groupBy(*keys).agg(F.max_by(F.struct(block, "n_a_block", "n_b_block"), F.struct(F.col("n"), -F.col(block))).alias("t"))
-    d = whole.join(top, keys).select(*keys, "max_diff", "n_a", "n_b", F.col(f"t.{block}").alias("block"), "t.n_a_block", "t.n_b_block")
+    d = whole.join(top, keys).select(*keys, "max_diff", "n_a", "n_b", "n_a_subset", "n_b_subset", F.col(f"t.{block}").alias("block"), "t.n_a_block", "t.n_b_block")
     return d.withColumn("verdict", F.when(F.col("max_diff") == 0, "identical").when(F.col("n_a_block") <= 1, "constant within block")
                         .when(F.col("n_a_block") > 2, "separates").otherwise("mixed"))
 

@@ -56,6 +56,39 @@ def a1(spark, sf):
     return table(spark, sf).select("term", *R("ss", d=8), "df", *R("ms", d=8), *R("f", d=6), *R("eta2", d=8), "effect")
 
 
+BINS = 9
+
+
+def _sweeps(of: str, last: int) -> str:
+    """Gaussian elimination of the bins 1..last from the table c0 (condition, j, k, c) with right side k = 0."""
+    out = []
+    for p in range(1, last + 1):
+        out.append(f"""c{p} AS (SELECT condition, j, k, CASE WHEN pp > 1e-9 * top AND j > {p} THEN c - jp * pk / pp ELSE c END AS c FROM (SELECT *,
+          max(c) FILTER (j = {p} AND k = {p}) OVER w AS pp, max(c) FILTER (k = {p}) OVER (PARTITION BY condition, j) AS jp, max(c) FILTER (j = {p}) OVER (PARTITION BY condition, k) AS pk FROM c{p - 1} WINDOW w AS (PARTITION BY condition)) JOIN top USING (condition)),
+          s{p} AS (SELECT condition, max(c) FILTER (j = {p} AND k = 0) AS q, max(c) FILTER (j = {p} AND k = {p}) AS pp FROM c{p - 1} GROUP BY ALL)""")
+    return ", ".join(out)
+
+
+SQL_TYPE1 = f"""WITH {SQL_OBS}, cl AS (SELECT condition, method, bin, count(*)::DOUBLE AS n, avg(x1) AS m, coalesce(var_samp(x1), 0) AS v FROM obs GROUP BY ALL),
+  g AS (SELECT condition, sum(n * m) / sum(n) AS g FROM cl GROUP BY ALL), ce AS (SELECT condition, method, bin, n, m - g AS m, v FROM cl JOIN g USING (condition)),
+  mi AS (SELECT condition, method, sum(n) AS ni, sum(n * m) / sum(n) AS mi FROM ce GROUP BY ALL), d AS (SELECT * FROM ce JOIN mi USING (condition, method)),
+  c0 AS (SELECT a.condition, a.bin AS j, b.bin AS k, sum(CASE WHEN a.bin = b.bin THEN a.n ELSE 0 END - a.n * b.n / a.ni) AS c FROM d a JOIN d b USING (condition, method) GROUP BY ALL
+    UNION ALL SELECT condition, bin, 0, sum(n * (m - mi)) FROM d GROUP BY ALL), top AS (SELECT condition, max(c) AS top FROM c0 WHERE j = k GROUP BY ALL), {_sweeps('c', BINS)},
+  sb AS (SELECT condition, sum(CASE WHEN pp > 1e-9 * top THEN q * q / pp ELSE 0 END) AS sb, count(*) FILTER (pp > 1e-9 * top) AS rk FROM ({" UNION ALL ".join(f"SELECT * FROM s{p}" for p in range(1, BINS + 1))}) JOIN top USING (condition) GROUP BY ALL),
+  t AS (SELECT condition, sum(n * mi * mi) AS sm, sum(n * m * m) AS sc, sum((n - 1) * v) AS se, sum(n) AS n, count(*) AS cells, count(DISTINCT method) AS a FROM d GROUP BY ALL),
+  u AS (SELECT *, sm + sb + (sc - sm - sb) + se AS st, se / (n - cells) AS mse FROM t JOIN sb USING (condition)),
+  r AS (SELECT condition, 'method' AS term, sm AS ss, a - 1 AS df, st, mse FROM u UNION ALL SELECT condition, 'bin', sb, rk, st, mse FROM u
+    UNION ALL SELECT condition, 'interaction', sc - sm - sb, cells - a - rk, st, mse FROM u UNION ALL SELECT condition, 'error', se, n - cells, st, mse FROM u)"""
+
+
+@register("A1b_anova_type1", f"""{SQL_TYPE1} SELECT condition, term, round(ss, 5) AS ss, CAST(df AS BIGINT) AS df, CASE WHEN term <> 'error' THEN round(ss / df / mse, 6) END AS f,
+  CASE WHEN term <> 'error' THEN round(ss / st, 8) END AS eta2, CASE WHEN term = 'error' THEN NULL WHEN ss / st > 0.14 THEN 'LARGE' WHEN ss / st > 0.06 THEN 'MEDIUM' WHEN ss / st > 0.01 THEN 'SMALL' ELSE '' END AS effect FROM r""")
+def a1b(spark, sf):
+    """Quantities of all line items by brand and tax bin, an unbalanced design: sequential sums of squares."""
+    t = an.anova_two_way(obs(spark, sf), ["condition"], "method", "bin", "x1", allow_type1=True)
+    return t.select("condition", "term", *R("ss", d=5), "df", *R("f", d=6), *R("eta2", d=8), "effect")
+
+
 #: The F tail as the integral of a beta density, by Simpson's rule over the stretch that holds all but e^-60 of it.
 STEPS = 20_000
 SQL_TAIL = f"""{SQL_ANOVA}, tt AS (SELECT *, ss / df / mse AS f, df / 2.0::DOUBLE AS b, de / 2.0::DOUBLE AS a FROM atb WHERE term <> 'error'),

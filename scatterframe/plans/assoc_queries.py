@@ -76,10 +76,10 @@ def r4(spark, sf):
     return ac.fisher_combine(ac.spearman_by_block(long(spark, sf)), ["condition", "metric"]).select("condition", "metric", "blocks", *R("rho"))
 
 
-@register("R5_spearman_trials", f"""WITH {SQL_OBS}, lg AS (SELECT condition, block, y, 'x1' AS metric, x1 AS x FROM obs UNION ALL SELECT condition, block, y, 'x3', x3 FROM obs),
+@register("R5_spearman_trials", f"""WITH {SQL_OBS}, lg AS ({" UNION ALL ".join(f"SELECT condition, block, y, '{x}' AS metric, {x} AS x FROM obs" for x in X)}),
   {sql_rho('lg', 'condition, block, metric', 20)} SELECT condition, metric, count(*) AS blocks, round({sql_fisher('pb')}, 9) AS rho FROM pb GROUP BY ALL""")
 def r5(spark, sf):
-    t = ac.spearman_trials(obs(spark, sf), ["x1", "x3"], "y")
+    t = ac.spearman_trials(obs(spark, sf), X, "y")
     return ac.fisher_combine(t, ["condition", "metric"]).select("condition", "metric", "blocks", *R("rho"))
 
 
@@ -214,16 +214,30 @@ def r15(spark, sf):
     return ac.fisher_combine(p, ["condition", "metric"], less=4).select("condition", "metric", "blocks", *R("rho", d=8))
 
 
-@register("R16_kendall", f"""WITH {SQL_CELLS}, kp AS (SELECT p.condition, p.block, p.metric, sum(sign(p.x - q.x) * sign(p.y - q.y))::DOUBLE AS s, sum(abs(sign(p.x - q.x)))::DOUBLE AS nx, sum(abs(sign(p.y - q.y)))::DOUBLE AS ny
-    FROM lg p JOIN lg q USING (condition, block, metric) GROUP BY ALL),
-  kn AS (SELECT condition, block, metric, count(*) AS m FROM lg GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT x) > 1),
+def sql_kendall(src: str, least: int) -> str:
+    return f"""kp AS (SELECT p.condition, p.block, p.metric, sum(sign(p.x - q.x) * sign(p.y - q.y))::DOUBLE AS s, sum(abs(sign(p.x - q.x)))::DOUBLE AS nx, sum(abs(sign(p.y - q.y)))::DOUBLE AS ny
+    FROM {src} p JOIN {src} q USING (condition, block, metric) GROUP BY ALL),
+  kn AS (SELECT condition, block, metric, count(*) AS m FROM {src} GROUP BY ALL HAVING count(*) >= {least} AND count(DISTINCT x) > 1),
   kt AS (SELECT condition, block, metric, m, s / sqrt(nx * ny) AS rho FROM kp JOIN kn USING (condition, block, metric) WHERE nx > 0 AND ny > 0)
-  SELECT condition, metric, count(*) AS blocks, round({sql_fisher('kt')}, 9) AS tau, abs(round({sql_fisher('kt')}, 12)) >= {ac.tau_threshold()!r}::DOUBLE AS passes FROM kt GROUP BY ALL""")
-def r16(spark, sf):
-    k = ac.fisher_combine(ac.kendall_by_block(long(spark, sf)), ["condition", "metric"])
+  SELECT condition, metric, count(*) AS blocks, round({sql_fisher('kt')}, 9) AS tau, abs(round({sql_fisher('kt')}, 12)) >= {ac.tau_threshold()!r}::DOUBLE AS passes FROM kt GROUP BY ALL"""
+
+
+def _kendall(long_, least):
+    k = ac.fisher_combine(ac.kendall_by_block(long_, least=least), ["condition", "metric"])
     return k.select("condition", "metric", "blocks", rnd("rho").alias("tau"), (F.abs(F.round("rho", 12)) >= ac.tau_threshold()).alias("passes"))
 
 
+@register("R16_kendall", f"WITH {SQL_CELLS}, {sql_kendall('lg', 5)}")
+def r16(spark, sf):
+    return _kendall(long(spark, sf), 5)
+
+
+@register("R16b_kendall_trials", f"""WITH {SQL_OBS}, lg AS ({" UNION ALL ".join(f"SELECT condition, block, y, '{x}' AS metric, {x} AS x FROM obs" for x in X)}), {sql_kendall('lg', 20)}""")
+def r16b(spark, sf):
+    """Kendall over the raw trials of each block, ties included."""
+    return _kendall(ac.cells_long(obs(spark, sf), X, "y", ac.CB), 20)
+
+
 @register("R30_pooled_vs_within", f"""WITH {SQL_PB}, {sql_rho('lg', 'condition, metric', 11, 'po')}, wi AS (SELECT condition, metric, count(*) AS blocks, {sql_fisher('pb')} AS within FROM pb GROUP BY ALL)
   SELECT condition, metric, po.m, round(po.rho, 9) AS pooled, blocks, round(within, 9) AS within FROM po JOIN wi USING (condition, metric)""")
 def r30(spark, sf):

@@ -9,11 +9,13 @@ from ..operators import bursts as bu
 from ..operators import reorder as ro
 from ..sources.tables import (EVENT_W, ORDER_W, SQL_KPI_IN, frames_events, frames_orders, kpi_in, sql_frames, table)
 from .blockload_queries import SQL_LOADS, T, loads
-from .perm_sql import hash_sql, perms_sql
+from .perm_sql import hash_sql, perms_by_length
 from .registry import register
 
 LEVELS = [0.02, 0.06, 0.10]
 BASE = 200
+#: Frame lengths of the tables: the width, and the last frames of the small scale factors.
+EVENT_LENGTHS, ORDER_LENGTHS = (EVENT_W,), (ORDER_W, 120, 60)
 
 
 def typed(spark, sf):
@@ -73,21 +75,26 @@ def b4(spark, sf):
     return d.select("kind", "n", "m", rnd("ks").alias("ks"), rnd("critical").alias("critical"))
 
 
-SQL_BURST = f"""{sql_frames(source='orders')}, lv(bin, level) AS (VALUES (1, 0.02::DOUBLE), (2, 0.06::DOUBLE), (3, 0.10::DOUBLE)),
+def _sql_burst(whole: bool) -> str:
+    return f"""{sql_frames(source='orders', whole=whole)}, lv(bin, level) AS (VALUES (1, 0.02::DOUBLE), (2, 0.06::DOUBLE), (3, 0.10::DOUBLE)),
   bs AS (SELECT DISTINCT frame_id, n_rows, bin, level, CAST(least(n_rows, greatest(1, floor(level * n_rows + 0.5))) AS BIGINT) AS size FROM f CROSS JOIN lv),
   bursts AS (SELECT *, {hash_sql('42', 'frame_id', 'bin')} % (n_rows - size + 1) + 1 AS start FROM bs)"""
 
 
-@register("B5_single_burst", f"""WITH {SQL_BURST} SELECT b.frame_id, CAST(bin AS BIGINT) AS bin, pos FROM bursts b JOIN f
+#: Bursts in whole frames only, for designs that need equal frames, and in all frames.
+SQL_BURST, SQL_BURST_ALL = _sql_burst(True), _sql_burst(False)
+
+
+@register("B5_single_burst", f"""WITH {SQL_BURST_ALL} SELECT b.frame_id, CAST(bin AS BIGINT) AS bin, pos FROM bursts b JOIN f
   ON f.frame_id = b.frame_id AND pos BETWEEN start AND start + size - 1""")
 def b5(spark, sf):
-    return bu.burst_positions(bu.inject_single_burst(frames_orders(spark, sf), LEVELS)).select("frame_id", "bin", "pos")
+    return bu.burst_positions(bu.inject_single_burst(frames_orders(spark, sf, whole=False), LEVELS)).select("frame_id", "bin", "pos")
 
 
-@register("B6_every_start", f"""WITH {sql_frames(source='orders')} SELECT a.frame_id, a.pos AS start, CAST(sum(b.hit) AS BIGINT) AS hits, round(sum(b.value), 3) AS lost
-  FROM f a JOIN f b ON a.frame_id = b.frame_id AND b.pos BETWEEN a.pos AND a.pos + 23 WHERE a.pos <= {ORDER_W} - 24 + 1 GROUP BY ALL""")
+@register("B6_every_start", f"""WITH {sql_frames(source='orders', whole=False)} SELECT a.frame_id, a.pos AS start, CAST(sum(b.hit) AS BIGINT) AS hits, round(sum(b.value), 3) AS lost
+  FROM f a JOIN f b ON a.frame_id = b.frame_id AND b.pos BETWEEN a.pos AND a.pos + 23 WHERE a.pos <= a.n_rows - 24 + 1 GROUP BY ALL""")
 def b6(spark, sf):
-    d = bu.inject_every_start(frames_orders(spark, sf), 24)
+    d = bu.inject_every_start(frames_orders(spark, sf, whole=False), 24)
     return d.select("frame_id", "start", "hits", rnd("lost", 3).alias("lost"))
 
 
@@ -95,21 +102,17 @@ METHODS = ["block", "goldenRP"]
 
 
 def _received(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey"), big(F.col("o_custkey") % BASE).alias("x"))
-    last = o.agg(F.floor((F.max("o_orderkey") + 1) / ORDER_W).alias("n")).scalar()
-    fid = F.floor(F.col("o_orderkey") / ORDER_W)
-    f = o.where(fid < last).select(fid.alias("frame_id"), (F.col("o_orderkey") % ORDER_W + 1).alias("pos"),
-                                   F.lit(ORDER_W).cast("bigint").alias("n_rows"), "x")
-    sent = ro.reorder(f, ro.permutations(spark, METHODS, ORDER_W), ["x"])
+    f = frames_orders(spark, sf, whole=False, value=big(F.col("o_custkey") % BASE)).withColumnRenamed("value", "x")
+    sent = ro.reorder(f, ro.permutations_of(f, METHODS), ["x"])
     b = bu.inject_single_burst(f, LEVELS).where(F.col("bin") == 3)
     return bu.shared_error_values(sent, b, "x", BASE)
 
 
-SQL_RECEIVED = f"""{SQL_BURST}, {perms_sql(METHODS, ORDER_W)},
+SQL_RECEIVED = f"""{SQL_BURST_ALL}, {perms_by_length(METHODS, ORDER_LENGTHS)},
   x AS (SELECT o_orderkey // {ORDER_W} AS frame_id, o_orderkey % {ORDER_W} + 1 AS pos, o_custkey % {BASE} AS x FROM orders),
   rec AS (SELECT p.method, f.frame_id, p.pos, p.src, x.x, CASE WHEN p.pos BETWEEN b.start AND b.start + b.size - 1
     THEN 1 + {hash_sql('42', "'err'", 'f.frame_id', 'p.pos')} % 255 ELSE 0 END AS error
-    FROM f JOIN bursts b ON b.frame_id = f.frame_id AND b.bin = 3 JOIN perm p ON p.src = f.pos JOIN x ON x.frame_id = f.frame_id AND x.pos = p.src)"""
+    FROM f JOIN bursts b ON b.frame_id = f.frame_id AND b.bin = 3 JOIN perm p ON p.src = f.pos AND p.n_rows = f.n_rows JOIN x ON x.frame_id = f.frame_id AND x.pos = p.src)"""
 
 
 @register("B7_shared_errors", f"WITH {SQL_RECEIVED} SELECT method, frame_id, pos, CAST(x AS BIGINT) AS x, CAST(error AS BIGINT) AS error, CAST((x + error) % 256 AS BIGINT) AS received FROM rec")
@@ -124,11 +127,11 @@ def k21(spark, sf):
     return d.select("method", "frame_id", "rows", "errors", rnd("rate").alias("rate"))
 
 
-@register("K22_snr", f"""WITH {sql_frames(source='orders')} SELECT frame_id,
+@register("K22_snr", f"""WITH {sql_frames(source='orders', whole=False)} SELECT frame_id,
   round(10 * log10(sum(value * value) / sum(hit * value * value)), 8) AS snr_db FROM f GROUP BY frame_id""")
 def k22(spark, sf):
     noisy = F.when(F.col("hit") == 1, F.lit(0.0)).otherwise(F.col("value"))
-    d = bu.snr_db(frames_orders(spark, sf), ["frame_id"], F.col("value"), noisy)
+    d = bu.snr_db(frames_orders(spark, sf, whole=False), ["frame_id"], F.col("value"), noisy)
     return d.select("frame_id", rnd("snr_db", 8).alias("snr_db"))
 
 
@@ -167,15 +170,16 @@ def b8b(spark, sf):
 EXTENDING = ["matrix", "helical", "helicalScan", "spiral", "prime", "block"]
 
 
-@register("B9_clean_region", f"""WITH {sql_frames()}, {perms_sql(EXTENDING, EVENT_W)},
-  r AS (SELECT method, frame_id, p.pos, (p.src <= {EVENT_W})::INT AS d FROM (SELECT DISTINCT frame_id FROM f) CROSS JOIN perm p),
+@register("B9_clean_region", f"""WITH {sql_frames(whole=False)}, {perms_by_length(EXTENDING, EVENT_LENGTHS)},
+  r AS (SELECT method, frame_id, n_rows, p.pos, (p.src <= n_rows)::INT AS d FROM (SELECT DISTINCT frame_id, n_rows FROM f) JOIN perm p USING (n_rows)),
   w AS (SELECT *, sum(d) OVER (PARTITION BY method, frame_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS h,
         max(pos) OVER (PARTITION BY method, frame_id) AS n_out FROM r),
-  m AS (SELECT method, frame_id, n_out, {EVENT_W}::DOUBLE / n_out AS be, avg(h) AS mh FROM w WHERE pos <= {EVENT_W} - 24 + 1 GROUP BY ALL)
-  SELECT method, frame_id, CAST({EVENT_W} AS BIGINT) AS n_rows, n_out, round(be, 9) AS be, round(mh, 9) AS mean_hit,
+  m AS (SELECT method, frame_id, n_rows, n_out, n_rows::DOUBLE / n_out AS be, avg(h) AS mh FROM w WHERE pos <= n_rows - 24 + 1 GROUP BY ALL)
+  SELECT method, frame_id, n_rows, n_out, round(be, 9) AS be, round(mh, 9) AS mean_hit,
   round(mh - 24 * be, 9) AS residual_rows, round(mh / 24 / be - 1, 9) AS residual_ratio FROM m""")
 def b9(spark, sf):
-    moved = ro.reorder(frames_events(spark, sf), ro.permutations(spark, EXTENDING, EVENT_W), [])
+    f = frames_events(spark, sf, whole=False)
+    moved = ro.reorder(f, ro.permutations_of(f, EXTENDING), [])
     d = bu.clean_region(moved, ["method", "frame_id"], 24)
     return d.select("method", "frame_id", "n_rows", "n_out", *[rnd(c).alias(c) for c in ("be", "mean_hit", "residual_rows", "residual_ratio")])
 

@@ -280,5 +280,19 @@ LEVELS = [0.05, 0.12, 0.18, 0.26]
   + CASE WHEN actual >= 0.12::DOUBLE + (0.18::DOUBLE - 0.12::DOUBLE) / 2 THEN 1 ELSE 0 END + CASE WHEN actual >= 0.18::DOUBLE + (0.26::DOUBLE - 0.18::DOUBLE) / 2 THEN 1 ELSE 0 END + 1 AS noise_cat FROM kpi_in)
   SELECT condition, CAST(noise_cat AS BIGINT) AS noise_cat, count(*) AS n, round(avg(actual), 9) AS mean FROM c GROUP BY ALL""")
 def k25(spark, sf):
-    d = kp.noise_discretize(kpi_in(spark, sf), "actual", LEVELS)
+    levels = spark.createDataFrame([(x,) for x in LEVELS], "level double")
+    d = kp.noise_discretize(kpi_in(spark, sf), "actual", levels)
+    return d.groupBy("condition", "noise_cat").agg(F.count("*").alias("n"), rnd(F.avg("actual")).alias("mean"))
+
+
+@register("K25b_noise_own_levels", f"""WITH {SQL_KPI_IN}, lv AS (SELECT condition, target AS level FROM (SELECT DISTINCT condition, target, bin FROM kpi_in) WHERE bin % CASE condition WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END = 0),
+  mi AS (SELECT condition, lag(level) OVER w + (level - lag(level) OVER w) / 2 AS mid FROM lv WINDOW w AS (PARTITION BY condition ORDER BY level)),
+  c AS (SELECT condition, actual, 1 + (SELECT count(*) FROM mi WHERE mi.condition = k.condition AND k.actual >= mid) AS noise_cat FROM kpi_in k)
+  SELECT condition, CAST(noise_cat AS BIGINT) AS noise_cat, count(*) AS n, round(avg(actual), 9) AS mean FROM c GROUP BY ALL""")
+def k25b(spark, sf):
+    """Each condition against its own levels: all, every second or every third target density."""
+    k = kpi_in(spark, sf)
+    step = F.when(F.col("condition") == "A", 1).when(F.col("condition") == "N", 2).otherwise(3)
+    levels = k.where(F.col("bin") % step == 0).select("condition", F.col("target").alias("level")).distinct()
+    d = kp.noise_discretize(k, "actual", levels, ["condition"])
     return d.groupBy("condition", "noise_cat").agg(F.count("*").alias("n"), rnd(F.avg("actual")).alias("mean"))

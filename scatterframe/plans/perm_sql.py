@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import shapes as sh
-from ..operators.reorder import ARP_TABLE, RULES
+from ..operators.reorder import ARP_TABLE, RULES, listed
 
 H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
@@ -116,10 +116,10 @@ def perms_sql(items, n: int, name: str = "perm") -> str:
 
 
 def perms_by_length(items, lengths, name: str = "perm") -> str:
-    """The same for several frame lengths, with n_rows."""
+    """The same for several frame lengths, with n_rows; a rule without parameters for a length has no rows there."""
     items = [(r, {}) if isinstance(r, str) else r for r in items]
     return f"{name} AS (" + " UNION ALL ".join(
-        f"SELECT '{r}' AS method, CAST({n} AS BIGINT) AS n_rows, pos, src FROM ({perm_sql(r, n, **kw)})" for n in lengths for r, kw in items) + ")"
+        f"SELECT '{r}' AS method, CAST({n} AS BIGINT) AS n_rows, pos, src FROM ({perm_sql(r, n, **kw)})" for n in lengths for r, kw in items if listed(r, n)) + ")"
 
 
 __all__ = ["hash_sql", "perm_sql", "perms_by_length", "perms_sql", "sh"]

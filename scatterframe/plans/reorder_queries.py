@@ -8,7 +8,8 @@ from ..functions.dims import settle
 from ..functions.numeric import big, rnd
 from ..operators import reorder as ro
 from ..sources.tables import EVENT_W, ORDER_W, frames_events, frames_orders, sql_frames
-from .perm_sql import perms_by_length, perms_sql
+from .burst_queries import EVENT_LENGTHS, ORDER_LENGTHS
+from .perm_sql import perms_by_length
 from .registry import register
 
 DRP = {"p": 23, "s": 1, "read": [3, 0, 1, 2], "write": [0, 3, 2, 1]}
@@ -42,8 +43,7 @@ RULE_QUERIES = [
 ]
 
 
-#: Frame lengths of the tables: the width, and the last frames of the small scale factors.
-LENGTHS = {"events": (EVENT_W,), "orders": (ORDER_W, 120, 60)}
+LENGTHS = {"events": EVENT_LENGTHS, "orders": ORDER_LENGTHS}
 #: Rules with parameters for listed lengths only; they take whole frames.
 LISTED = {"arp"}
 
@@ -81,24 +81,22 @@ def restore(spark, sf):
         "frame_id", "pos", "value", big((F.col("value") != F.col("was")).cast("int")).alias("moved_back_wrong"))
 
 
-ALL_240 = [(r, kw) for _, r, s, kw in RULE_QUERIES if s == "orders" and r not in LISTED] + [("identity", {})]
+ALL_240 = [(r, kw) for _, r, s, kw in RULE_QUERIES if s == "orders"] + [("identity", {})]
 ALL_200 = ["block", "matrix", "snake", "helical", "helicalScan", "diagonal", "spiral", "hierarchical", "multiDim",
            "latinSquare", "time", "freqDeterm", "goldenRP", "prime", "convolutional", "S", "identity"]
 
 
-@register("I0_extension", f"""WITH {sql_frames()}, {perms_sql(ALL_200, EVENT_W)},
-    e AS (SELECT method, max(pos) AS n_out FROM perm GROUP BY method)
-    SELECT method, count(DISTINCT frame_id) AS frames, CAST(sum(hit) AS BIGINT) AS hits, any_value(n_out) AS n_out,
-    round(200.0::DOUBLE / any_value(n_out), 9) AS be, CAST(count(DISTINCT frame_id) * any_value(n_out) AS BIGINT) AS rows_sent
-    FROM f CROSS JOIN e GROUP BY method""")
+@register("I0_extension", f"""WITH {sql_frames(whole=False)}, {perms_by_length(ALL_200, EVENT_LENGTHS)},
+    e AS (SELECT method, n_rows, max(pos) AS n_out FROM perm GROUP BY ALL)
+    SELECT method, n_rows, count(DISTINCT frame_id) AS frames, CAST(sum(hit) AS BIGINT) AS hits, any_value(n_out) AS n_out,
+    round(n_rows::DOUBLE / any_value(n_out), 9) AS be, CAST(count(DISTINCT frame_id) * any_value(n_out) AS BIGINT) AS rows_sent
+    FROM f JOIN e USING (n_rows) GROUP BY method, n_rows""")
 def extension(spark, sf):
     """What each rule costs on a whole table: rows sent when every frame is padded to its length."""
-    ext = ro.extension(ro.permutations(spark, ALL_200, EVENT_W), ["method"])
-    tot = frames_events(spark, sf).groupBy("n_rows").agg(
-        F.count(F.when(F.col("pos") == 1, 1)).alias("frames"), F.sum("hit").alias("hits"))
-    rules = ext.agg(F.array_agg(F.struct("method", "n_out", "be")).alias("e")).scalar()
-    return tot.select("*", F.inline(rules)).select(
-        "method", "frames", "hits", "n_out", rnd("be").alias("be"), (F.col("frames") * F.col("n_out")).alias("rows_sent"))
+    f = frames_events(spark, sf, whole=False)
+    tot = f.groupBy("n_rows").agg(F.count(F.when(F.col("pos") == 1, 1)).alias("frames"), F.sum("hit").alias("hits"))
+    return tot.join(ro.extension(ro.permutations_of(f, ALL_200), ["method"]), "n_rows").select(
+        "method", "n_rows", "frames", "hits", "n_out", rnd("be").alias("be"), (F.col("frames") * F.col("n_out")).alias("rows_sent"))
 
 
 @register("I24_perm_valid", f"""WITH {sql_frames(source='orders', whole=False)}, {perms_by_length(ALL_240, LENGTHS['orders'])},
@@ -113,7 +111,7 @@ def extension(spark, sf):
 def perm_valid(spark, sf):
     """Checked on the reordered rows themselves, frame by frame, for every rule."""
     f = frames_orders(spark, sf, whole=False)
-    moved = ro.reorder(f, settle(ro.permutations_of(f, ALL_240)), [])
+    moved = ro.reorder(f, settle(ro.permutations_of(f, ALL_240, where_listed=True)), [])
     return ro.perm_valid(moved, ["method", "frame_id"], ["frame_id"])
 
 
@@ -129,7 +127,8 @@ def perm_equal(spark, sf):
 
     f = frames_orders(spark, sf, whole=False)
     w = Window.partitionBy("frame_id").orderBy((F.col("pos") - 1) % 15, "pos")
-    sorted_ = f.select("frame_id", F.col("pos").alias("src"), big(F.row_number().over(w)).alias("pos"))
-    rules = ro.reorder(f, settle(ro.permutations_of(f, ALL_240)), [])
+    sorted_ = f.select("frame_id", "n_rows", F.col("pos").alias("src"), big(F.row_number().over(w)).alias("pos"))
+    rules = ro.reorder(f, settle(ro.permutations_of(f, ALL_240, where_listed=True)), [])
     by_rule = sorted_.withColumn("method", F.explode(F.array(*[F.lit(r) for r, _ in ALL_240])))
+    by_rule = by_rule.where(~F.col("method").isin(*LISTED) | F.col("n_rows").isin([r[0] for r in ro.ARP_TABLE]))
     return ro.perm_equal(rules, by_rule, ["method", "frame_id"])

@@ -53,6 +53,25 @@ def g4(spark, sf):
     return st.dispersion(perm(spark, sf), K).select("frame_id", "distinct", *R("dispersion"))
 
 
+@register("G4b_dispersion_approx", f"""WITH {SQL_P}, d AS (SELECT DISTINCT a.frame_id, b.src - a.src AS gap, b.pos - a.pos AS dis FROM p a JOIN p b ON a.frame_id = b.frame_id AND b.src > a.src)
+  SELECT frame_id, count(*) AS "distinct", true AS within FROM d GROUP BY frame_id""")
+def g4b(spark, sf):
+    """Sketched and exact dispersion: is the sketch within six standard errors?"""
+    p = perm(spark, sf)
+    near = st.dispersion_approx(p, K).select("frame_id", F.col("distinct").alias("sketched"))
+    off = F.abs(F.col("sketched") - F.col("distinct")) / F.col("distinct")
+    return st.dispersion(p, K).join(near, "frame_id").select("frame_id", "distinct", (off <= 6 * 1.04 / 2 ** (st.SKETCH_BITS / 2)).alias("within"))
+
+
+SAMPLE = 40
+
+
+@register("G5b_spread_sampled", f"""WITH {SQL_P}, s AS (SELECT frame_id, pos, src FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {hash_sql('42', 'pos')}, pos) AS i FROM p) WHERE i <= {SAMPLE})
+  SELECT a.frame_id, round(min(sqrt((a.pos - b.pos) ** 2 + (a.src - b.src) ** 2)), 9) AS s_factor FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.pos < b.pos GROUP BY ALL""")
+def g5b(spark, sf):
+    return st.sampled_spread(perm(spark, sf), K, SAMPLE).select("frame_id", *R("s_factor"))
+
+
 SQL_LAG = f"{SQL_P}, lg AS (SELECT a.frame_id, b.pos - a.pos AS d, abs(b.src - a.src) AS m FROM p a JOIN p b ON a.frame_id = b.frame_id AND b.pos > a.pos)"
 
 

@@ -202,12 +202,13 @@ def r27(spark, sf):
     return va.sign_stability(combined(spark, sf))
 
 
-@register("R28_discrimination", f"""WITH {SQL_OBS}, l AS (SELECT condition, block, method, bin, 'x1' AS metric, x1 AS x FROM obs UNION ALL SELECT condition, block, method, bin, 'x3', x3 FROM obs),
+@register("R28_discrimination", f"""WITH {SQL_OBS}, l AS ({" UNION ALL ".join(f"SELECT condition, block, method, bin, '{x}' AS metric, {x} AS x FROM obs" for x in X)}),
   w AS (SELECT condition, metric, avg(v) AS wv FROM (SELECT condition, metric, block, method, bin, var_samp(x) AS v FROM l GROUP BY ALL) GROUP BY ALL),
   b AS (SELECT condition, metric, avg(v) AS bv FROM (SELECT condition, metric, block, var_samp(mu) AS v FROM (SELECT condition, metric, block, method, avg(x) AS mu FROM l GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)
-  SELECT condition, metric, round(bv, 8) AS between_var, round(wv, 8) AS within_var, round(bv / wv, 9) AS ratio, CAST(greatest(1, ceil(round(wv / bv, 9))) AS BIGINT) AS trials_needed FROM w JOIN b USING (condition, metric)""")
+  SELECT condition, metric, round(bv, 8) AS between_var, round(wv, 8) AS within_var, CASE WHEN wv > 0 THEN round(bv / wv, 9) WHEN bv > 0 THEN 'inf'::DOUBLE END AS ratio,
+  CAST(CASE WHEN wv = 0 OR bv / wv >= 1000 THEN 0 ELSE greatest(1, ceil(round(wv / bv, 9))) END AS BIGINT) AS trials_needed FROM w JOIN b USING (condition, metric)""")
 def r28(spark, sf):
-    d = va.discrimination_ratio(obs(spark, sf), ["x1", "x3"])
+    d = va.discrimination_ratio(obs(spark, sf), X)
     return d.select("condition", "metric", *R("between_var", "within_var", d=8), *R("ratio"), "trials_needed")
 
 
@@ -267,15 +268,24 @@ def paired(spark, sf):
     return d.withColumns({"condition": F.concat(F.lit("p"), (F.col("frame_id") % 2).cast("string")), "bin": F.col("frame_id") % 5})
 
 
-@register("R34_column_identity", f"""WITH {SQL_PAIRED}, r AS (SELECT condition, frame_id, delta_g, u_ecc, round(delta_g, 12) AS va, round(u_ecc, 12) AS vb FROM pt),
-  w AS (SELECT condition, max(abs(delta_g - u_ecc)) AS md, count(DISTINCT va) AS n_a, count(DISTINCT vb) AS n_b FROM r GROUP BY ALL),
+#: Rules that keep a frame's length at the width used here; the others pad it.
+SQL_PLAIN = f"pl AS (SELECT method FROM perm GROUP BY method HAVING max(pos) = {EVENT_W})"
+
+
+def _plain(spark):
+    return ro.extension(_perm(spark), ["method"]).where("n_out = n_rows").select("method")
+
+
+@register("R34_column_identity", f"""WITH {SQL_PAIRED}, {SQL_PLAIN}, r AS (SELECT condition, frame_id, delta_g, u_ecc, round(delta_g, 12) AS va, round(u_ecc, 12) AS vb, method IN (SELECT method FROM pl) AS plain FROM pt),
+  w AS (SELECT condition, max(abs(delta_g - u_ecc)) AS md, count(DISTINCT va) AS n_a, count(DISTINCT vb) AS n_b, count(DISTINCT va) FILTER (plain) AS n_a_plain, count(DISTINCT vb) FILTER (plain) AS n_b_plain FROM r GROUP BY ALL),
   t AS (SELECT condition, min(frame_id) AS block FROM r GROUP BY ALL),
   u AS (SELECT r.condition, block, count(DISTINCT va) AS n_a_block, count(DISTINCT vb) AS n_b_block FROM r JOIN t ON t.condition = r.condition AND t.block = r.frame_id GROUP BY ALL)
-  SELECT condition, round(md, 9) AS max_diff, n_a, n_b, block, n_a_block, n_b_block, CASE WHEN md = 0 THEN 'identical' WHEN n_a_block <= 1 THEN 'constant within block' WHEN n_a_block > 2 THEN 'separates' ELSE 'mixed' END AS verdict
+  SELECT condition, round(md, 9) AS max_diff, n_a, n_b, n_a_plain, n_b_plain, block, n_a_block, n_b_block, CASE WHEN md = 0 THEN 'identical' WHEN n_a_block <= 1 THEN 'constant within block' WHEN n_a_block > 2 THEN 'separates' ELSE 'mixed' END AS verdict
   FROM w JOIN u USING (condition)""")
 def r34(spark, sf):
-    d = va.column_identity(paired(spark, sf), ["condition"], "delta_g", "u_ecc", "frame_id")
-    return d.select("condition", *R("max_diff"), "n_a", "n_b", "block", "n_a_block", "n_b_block", "verdict")
+    p = paired(spark, sf).join(F.broadcast(_plain(spark).withColumn("plain", F.lit(True))), "method", "left")
+    d = va.column_identity(p, ["condition"], "delta_g", "u_ecc", "frame_id", F.coalesce("plain", F.lit(False)))
+    return d.select("condition", *R("max_diff"), "n_a", "n_b", F.col("n_a_subset").alias("n_a_plain"), F.col("n_b_subset").alias("n_b_plain"), "block", "n_a_block", "n_b_block", "verdict")
 
 
 @register("R34b_column_by_block", f"""WITH {SQL_PAIRED}, l AS (SELECT condition, frame_id AS y, round(u_ecc, 12) AS x FROM pt), {sql_rho('l', 'condition', 3)} SELECT condition, m, round(rho, 9) AS rho FROM pb""")
@@ -293,16 +303,11 @@ def r35(spark, sf):
     return va.within_trial_invariance(p, ["metric", "frame_id"], "x").select("metric", "frame_id", "methods", *R("spread", "level"), "distinct", "invariant")
 
 
-#: Rules that keep a frame's length at the width used here; the others pad it.
-SQL_PLAIN = f"pl AS (SELECT method FROM perm GROUP BY method HAVING max(pos) = {EVENT_W})"
-
-
 @register("R35b_invariance_without_padding", f"""WITH {SQL_PAIRED}, {SQL_PLAIN}, pp AS (SELECT * FROM pt WHERE method IN (SELECT method FROM pl)), l AS (SELECT 'u_ecc' AS metric, frame_id, u_ecc AS x FROM pp UNION ALL SELECT 'delta_g', frame_id, delta_g FROM pp)
   SELECT metric, frame_id, count(*) AS methods, round(max(x) - min(x), 9) AS spread, round(avg(abs(x)), 9) AS level, count(DISTINCT round(x, 12)) AS "distinct",
   (max(x) - min(x)) / greatest(avg(abs(x)), 2.220446049250313e-16) < 1e-9 AS invariant FROM l GROUP BY ALL""")
 def r35b(spark, sf):
-    plain = ro.extension(_perm(spark), ["method"]).where("n_out = n_rows").select("method")
-    p = paired(spark, sf).join(F.broadcast(plain), "method", "left_semi").select("frame_id", F.inline(F.array(
+    p = paired(spark, sf).join(F.broadcast(_plain(spark)), "method", "left_semi").select("frame_id", F.inline(F.array(
         F.struct(F.lit("u_ecc").alias("metric"), F.col("u_ecc").alias("x")), F.struct(F.lit("delta_g").alias("metric"), F.col("delta_g").alias("x")))))
     return va.within_trial_invariance(p, ["metric", "frame_id"], "x").select("metric", "frame_id", "methods", *R("spread", "level"), "distinct", "invariant")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dims import attach, remove, shared_dir
-from ..functions.numeric import as_col, big, finite
+from ..functions.numeric import as_col, finite
+from ..functions.rank import row_numbers
 
 # Condition names look like <variable>_<regime>_<grid>_<yymmdd>_<version>.
 NAME = r"([A-Za-z]+)_([a-z0-9]+)_([a-z0-9]+)_(\d{6})_(\d+)"
@@ -80,8 +81,7 @@ def grid_filter(df: DataFrame, grid: str) -> DataFrame:
 
 def dictionary_encode(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """Dense ids 1..k in sorted order: (encoded rows, dictionary)."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    d = d.select(big(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col))).alias(f"{col}_id"), col)
+    d = row_numbers(df.select(col).where(F.col(col).isNotNull()).distinct(), col, f"{col}_id").select(f"{col}_id", col)
     return attach(df, d, [col]).drop(col), d
 
 

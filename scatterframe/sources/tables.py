@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import big, idiv
+from ..functions.numeric import as_col, big, idiv
 
 EVENT_W = 200
 ORDER_W = 240
@@ -20,7 +20,7 @@ def hundredths(c: str) -> Column:
     return F.floor(F.col(c) * 100 + 0.5).cast("bigint")
 
 
-def _frames(df: DataFrame, key: str, width: int, hit, value: str, whole: bool) -> DataFrame:
+def _frames(df: DataFrame, key: str, width: int, hit, value: str | Column, whole: bool) -> DataFrame:
     """Frames of ``width`` consecutive keys; keys run 0..n-1 without gaps.
 
     The last frame is shorter where the width does not divide the table; with
@@ -30,7 +30,7 @@ def _frames(df: DataFrame, key: str, width: int, hit, value: str, whole: bool) -
     fid = idiv(F.col(key), width)
     frames = df.select(
         fid.alias("frame_id"), (big(key) % width + 1).alias("pos"),
-        F.least(F.lit(width).cast("bigint"), rows - fid * width).alias("n_rows"), hit.cast("int").alias("hit"), F.col(value).alias("value"),
+        F.least(F.lit(width).cast("bigint"), rows - fid * width).alias("n_rows"), hit.cast("int").alias("hit"), as_col(value).alias("value"),
     )
     return frames.where(F.col("n_rows") == width) if whole else frames
 
@@ -39,8 +39,8 @@ def frames_events(spark, sf, width: int = EVENT_W, whole: bool = True) -> DataFr
     return _frames(table(spark, sf, "events"), "event_id", width, F.col("event_type") == "error", "value", whole)
 
 
-def frames_orders(spark, sf, width: int = ORDER_W, whole: bool = True) -> DataFrame:
-    return _frames(table(spark, sf, "orders"), "o_orderkey", width, F.col("o_orderstatus") == "F", "o_totalprice", whole)
+def frames_orders(spark, sf, width: int = ORDER_W, whole: bool = True, value: str | Column = "o_totalprice") -> DataFrame:
+    return _frames(table(spark, sf, "orders"), "o_orderkey", width, F.col("o_orderstatus") == "F", value, whole)
 
 
 def obs(spark, sf) -> DataFrame:

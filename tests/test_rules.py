@@ -196,3 +196,63 @@ def test_a_length_without_a_rule_fails(spark):
     with pytest.raises(Exception, match="no rule for a frame of length 3"):
         ro.reorder(frames, ro.permutation(spark, "block", 4), ["value"]).collect()
     assert ro.reorder(frames, ro.permutations_of(frames, ["block"]), ["value"]).where("value is not null").count() == 7
+
+
+def test_sieve_in_segments(spark):
+    got = {r["n"]: r["spf"] for r in sh.smallest_factors(3000, spark, 100).collect()}
+    assert got == {n: next(d for d in range(2, n + 1) if n % d == 0) for n in range(2, 3001)}
+    few = spark.createDataFrame([(n,) for n in (-3, 0, 1, 2, 4, 4, 97, 97, 2999)] + [(None,)], "n long")
+    assert sorted(r["n"] for r in sh.primes(few).collect()) == [2, 97, 97, 2999]
+    assert sh.primes(few.where("n < 2")).count() == 0
+
+
+def test_factor_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sh, "SEGMENT", 50)
+    numbers = spark.createDataFrame([(n,) for n in [-4, 0, 1, 2, 3, 4, 36, 36, 97, *range(400, 1001, 7)]], "n long")
+    got = sorted((r["n"], r["a"], r["b"]) for r in sh.factor_pairs(numbers).collect())
+    assert got == sorted((r["n"], a, r["n"] // a) for r in numbers.collect() for a in range(2, 40) if r["n"] >= a * a and r["n"] % a == 0)
+    assert sh.factor_pairs(numbers.where("n < 4")).count() == 0
+
+
+def _least(p, cyclic):
+    n = len(p)
+    cut = (lambda v: min(v, n - v)) if cyclic else (lambda v: v)
+    return min(d + cut(abs(p[i + d] - p[i])) for d in range(1, n) for i in range(n - d))
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 9, 12, 25, 36, 49])
+def test_qpp_search_brute_force(spark, n):
+    rad = int(np.prod([q for q in range(2, n + 1) if n % q == 0 and all(q % d for d in range(2, q))]))
+    maps = {(a, b): [(a * x + b * x * x) % n for x in range(n)] for a in range(1, n) if np.gcd(a, n) == 1 for b in range(0, n, rad)}
+    assert all(len(set(p)) == n for p in maps.values())
+    best = max(maps, key=lambda k: (_least(maps[k], True), -k[0], -k[1]))
+    r = sh.qpp_search(spark.createDataFrame([(n,)], "n long")).collect()
+    assert [tuple(x) for x in r] == [(n, *best, _least(maps[best], True), len(maps))]
+
+
+@pytest.mark.parametrize("n", [4, 8, 12, 20, 44, 48, 52])
+def test_offset_search_brute_force(spark, n):
+    p0 = sh.arp_strides(spark.createDataFrame([(n,)], "n long")).collect()[0]["p0"]
+    step, best, count = max(1, n // 20 // 2 * 2), None, 0
+    scored = {}
+    for p1 in range(0, n, 2):
+        for p2 in range(0, n, 4):
+            for p3 in range(p1 % 4, n, 4):
+                ph = [0, n // 2 + p1, p2, n // 2 + p3]
+                p = [(p0 * j + ph[j % 4] + 1) % n for j in range(n)]
+                if len(set(p)) == n:
+                    count += 1
+                    if n <= 12 or (p1 * 7 + p2 * 3 + p3) % (step * 30) == 0:  # scored in full for a part of the larger sets
+                        scored[p1, p2, p3] = _least(p, False)
+    r, = sh.arp_offset_search(spark.createDataFrame([(n,)], "n long")).collect()
+    assert r["feasible"] == count
+    ph = [0, n // 2 + r["p1"], r["p2"], n // 2 + r["p3"]]
+    assert r["s_min"] == _least([(p0 * j + ph[j % 4] + 1) % n for j in range(n)], False) >= max(scored.values(), default=0)
+    if n <= 12:
+        assert (r["p1"], r["p2"], r["p3"]) == max(scored, key=lambda k: (scored[k], *(-x for x in k)))
+
+
+def test_box_sides():
+    assert sh.balanced_dims(240, 3, 0.5) == [5, 6, 8] and sh.balanced_dims(360, 3, 0.5) == [5, 8, 9] and sh.balanced_dims(7, 3, 0.5) == [2, 2, 2]
+    with pytest.raises(ValueError):
+        sh.balanced_dims(11, 4, 0.1)

@@ -41,6 +41,51 @@ def test_cdf_without_keys(rows):
     assert got.cnt.sum() == len(pdf) and (got.total == len(pdf)).all()
 
 
+@pytest.mark.parametrize("piece_rows", [10, 10**6])
+def test_running_sums_of_two_weights(spark, piece_rows):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 900, p=[0.9, 0.05, 0.05]), "v": rng.permutation(900), "p": rng.integers(0, 9, 900), "q": rng.integers(0, 9, 900)})
+    got = rank.running(spark.createDataFrame(pdf), ["g"], "v", ["p", "q"], piece_rows=piece_rows).toPandas()
+    assert len(got) == 900
+    for g, part in got.groupby("g", dropna=False):
+        part = part.sort_values("v")
+        for w in "pq":
+            assert (part[f"upto_{w}"] == part[w].cumsum()).all() and (part[f"total_{w}"] == part[w].sum()).all()
+
+
+@pytest.mark.parametrize("piece_rows", [7, 10**6])
+def test_row_numbers(spark, piece_rows):
+    df = spark.createDataFrame([(chr(97 + i % 26) * (1 + i // 26),) for i in range(100)], "s string")
+    got = {r.s: r.i for r in rank.row_numbers(df, "s", "i", piece_rows=piece_rows).collect()}
+    assert got == {s: i for i, s in enumerate(sorted(got), 1)}
+
+
+@pytest.mark.parametrize("piece_rows", [40, 10**6])
+def test_kendall_of_hot_group(spark, piece_rows):
+    """Ties on both sides, groups of one row and of one value, NULLs."""
+    rng = np.random.default_rng(6)
+    rows = [("hot", float(x), float(y)) for x, y in zip(rng.integers(0, 60, 700), rng.integers(0, 25, 700))]
+    rows += [("few", float(i), float(-i)) for i in range(9)] + [("one", 1.0, 2.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("hot", None, 1.0), ("hot", 1.0, None), (None, 1.0, 1.0), (None, 2.0, 2.0)]
+    got = {r.g: (r.m, r.rho) for r in rank.kendall_rows(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y", piece_rows=piece_rows).collect()}
+    for g in {r[0] for r in rows}:
+        x, y = np.array([r[1:] for r in rows if r[0] == g and None not in r[1:]]).T
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        den = np.sqrt(np.abs(sx).sum() * np.abs(sy).sum())
+        assert got[g][0] == len(x)
+        assert got[g][1] is None if den == 0 else got[g][1] == pytest.approx((sx * sy).sum() / den, abs=1e-12)
+
+
+@pytest.mark.parametrize("piece_rows", [5, 10**6])
+def test_ks_in_ranges(spark, piece_rows):
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 50, 300), rng.integers(5, 70, 200)
+    df = spark.createDataFrame([("a", int(x)) for x in a] + [("ref", int(x)) for x in b], "k string, v int")
+    r = bu.ks_two_sample(df, "k", "ref", "v", piece_rows=piece_rows).collect()
+    at = np.arange(80)
+    want = np.abs((a[:, None] <= at).mean(0) - (b[:, None] <= at).mean(0)).max()
+    assert len(r) == 1 and r[0]["ks"] == pytest.approx(want) and (r[0]["n"], r[0]["m"]) == (300, 200)
+
+
 @pytest.mark.parametrize("piece_rows", [50, 10**6])
 def test_spearman_of_hot_group(rows, piece_rows):
     pdf, df = rows
@@ -158,3 +203,28 @@ def test_bootstrap_shares_draws_between_metrics(spark):
                               "condition string, block int, metric string, m bigint, rho double")
     b = va.block_bootstrap(d, 50).toPandas().pivot(index="draw", columns="metric", values="rho")
     assert len(b) == 50 and np.allclose(b.p, -b.q) and b.p.nunique() > 10
+
+
+def test_sequential_sums_of_unbalanced_design(spark):
+    """Type I sums against least squares on dummy variables; a missing cell and an isolated bin included."""
+    rng = np.random.default_rng(9)
+    rows = [(m, b, float(m + 2 * b + rng.normal())) for m in range(4) for b in range(3) for _ in range(rng.integers(1, 6)) if (m, b) != (1, 2)]
+    rows += [(9, 7, 3.0), (9, 7, 4.5)]  # a method and a bin seen only together
+    got = {r["term"]: r for r in an.anova_two_way(spark.createDataFrame(rows, "m int, b int, v double"), [], "m", "b", "v", allow_type1=True).collect()}
+    y = np.array([r[2] for r in rows])
+    dummy = lambda k: np.array([[float(k(r) == level) for level in sorted({k(r) for r in rows})] for r in rows])
+    one, mm, bb, cc = np.ones((len(rows), 1)), dummy(lambda r: r[0]), dummy(lambda r: r[1]), dummy(lambda r: r[:2])
+    fits = [np.hstack(x) for x in ([one], [one, mm], [one, mm, bb], [one, mm, bb, cc])]
+    left = [((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() for x in fits]
+    ranks = [np.linalg.matrix_rank(x) for x in fits]
+    for k, term in enumerate(["method", "bin", "interaction"]):
+        assert got[term]["ss"] == pytest.approx(left[k] - left[k + 1], abs=1e-9) and got[term]["df"] == ranks[k + 1] - ranks[k]
+    assert got["error"]["ss"] == pytest.approx(left[3]) and got["error"]["df"] == len(rows) - ranks[3]
+
+
+def test_sequential_sums_equal_balanced_ones(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(m, b, float(rng.normal() + m)) for m in range(3) for b in range(4) for _ in range(5)], "m int, b int, v double")
+    a, b = ({r["term"]: r for r in an.anova_two_way(df, [], "m", "b", "v", allow_type1=t).collect()} for t in (False, True))
+    for t in a:
+        assert a[t]["ss"] == pytest.approx(b[t]["ss"]) and a[t]["df"] == b[t]["df"]

@@ -71,6 +71,55 @@ def test_apsr_brute_force(perms, rng):
     assert one(st.apsr(perms({"a": p}), K))["a"]["apsr"] == pytest.approx(10 * np.log10(1 / lobe))
 
 
+@pytest.mark.parametrize("n,top", [(2, 3), (5, 1), (63, 1000), (400, 2**20), (3000, 2**30)])
+def test_autocorrelation_is_exact(rng, n, top):
+    x = rng.integers(-top, top + 1, (3, n))
+    parts = st.autocorrelations(x)
+    for i in range(3):
+        row = [int(v) for v in x[i]]
+        got = [sum(int(r[i, k]) << s for s, r in parts) for k in range(n)]
+        lags = range(n) if n < 500 else [0, 1, 2, n // 2, n - 1]
+        assert all(got[k] == sum(a * b for a, b in zip(row, row[k:])) for k in lags)
+
+
+def test_apsr_of_long_frame(perms, rng, monkeypatch):
+    """The wide sums of very long frames give the same ratio."""
+    p = rng.permutation(2000) + 1
+    whole = one(st.apsr(perms({"a": p, "b": range(1, 2)}), K))
+    assert whole["b"]["apsr"] is None
+    lobe = st._lobes(p[None])[0]
+    monkeypatch.setattr(st, "_WHOLE", 10)
+    assert st._lobes(p[None])[0] == pytest.approx(lobe, rel=1e-12) and whole["a"]["max_sidelobe"] == lobe
+
+
+@pytest.mark.parametrize("pairs", [50, 700, 10**9])
+def test_dispersion_dealt_by_lags(perms, rng, pairs):
+    named = {"a": rng.permutation(90) + 1, "b": rng.permutation(7) + 1, "c": [1], "d": range(1, 61)}
+    p = perms(named)
+    got = one(st.dispersion(p, K, pairs))
+    near = one(st.dispersion_approx(p, K, pairs_a_task=pairs))
+    for name, q in named.items():
+        pos = np.argsort(np.asarray(q))
+        want = len({(d, int(v)) for d in range(1, len(pos)) for v in pos[d:] - pos[:-d]})
+        assert got[name]["distinct"] == want
+        assert name == "c" or near[name]["distinct"] == pytest.approx(want, rel=0.08, abs=1)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 50, 500])
+def test_sampled_spread(perms, rng, size):
+    named = {"a": rng.permutation(120) + 1, "b": range(1, 41), "c": rng.permutation(3) + 1}
+    p = perms(named)
+    got = one(st.sampled_spread(p, K, size))
+    from scatterframe.functions.numeric import hash32
+    from pyspark.sql import functions as F
+    order = [r["pos"] for r in p.where("perm_id = 'a'").orderBy(hash32(F.lit(42), "pos"), "pos").collect()]
+    for name, q in named.items():
+        q = [None, *q]
+        s = [x for x in order if x < len(q)][: max(2, size)]
+        want = min(np.hypot(x - y, q[x] - q[y]) for i, x in enumerate(s) for y in s[:i])
+        assert got[name]["s_factor"] == pytest.approx(want)
+
+
 def test_block_distances_brute_force(perms, rng):
     p = rng.permutation(64) + 1
     blocks = [p[i:i + 10] for i in range(0, 60, 10)]
