@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import new_folder, sized, table, tasks
-from .tokens import Encoder
+from .tokens import encoder_of
 
 END_ID = 2
 STRIDE = 256
@@ -118,7 +118,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str)
     """Blocks of whole documents in ascending order of ``key``: parts follow each other, and blocks in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block, base = Encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, part, block, base = encoder_of(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         keys, sizes, data, held = [], [], [], 0
 
@@ -147,13 +147,9 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str)
     return ordered.mapInArrow(run, _RAW)
 
 
-def _dtype(vocabulary: str) -> np.dtype:
-    return Encoder(vocabulary).dtype
-
-
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
     """Files under ``path``: ``blocks``, and the code lengths in ``lengths``."""
-    spark, dtype = docs.sparkSession, _dtype(vocabulary)
+    spark, dtype = docs.sparkSession, encoder_of(vocabulary).dtype
     raw = table(tokenize(docs, vocabulary, end_id, key, text), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

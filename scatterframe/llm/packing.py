@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import table
-from .tokens import Encoder
+from .tokens import encoder_of
 
 ROOM = 4096
 OPEN_BINS = 256
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END
     """``PIECES``: the parts of every document, with a checksum of each part's ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder_of(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
             for key_, text_ in zip(batch.column(0), batch.column(1)):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -48,8 +50,9 @@ class Encoder(dict):
         return array(self._code, [t.id for t in self._merge(piece)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
+        if len(self) >= self.LIMIT:  # the older half goes
+            for old in list(islice(self, self.LIMIT // 2)):
+                del self[old]
         if _LETTERS.fullmatch(chunk):
             low = chunk.lower()
             got = self._piece(chunk) if low == chunk else self[low]
@@ -72,3 +75,9 @@ class Encoder(dict):
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process.  Spark reuses its Python workers, so what one task has looked up serves the next."""
+    return Encoder(path)
