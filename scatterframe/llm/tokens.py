@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 #: Ids fit two bytes up to this vocabulary size.
 SHORT_IDS = 1 << 16
 #: Separators that the vocabulary does not take for white space, or marks of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that are cut into letter runs, digits and other runs; an apostrophe or a rarer character needs the tokenizer's own rules.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
@@ -53,7 +53,7 @@ class Encoder(dict):
         if len(self) >= self.LIMIT:  # the older half goes
             for old in list(islice(self, self.LIMIT // 2)):
                 del self[old]
-        if _LETTERS.fullmatch(chunk):
+        if chunk.isascii() and chunk.isalpha() or _LETTERS.fullmatch(chunk):
             low = chunk.lower()
             got = self._piece(chunk) if low == chunk else self[low]
         elif _PLAIN.fullmatch(chunk):
@@ -69,7 +69,7 @@ class Encoder(dict):
         """The whole text's ids as little-endian bytes of ``dtype``."""
         if not text:
             return b""
-        if _WHOLE.search(text):
+        if any(map(text.__contains__, _WHOLE)):
             return self._pack(text)
         return b"".join(map(self.__getitem__, text.split()))
 
