@@ -15,9 +15,11 @@ _WIDTH = {"string": 32, "binary": 32}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; an own one, removed at the end, only where none is named."""
+    """The folder that ``spark.checkpoint.dir`` names; in local mode, where none is named, an own one, removed at the end."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(remove, spark, named)

@@ -82,6 +82,9 @@ def design_cells(perm: DataFrame, keys: list[str], codeword: int, capacity: int,
     loads = load_metrics(perm, keys, bursts, codeword, capacity)
     wide = loads.groupBy(*keys).agg(*[
         F.max(F.when(F.col("b") == b, F.col(c))).alias(f"{c}_b{b}") for b in bursts for c in STATS])
+    longest = perm.agg(F.max("n_rows")).first()[0] or 0
+    if longest * (longest - 1) // 2 <= st.PAIRS_A_TASK:
+        return wide.join(st.design_metrics(perm, keys, codeword, capacity), keys)
     minima = st.spreads(st.lag_minima(perm, keys), keys).select(*keys, "s_new", "s_ach")
     return (
         wide.join(st.b_guar(perm, keys, codeword, capacity).select(*keys, "b_guar"), keys)

@@ -227,7 +227,7 @@ def method_screen(kpi: DataFrame, structure: DataFrame, w1: float = 0.5, limits:
     wide = F.col("widest_share")
     flags = {
         "CONFINED": wide < t["confined"], "CENSORED": F.col("zero_share") > t["censored"],
-        "RATE-LIMITED": (F.col("res") < 0) & (F.col("be_part") < 0) & (F.abs("be_part") > F.abs("cr_part")),
+        "RATE-LIMITED": (F.col("res") < 0) & (F.round("be_part", 12) < 0) & (F.abs(F.round("be_part", 12)) > F.abs(F.round("cr_part", 12))),
         "CAPACITY-EXCEEDED": (F.col("over_share") > t["over"]) & (wide >= t["confined"]), "DEGENERATE": F.col("fixed_share") > t["fixed"]}
     text = F.concat_ws(" + ", *[F.when(c, F.lit(n)) for n, c in flags.items()])
     v = F.when(wide.isNull(), "not screened").when(text == "", "in scope").otherwise(text)

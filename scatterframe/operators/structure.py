@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dims import BROADCAST_BYTES, settle, spread, union_all
+from ..functions.dims import BROADCAST_BYTES, settle, spread
 from ..functions.numeric import EPS, big, hash32, idiv
 
 
@@ -60,7 +60,7 @@ PAIRS_A_TASK = 1 << 28
 SKETCH_BITS = 12
 
 
-def _by_length(arrays: pd.Series, kernel, out: np.ndarray, cells: int) -> pd.Series:
+def _by_length(arrays: pd.Series, kernel, out: np.ndarray, cells: int) -> np.ndarray:
     """``kernel`` on stacks of equally long permutations of about ``cells`` values, results in the order of ``arrays``."""
     sizes = arrays.map(len).to_numpy()
     for n in np.unique(sizes):
@@ -69,7 +69,7 @@ def _by_length(arrays: pd.Series, kernel, out: np.ndarray, cells: int) -> pd.Ser
         for k in range(0, len(at), step):
             part = at[k : k + step]
             out[part] = kernel(np.array(arrays.iloc[part].tolist(), np.int64))
-    return pd.Series(out)
+    return out
 
 
 def _vectors(p: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def distinct_vectors(p: pd.Series, first: pd.Series, step: pd.Series) -> pd.Seri
 
 @F.pandas_udf(T.DoubleType())
 def largest_lobe(p: pd.Series) -> pd.Series:
-    return _by_length(p, _lobes, np.zeros(len(p)), 1 << 20)
+    return pd.Series(_by_length(p, _lobes, np.zeros(len(p)), 1 << 20))
 
 
 def _dealt_by_lag(perm: DataFrame, keys: list[str], pairs_a_task: int) -> DataFrame:
@@ -252,6 +252,44 @@ def sampled_spread(perm: DataFrame, keys: list[str], size: int, seed: int = 42)
     return pairs.groupBy(*keys).agg(F.sqrt(F.min(x * x + y * y).cast("double")).alias("s_factor"))
 
 
+_DESIGN = T.StructType([T.StructField(c, T.LongType()) for c in ("distinct", "s_new", "s_ach", "jumps", "b_guar")])
+
+
+def _design(p: np.ndarray, codeword: int, capacity: int) -> np.ndarray:
+    """Distinct vectors, L1 and attained spread, distinct jumps and guaranteed burst of each row's sources by position."""
+    m, n = p.shape
+    out = np.empty((m, 5), np.int64)
+    # a vector and its transpose are met together, so sources by position count as positions by source do
+    out[:, 0] = _vectors(p)
+    low, new, attained = np.full(m, n, np.int64), np.full(m, np.iinfo(np.int64).max), np.ones(m, np.int64)
+    for d in range(1, min(n - 1, int(np.ceil(2 * np.sqrt(n - 1))) + 1) + 1):
+        least = np.abs(p[:, d:] - p[:, :-d]).min(1)
+        low, new = np.minimum(low, least), np.minimum(new, d + least)
+        attained[(low >= d + 1) & (attained == d)] = d + 1
+    seen = np.zeros((m, n + 1), bool)
+    seen[np.arange(m)[:, None], np.abs(np.diff(p, axis=1))] = True
+    blocks = (p - 1) // codeword
+    order = np.argsort(blocks, axis=1, kind="stable")
+    blocks = np.take_along_axis(blocks, order, 1)
+    gaps = np.where(blocks[:, capacity:] == blocks[:, : n - capacity], order[:, capacity:] - order[:, : n - capacity], n) if capacity < n else np.full((m, 1), n)
+    out[:, 1], out[:, 2], out[:, 3], out[:, 4] = new, attained, seen.sum(1), gaps.min(1)
+    return out
+
+
+def design_metrics(perm: DataFrame, keys: list[str], codeword: int, capacity: int) -> DataFrame:
+    """(keys, b_guar, dispersion, s_new, s_ach, adj_dispersion) from one array and one kernel for permutations within a task's pairs."""
+
+    @F.pandas_udf(_DESIGN)
+    def measured(p: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(p), 5), np.int64)
+        _by_length(p, lambda x: _design(x, codeword, capacity), out, 1 << 20)
+        return pd.DataFrame(out, columns=_DESIGN.fieldNames())
+
+    a = as_array(perm, keys, "pos", "src").select(*keys, "n", measured("p").alias("m"))
+    n = F.col("n").cast("double")
+    return a.select(*keys, "m.b_guar", F.try_divide("m.distinct", n * (n - 1) / 2.0).alias("dispersion"), "m.s_new", "m.s_ach", F.try_divide("m.jumps", n - 1).alias("adj_dispersion"))
+
+
 def source_separation(perm: DataFrame, keys: list[str], codeword: int) -> DataFrame:
     """Smallest gap between source rows sharing a transmitted block, whole blocks only: minimum and mean of minima."""
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -333,19 +371,25 @@ def closed_blocks(perm: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pairwise_distance(vectors: DataFrame, id_col: str, vec: str, others: DataFrame, other_id: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Euclidean distance of every vector to every row of a bounded second set.
+    """Euclidean distance of every vector to every row of a second set.
 
-    The result has a row per combination.  The second set is measured: up to
-    ``most`` bytes it travels with each row as one array; a larger one is dealt
-    with in blocks of that size, one after another.
+    The result has a row per combination.  The second set is measured and cut
+    into blocks of about ``most`` bytes.  One block is broadcast; of several, each
+    goes to as many tasks as the session shuffles to, and meets its share of the
+    vectors there.
     """
     o = settle(others.select(F.col(other_id).cast("bigint").alias("id"), F.col("vec")))
     size = o.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
-    blocks = 1 + size // most
-    parts = o.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("_a"))
-    arrays = [parts.where(F.col("_b") == b).select("_a").scalar() for b in range(blocks)]
+    blocks, parts = 1 + size // most, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = o.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("id", "vec")).alias("_a"))
     left = vectors.select(id_col, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v"))
-    d = union_all([left.select("*", F.inline(a)) for a in arrays])
+    left = left.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if blocks == 1:
+        met = left.join(F.broadcast(whole), "_b")
+    else:
+        share = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        met = left.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).join(whole.withColumn("_s", share), ["_b", "_s"])
+    d = met.select(id_col, "_v", F.inline("_a"))
     sq = F.aggregate(F.zip_with("_v", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return d.select(id_col, F.col("id").alias(other_id), F.sqrt(sq).alias("distance"))
 

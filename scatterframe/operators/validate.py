@@ -58,7 +58,7 @@ def bootstrap_intervals(boot: DataFrame, reference: str) -> DataFrame:
     return ci.join(percentiles(j, ["metric"], "q", {"ratio_lo": 2.5, "ratio_hi": 97.5}, small=True).drop("n"), "metric")
 
 
-def scorecard(per_block: DataFrame, spread: DataFrame, between: DataFrame, trial: DataFrame, reference: str, draws: int = 200,
+def scorecard(per_block: DataFrame, spread: DataFrame, between: DataFrame, trial: DataFrame, reference: str, draws: int = 5000,
               threshold: float = THRESHOLD) -> DataFrame:
     """One row per metric: mean |rho|, trial and between values, spread, intervals, pass count, ratio to reference."""
     s = score(fisher_combine(per_block, ["condition", "metric"]), threshold=threshold)
@@ -66,7 +66,7 @@ def scorecard(per_block: DataFrame, spread: DataFrame, between: DataFrame, trial
     mean = lambda df, c, name, absolute: df.groupBy("metric").agg(F.avg(F.abs(c) if absolute else F.col(c)).alias(name))
     parts = [
         mean(trial, "rho", "trial", True), mean(between, "rho", "between", False), mean(spread, "median", "med_block", False),
-        mean(spread, "iqr", "iqr_block", False), bootstrap_intervals(block_bootstrap(per_block, draws), reference),
+        mean(spread, "iqr", "iqr_block", False), bootstrap_intervals(settle(block_bootstrap(per_block, draws)), reference),
     ]
     d = s.withColumnRenamed("mean_abs", "cell").withColumn("ratio_to_ref", F.col("cell") / ref)
     for p in parts:
@@ -115,37 +115,42 @@ def leave_one_out_range(loo: DataFrame, threshold: float = THRESHOLD) -> DataFra
         F.min("pass").alias("pass_min"), F.max("pass").alias("pass_max"))
 
 
-def null_draws(cells: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """|rho| under three kinds of noise: (kind, draw, condition, rho).
+def null_draws(cells: DataFrame, metrics: list[str], draws: int, seed: int = 42) -> DataFrame:
+    """|rho| under three kinds of noise: (kind, metric, draw, condition, rho).
 
     shared: a random value per (method, block), the same in every condition;
-    independent: drawn per condition; shuffled: the metric's own values dealt
-    anew to the methods of a block.  ``cells`` needs condition, block, method, x, y.
+    independent: drawn per condition; shuffled: each metric's own values dealt
+    anew to the methods of a block.  The first two concern no metric and have ''
+    there.  ``cells`` needs condition, block, method, y and the metrics; cells
+    that lack one of them take no part.
     """
-    ok = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ok = cells
+    for c in [*metrics, "y"]:
+        ok = ok.where(F.col(c).isNotNull())
     base = ok.withColumns({
-        "rx": avg_rank_small(CB, "x"), "ry": avg_rank_small(CB, "y"),
+        **{f"r_{c}": avg_rank_small(CB, c) for c in [*metrics, "y"]},
         "place": F.row_number().over(Window.partitionBy(*CB).orderBy("method")), "m": F.count("*").over(Window.partitionBy(*CB))})
-    base = settle(base.select(*CB, "method", "rx", "ry", "place", "m"))
-    d = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    base = settle(base.select(*CB, "method", *[f"r_{c}" for c in [*metrics, "y"]], "place", "m"))
+    d = base.select(*CB, "method", "r_y", "m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     order = lambda h: F.row_number().over(Window.partitionBy(*CB, "draw").orderBy(h, "method"))
     d = d.withColumns({
         "shared": order(hash32(F.lit(seed), "draw", "block", "method")),
         "independent": order(hash32(F.lit(seed), "draw", "condition", "block", "method")),
         "deal": order(hash32(F.lit(seed), F.lit("deal"), "draw", "block", "method"))})
-    dealt = base.select(*CB, F.col("place").alias("deal"), F.col("rx").alias("shuffled"))
-    d = d.join(dealt, [*CB, "deal"])
-    kinds = ["shared", "independent", "shuffled"]
-    pb = d.groupBy("draw", *CB).agg(F.max("m").alias("m"), *[F.corr(k, "ry").alias(k) for k in kinds])
-    long = pb.where(F.col("m") >= 5).unpivot(["draw", *CB, "m"], kinds, "kind", "rho")
-    return fisher_combine(long, ["kind", "draw", "condition"])
+    d = d.join(base.select(*CB, F.col("place").alias("deal"), *[f"r_{c}" for c in metrics]), [*CB, "deal"])
+    kinds = {("shared", ""): "shared", ("independent", ""): "independent"} | {("shuffled", c): f"r_{c}" for c in metrics}
+    pb = d.groupBy("draw", *CB).agg(F.max("m").alias("m"), *[F.corr(c, "r_y").alias(c) for c in kinds.values()])
+    one = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.col(c).alias("rho")) for (kind, metric), c in kinds.items()])
+    long = pb.where(F.col("m") >= 5).select("draw", *CB, "m", F.inline(one))
+    return fisher_combine(long, ["kind", "metric", "draw", "condition"])
 
 
 def null_limits(nulls: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Upper quantiles of mean |rho| over draws and the largest pass count, per kind."""
-    s = score(nulls, ["kind", "draw"], threshold).withColumn("mean_abs", F.round("mean_abs", 12))
-    q = percentiles(s, ["kind"], "mean_abs", {"p95": 95, "p99": 99, "p999": 99.9}, small=True, rule="linear").drop("n")
-    return q.join(s.groupBy("kind").agg(F.count("*").alias("draws"), F.max("mean_abs").alias("highest"), F.max("pass").alias("max_pass")), "kind")
+    """Upper quantiles of mean |rho| over draws and the largest pass count, per kind and metric."""
+    by = ["kind", "metric"]
+    s = score(nulls, [*by, "draw"], threshold).withColumn("mean_abs", F.round("mean_abs", 12))
+    q = percentiles(s, by, "mean_abs", {"p95": 95, "p99": 99, "p999": 99.9}, small=True, rule="linear").drop("n")
+    return q.join(s.groupBy(*by).agg(F.count("*").alias("draws"), F.max("mean_abs").alias("highest"), F.max("pass").alias("max_pass")), by)
 
 
 def subset_stability(per_block: DataFrame, sizes: list[int], draws: int, limit: float = 0.15, seed: int = 42) -> DataFrame:

@@ -20,7 +20,7 @@ def sql_loads(head: str, f: str, n: int) -> str:
     return f"""{head}, ids AS (SELECT DISTINCT frame_id FROM {f}), ks AS (SELECT range AS cw FROM range(1, {-(-n // CW) + 1})),
   ph AS (SELECT method, frame_id, pos, src FROM {f} JOIN perm USING (pos) WHERE hit = 1),
   cnt AS (SELECT method, frame_id, 'before' AS phase, (pos + {CW} - 1) // {CW} AS cw, count(*) AS c FROM ph GROUP BY ALL
-    UNION ALL SELECT method, frame_id, 'after', (src + {CW} - 1) // {CW}, count(*) FROM ph GROUP BY ALL),
+    UNION ALL SELECT method, frame_id, 'after', (src + {CW} - 1) // {CW}, count(*) FROM ph WHERE src <= {n} GROUP BY ALL),
   loads AS (SELECT m.method, i.frame_id, p.phase, k.cw, coalesce(c, 0) AS load
     FROM (SELECT DISTINCT method FROM perm) m CROSS JOIN ids i CROSS JOIN (VALUES ('before'), ('after')) p(phase)
     CROSS JOIN ks k LEFT JOIN cnt USING (method, frame_id, phase, cw))"""

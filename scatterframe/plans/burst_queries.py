@@ -75,14 +75,14 @@ def b4(spark, sf):
     return d.select("kind", "n", "m", rnd("ks").alias("ks"), rnd("critical").alias("critical"))
 
 
-def _sql_burst(whole: bool) -> str:
-    return f"""{sql_frames(source='orders', whole=whole)}, lv(bin, level) AS (VALUES (1, 0.02::DOUBLE), (2, 0.06::DOUBLE), (3, 0.10::DOUBLE)),
+def sql_burst(source: str = "orders", whole: bool = True) -> str:
+    return f"""{sql_frames(source=source, whole=whole)}, lv(bin, level) AS (VALUES (1, 0.02::DOUBLE), (2, 0.06::DOUBLE), (3, 0.10::DOUBLE)),
   bs AS (SELECT DISTINCT frame_id, n_rows, bin, level, CAST(least(n_rows, greatest(1, floor(level * n_rows + 0.5))) AS BIGINT) AS size FROM f CROSS JOIN lv),
   bursts AS (SELECT *, {hash_sql('42', 'frame_id', 'bin')} % (n_rows - size + 1) + 1 AS start FROM bs)"""
 
 
 #: Bursts in whole frames only, for designs that need equal frames, and in all frames.
-SQL_BURST, SQL_BURST_ALL = _sql_burst(True), _sql_burst(False)
+SQL_BURST, SQL_BURST_ALL = sql_burst(), sql_burst(whole=False)
 
 
 @register("B5_single_burst", f"""WITH {SQL_BURST_ALL} SELECT b.frame_id, CAST(bin AS BIGINT) AS bin, pos FROM bursts b JOIN f

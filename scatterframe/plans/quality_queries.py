@@ -15,7 +15,7 @@ from ..operators import structure as st
 from ..operators.blockload import block_loads
 from ..sources.tables import EVENT_W, ORDER_W, SQL_OBS, frames_events, frames_orders, obs, sql_frames, table
 from .blockload_queries import CW, T, sql_loads
-from .burst_queries import EXTENDING, LEVELS, SQL_BURST, sql_hazen
+from .burst_queries import EXTENDING, LEVELS, sql_burst, sql_hazen
 from .kpi_queries import SQL_CORE, R, core, sql_z
 from .perm_sql import perms_sql
 from .registry import ORACLES, QUERIES, register
@@ -208,21 +208,26 @@ SCREENED = ["block", "snake", "goldenRP", "convolutional", "freqDeterm", "time",
 B = 24
 
 
-@register("H9_method_screen", "WITH " + sql_loads(f"""{SQL_BURST}, {perms_sql(SCREENED, ORDER_W)}, f2 AS (SELECT f.frame_id * 10 + b.bin AS frame_id, f.pos, (f.pos BETWEEN b.start AND b.start + b.size - 1)::INT AS hit
-  FROM f JOIN bursts b ON b.frame_id = f.frame_id)""", "f2", ORDER_W) + f""", cr AS (SELECT method, frame_id, greatest(0.0, 1 - (coalesce(sum(load) FILTER (phase = 'after' AND load > {T}), 0)::DOUBLE / {ORDER_W})
-    / (coalesce(sum(load) FILTER (phase = 'before' AND load > {T}), 0)::DOUBLE / {ORDER_W} + 2.220446049250313e-16)) AS cr FROM loads GROUP BY ALL),
-  g AS (SELECT avg(cr) AS mu, stddev_samp(cr) AS sd FROM cr), k AS (SELECT method, avg(cr) AS cr, avg((cr = 0)::INT) AS zero_share, (avg(cr) - any_value(mu)) / (any_value(sd) + 2.220446049250313e-16) AS cr_z FROM cr CROSS JOIN g GROUP BY method),
+def _screen_sql(source: str, width: int, rules: list[str]) -> str:
+    """Bursts of three sizes in every whole frame, and what they and the rules' own structure say of each rule."""
+    return "WITH " + sql_loads(f"""{sql_burst(source)}, {perms_sql(rules, width)}, f2 AS (SELECT f.frame_id * 10 + b.bin AS frame_id, f.pos, (f.pos BETWEEN b.start AND b.start + b.size - 1)::INT AS hit
+  FROM f JOIN bursts b ON b.frame_id = f.frame_id)""", "f2", width) + f""", cr AS (SELECT method, frame_id, greatest(0.0, 1 - (coalesce(sum(load) FILTER (phase = 'after' AND load > {T}), 0)::DOUBLE / {width})
+    / (coalesce(sum(load) FILTER (phase = 'before' AND load > {T}), 0)::DOUBLE / {width} + 2.220446049250313e-16)) AS cr FROM loads GROUP BY ALL),
+  e AS (SELECT method, max(pos) AS n_out, {width}.0::DOUBLE / max(pos) AS be FROM perm GROUP BY method), cb AS (SELECT * FROM cr JOIN e USING (method)),
+  g AS (SELECT avg(cr) AS mu, stddev_samp(cr) AS sd, avg(be) AS mub, stddev_samp(be) AS sdb FROM cb),
+  k AS (SELECT method, avg(cr) AS cr, avg((cr = 0)::INT) AS zero_share, (avg(cr) - any_value(mu)) / (any_value(sd) + 2.220446049250313e-16) AS cr_z, any_value((be - mub) / (sdb + 2.220446049250313e-16)) AS be_z FROM cb CROSS JOIN g GROUP BY method),
   rm AS (SELECT method, pos, src, max(src) OVER (PARTITION BY method ORDER BY pos) AS hi FROM perm), br AS (SELECT method, pos - coalesce(lag(pos) OVER (PARTITION BY method ORDER BY pos), 0) AS w FROM rm WHERE hi = pos),
-  wd AS (SELECT method, max(w) / {ORDER_W}.0::DOUBLE AS widest_share FROM br GROUP BY method), rc AS (SELECT method, max(abs(src - pos)) / {ORDER_W}.0::DOUBLE AS reach, avg((src = pos)::INT) AS fixed_share FROM perm GROUP BY method),
-  wc AS (SELECT method, s, (src - 1) // {CW} AS cw, count(*) AS l FROM perm JOIN range(1, {ORDER_W - B + 2}) r(s) ON pos BETWEEN s AND s + {B} - 1 GROUP BY ALL), wm AS (SELECT method, s, max(l) AS mx FROM wc GROUP BY ALL),
-  ov AS (SELECT method, avg((mx > {T})::INT) AS over_share, max(mx) AS max_load FROM wm GROUP BY method), a_ AS (SELECT *, 0.5::DOUBLE * cr_z AS res FROM k JOIN wd USING (method) JOIN rc USING (method) JOIN ov USING (method)),
-  t_ AS (SELECT *, concat_ws(' + ', CASE WHEN widest_share < 0.25 THEN 'CONFINED' END, CASE WHEN zero_share > 0.2 THEN 'CENSORED' END, CASE WHEN over_share > 0.5 AND widest_share >= 0.25 THEN 'CAPACITY-EXCEEDED' END,
-    CASE WHEN fixed_share > 0.5 THEN 'DEGENERATE' END) AS t FROM a_)
+  wd AS (SELECT method, max(w) / {width}.0::DOUBLE AS widest_share FROM br GROUP BY method), rc AS (SELECT method, max(abs(src - pos)) / count(*)::DOUBLE AS reach, avg((src = pos)::INT) AS fixed_share FROM perm GROUP BY method),
+  wc AS (SELECT method, s, (src - 1) // {CW} AS cw, count(*) AS l FROM perm JOIN e USING (method) JOIN range(1, {2 * width}) r(s) ON s <= n_out - {B} + 1 AND pos BETWEEN s AND s + {B} - 1 GROUP BY ALL), wm AS (SELECT method, s, max(l) AS mx FROM wc GROUP BY ALL),
+  ov AS (SELECT method, avg((mx > {T})::INT) AS over_share, max(mx) AS max_load FROM wm GROUP BY method),
+  a_ AS (SELECT *, round(0.5::DOUBLE * be_z, 12) AS bp, round(0.5::DOUBLE * cr_z, 12) AS cp, 0.5::DOUBLE * cr_z + 0.5::DOUBLE * be_z AS res FROM k JOIN wd USING (method) JOIN rc USING (method) JOIN ov USING (method)),
+  t_ AS (SELECT *, concat_ws(' + ', CASE WHEN widest_share < 0.25 THEN 'CONFINED' END, CASE WHEN zero_share > 0.2 THEN 'CENSORED' END, CASE WHEN res < 0 AND bp < 0 AND abs(bp) > abs(cp) THEN 'RATE-LIMITED' END,
+    CASE WHEN over_share > 0.5 AND widest_share >= 0.25 THEN 'CAPACITY-EXCEEDED' END, CASE WHEN fixed_share > 0.5 THEN 'DEGENERATE' END) AS t FROM a_)
   SELECT method, round(res, 8) AS res, round(zero_share, 9) AS zero_share, round(widest_share, 9) AS widest_share, round(reach, 9) AS reach, round(fixed_share, 9) AS fixed_share, round(over_share, 9) AS over_share,
-  max_load, CASE WHEN t = '' THEN 'in scope' ELSE t END AS screen FROM t_""")
-def h9(spark, sf):
-    perm = ro.permutations(spark, SCREENED, ORDER_W)
-    f = frames_orders(spark, sf)
+  max_load, CASE WHEN t = '' THEN 'in scope' ELSE t END AS screen FROM t_"""
+
+
+def _screen(f, perm, width: int):
     lv = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("bin"), F.lit(x).alias("level")) for i, x in enumerate(LEVELS)])
     r = f.select("frame_id", "n_rows", "pos", F.inline(lv)).withColumn("size", bu.burst_size(F.col("level"), F.col("n_rows")))
     start = bu.hash32(F.lit(42), "frame_id", "bin") % (F.col("n_rows") - F.col("size") + 1) + 1
@@ -230,11 +235,12 @@ def h9(spark, sf):
                  ((F.col("pos") >= start) & (F.col("pos") < start + F.col("size"))).cast("int").alias("hit"))
     heads = r.where(F.col("pos") == 1).select("frame_id", "n_rows")
     cr = bu.block_failure(block_loads(r, perm, CW), T, heads).select("method", F.col("contribution").alias("cr"))
-    cells = kp.moments(cr.withColumn("zero", (F.col("cr") == 0).cast("double")), ["method"], ["cr", "zero"])
-    m = cells.withColumn("all", F.lit(1)).select("*", *kp.merged(cells.withColumn("all", F.lit(1)), ["all"], ["cr"]))
-    z = (F.col("m_cr") - F.col("mu_cr")) / (F.col("sd_cr") + EPS)
-    k = m.select("method", z.alias("cr_z"), F.lit(0.0).alias("be_z"), (0.5 * z).alias("res"), F.col("m_zero").alias("zero_share"))
-    n = F.lit(float(ORDER_W))
+    cr = cr.join(F.broadcast(ro.extension(perm, ["method"]).select("method", "be")), "method")
+    cells = kp.moments(cr.withColumn("zero", (F.col("cr") == 0).cast("double")), ["method"], ["cr", "zero", "be"])
+    m = cells.withColumn("all", F.lit(1)).select("*", *kp.merged(cells.withColumn("all", F.lit(1)), ["all"], ["cr", "be"]))
+    z = {c: (F.col(f"m_{c}") - F.col(f"mu_{c}")) / (F.col(f"sd_{c}") + EPS) for c in ("cr", "be")}
+    k = m.select("method", z["cr"].alias("cr_z"), z["be"].alias("be_z"), (0.5 * z["cr"] + 0.5 * z["be"]).alias("res"), F.col("m_zero").alias("zero_share"))
+    n = F.lit(float(width))
     s = (
         st.closed_blocks(perm, ["method"]).select("method", (F.col("widest") / n).alias("widest_share"))
         .join(st.reach(perm, ["method"]).select("method", "reach", F.col("fixed").alias("fixed_share")), "method")
@@ -244,3 +250,16 @@ def h9(spark, sf):
     return d.select("method", *R("res", d=8), *R("zero_share", "widest_share", "reach", "fixed_share", "over_share"), "max_load", "screen")
 
 
+@register("H9_method_screen", _screen_sql("orders", ORDER_W, SCREENED))
+def h9(spark, sf):
+    return _screen(frames_orders(spark, sf), ro.permutations(spark, SCREENED, ORDER_W), ORDER_W)
+
+
+#: Among these, five rules lengthen a frame of 200 rows to 210.
+LENGTHENING = [*SCREENED, "matrix", "helical", "helicalScan", "spiral", "prime"]
+
+
+@register("H9b_screen_of_lengthening_rules", _screen_sql("events", EVENT_W, LENGTHENING))
+def h9b(spark, sf):
+    """Rules that pad their frames, so the rate flag can fire."""
+    return _screen(frames_events(spark, sf), ro.permutations(spark, LENGTHENING, EVENT_W), EVENT_W)

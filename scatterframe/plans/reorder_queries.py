@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dims import settle
 from ..functions.numeric import big, rnd
 from ..operators import reorder as ro
-from ..sources.tables import EVENT_W, ORDER_W, frames_events, frames_orders, sql_frames
+from ..sources.tables import EVENT_W, ORDER_W, frames_events, frames_orders, sql_frames, table
 from .burst_queries import EVENT_LENGTHS, ORDER_LENGTHS
 from .perm_sql import perms_by_length
 from .registry import register
@@ -81,6 +81,14 @@ def restore(spark, sf):
         "frame_id", "pos", "value", big((F.col("value") != F.col("was")).cast("int")).alias("moved_back_wrong"))
 
 
+@register("I0_number_rows", """SELECT o_custkey AS customer, o_orderkey AS "order", CAST(row_number() OVER w AS BIGINT) AS pos, count(*) OVER (PARTITION BY o_custkey) AS n_rows
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def numbered(spark, sf):
+    """Every customer's orders as one frame."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order"))
+    return ro.number_rows(o, ["customer"], "order")
+
+
 ALL_240 = [(r, kw) for _, r, s, kw in RULE_QUERIES if s == "orders"] + [("identity", {})]
 ALL_200 = ["block", "matrix", "snake", "helical", "helicalScan", "diagonal", "spiral", "hierarchical", "multiDim",
            "latinSquare", "time", "freqDeterm", "goldenRP", "prime", "convolutional", "S", "identity"]

@@ -122,28 +122,26 @@ def r22(spark, sf):
 
 
 NULLS = 5000
-SQL_NULL = f"""{SQL_CELLS}, b0 AS (SELECT condition, block, method, x1 AS x, y FROM cl), bs AS (SELECT condition, block, method,
-    rank() OVER (PARTITION BY condition, block ORDER BY x) + (count(*) OVER (PARTITION BY condition, block, x) - 1) / 2.0::DOUBLE AS rx,
-    rank() OVER (PARTITION BY condition, block ORDER BY y) + (count(*) OVER (PARTITION BY condition, block, y) - 1) / 2.0::DOUBLE AS ry,
-    row_number() OVER (PARTITION BY condition, block ORDER BY method) AS place, count(*) OVER (PARTITION BY condition, block) AS m FROM b0),
-  dr AS (SELECT bs.*, d AS draw,
+_RANK = "rank() OVER (PARTITION BY condition, block ORDER BY {c}) + (count(*) OVER (PARTITION BY condition, block, {c}) - 1) / 2.0::DOUBLE AS r_{c}"
+SQL_NULL = f"""{SQL_CELLS}, bs AS (SELECT condition, block, method, {", ".join(_RANK.format(c=c) for c in [*X, "y"])},
+    row_number() OVER (PARTITION BY condition, block ORDER BY method) AS place, count(*) OVER (PARTITION BY condition, block) AS m FROM cl),
+  dr AS (SELECT condition, block, method, r_y, m, d AS draw,
     row_number() OVER (PARTITION BY condition, block, d ORDER BY {hash_sql('42', 'd', 'block', 'method')}, method) AS shared,
     row_number() OVER (PARTITION BY condition, block, d ORDER BY {hash_sql('42', 'd', 'condition', 'block', 'method')}, method) AS indep,
     row_number() OVER (PARTITION BY condition, block, d ORDER BY {hash_sql('42', "'deal'", 'd', 'block', 'method')}, method) AS deal FROM bs CROSS JOIN range(1, {NULLS + 1}) t(d)),
-  dj AS (SELECT dr.*, q.rx AS shuffled FROM dr JOIN bs q ON q.condition = dr.condition AND q.block = dr.block AND q.place = dr.deal),
-  nl AS (SELECT 'shared' AS kind, draw, condition, block, any_value(m) AS m, corr(shared, ry) AS rho FROM dj WHERE m >= 5 GROUP BY draw, condition, block
-    UNION ALL SELECT 'independent', draw, condition, block, any_value(m), corr(indep, ry) FROM dj WHERE m >= 5 GROUP BY draw, condition, block
-    UNION ALL SELECT 'shuffled', draw, condition, block, any_value(m), corr(shuffled, ry) FROM dj WHERE m >= 5 GROUP BY draw, condition, block),
-  nf AS (SELECT kind, draw, condition, {sql_fisher('nl')} AS rho FROM nl WHERE NOT isnan(rho) GROUP BY ALL),
-  ns AS (SELECT kind, draw, round(avg(abs(rho)), 12) AS a, sum({PASS}) AS pass FROM nf GROUP BY ALL)"""
+  dj AS (SELECT dr.*, {", ".join(f"q.r_{x} AS s_{x}" for x in X)} FROM dr JOIN bs q ON q.condition = dr.condition AND q.block = dr.block AND q.place = dr.deal),
+  pb AS (SELECT draw, condition, block, any_value(m) AS m, corr(shared, r_y) AS shared, corr(indep, r_y) AS indep, {", ".join(f"corr(s_{x}, r_y) AS s_{x}" for x in X)} FROM dj WHERE m >= 5 GROUP BY draw, condition, block),
+  nl AS (SELECT 'shared' AS kind, '' AS metric, draw, condition, m, shared AS rho FROM pb UNION ALL SELECT 'independent', '', draw, condition, m, indep FROM pb
+    UNION ALL {" UNION ALL ".join(f"SELECT 'shuffled', '{x}', draw, condition, m, s_{x} FROM pb" for x in X)}),
+  nf AS (SELECT kind, metric, draw, condition, {sql_fisher('nl')} AS rho FROM nl WHERE NOT isnan(rho) GROUP BY ALL),
+  ns AS (SELECT kind, metric, draw, round(avg(abs(rho)), 12) AS a, sum({PASS}) AS pass FROM nf GROUP BY ALL)"""
 
 
-@register("R23_null_calibration", f"""WITH {SQL_NULL} SELECT kind, count(*) AS draws, round(quantile_cont(a, 0.95), 8) AS p95, round(quantile_cont(a, 0.99), 8) AS p99,
-  round(quantile_cont(a, 0.999), 8) AS p999, round(max(a), 8) AS highest, CAST(max(pass) AS BIGINT) AS max_pass FROM ns GROUP BY kind""")
+@register("R23_null_calibration", f"""WITH {SQL_NULL} SELECT kind, metric, count(*) AS draws, round(quantile_cont(a, 0.95), 8) AS p95, round(quantile_cont(a, 0.99), 8) AS p99,
+  round(quantile_cont(a, 0.999), 8) AS p999, round(max(a), 8) AS highest, CAST(max(pass) AS BIGINT) AS max_pass FROM ns GROUP BY kind, metric""")
 def r23(spark, sf):
-    c = cells(spark, sf).select("condition", "block", "method", F.col("x1").alias("x"), "y")
-    d = va.null_limits(va.null_draws(c, NULLS))
-    return d.select("kind", "draws", *R("p95", "p99", "p999", "highest", d=8), "max_pass")
+    d = va.null_limits(va.null_draws(cells(spark, sf), X, NULLS))
+    return d.select("kind", "metric", "draws", *R("p95", "p99", "p999", "highest", d=8), "max_pass")
 
 
 SUB = 2000

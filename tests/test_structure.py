@@ -105,6 +105,17 @@ def test_dispersion_dealt_by_lags(perms, rng, pairs):
         assert name == "c" or near[name]["distinct"] == pytest.approx(want, rel=0.08, abs=1)
 
 
+@pytest.mark.parametrize("codeword,capacity", [(7, 2), (15, 3), (4, 1), (10, 50)])
+def test_design_metrics_equal_their_parts(perms, rng, codeword, capacity):
+    p = perms({str(i): rng.permutation(n) + 1 for i, n in enumerate([2, 3, 40, 61, 45])} | {"id": range(1, 43)})
+    got = one(st.design_metrics(p, K, codeword, capacity))
+    spread = one(st.spreads(st.lag_minima(p, K), K))
+    parts = [one(st.b_guar(p, K, codeword, capacity)), one(st.dispersion(p, K)), spread, one(st.adjacency(p, K))]
+    for name, r in got.items():
+        assert r == {"perm_id": name, "b_guar": parts[0][name]["b_guar"], "dispersion": parts[1][name]["dispersion"], "s_new": spread[name]["s_new"],
+                     "s_ach": spread[name]["s_ach"], "adj_dispersion": parts[3][name]["adj_dispersion"]}
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 50, 500])
 def test_sampled_spread(perms, rng, size):
     named = {"a": rng.permutation(120) + 1, "b": range(1, 41), "c": rng.permutation(3) + 1}

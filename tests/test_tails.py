@@ -52,3 +52,10 @@ def test_restore_and_alignment(spark, tail):
     assert not any(r.moved_back_wrong for r in back)
     r = QUERIES["S11_row_alignment"](spark, tail).first()
     assert (r.rows, r.only_a, r.diff_value) == (ROWS, 3, 9)
+
+
+def test_padding_and_clean_region(spark, tail):
+    rows = {(r.method, r.n_rows): r for r in QUERIES["I0_extension"](spark, tail).collect()}
+    assert {n for _, n in rows} == {200, 50} and all(r.frames == (2 if n == 200 else 1) for (_, n), r in rows.items())
+    clean = QUERIES["B9_clean_region"](spark, tail).collect()
+    assert {r.frame_id for r in clean} == {0, 1, 2} and all(r.n_rows == (50 if r.frame_id == 2 else 200) for r in clean)
