@@ -4,7 +4,8 @@ A byte is removed if a string of ``least`` bytes that covers it starts anywhere
 else in the corpus too, in the same document or another.
 
 1. *Slices.*  Every string of ``least`` bytes has an anchor: among its runs of
-   ``GRAM`` bytes, the one of least hash, the leftmost of equals.  Equal strings
+   ``GRAM`` bytes, the one of least hash, the leftmost of equals.  Texts are hashed in
+   pieces that overlap by ``least - 1`` bytes, so a long text takes no more memory.  Equal strings
    have equal anchors, so only strings whose anchor occurs again can repeat.  The
    stretch of consecutive starts that one anchor serves is cut out as a slice,
    and slices are dealt to tasks by anchor.  An anchor whose strings pass a counted
@@ -12,12 +13,16 @@ else in the corpus too, in the same document or another.
    equal strings still meet, and no task holds more than its share of them.
    Strings that repeat within a group of documents are marked there and sent once.
 2. *Suffix arrays.*  A task reads its slices batch by batch.  The suffixes of a
-   batch are sorted by a fingerprint of their first ``least`` bytes, since
-   only matches of that length count.  The batch's array is merge-scanned against
-   the array of every level, suffixes that meet are marked on both sides, and the
-   array becomes a level; levels of like size are merged, so that a task that has
-   read n suffixes holds log n arrays at most.  There are as many tasks as the
-   counted strings need at ``SHARE`` a task.
+   batch are sorted by their first ``least`` bytes, since only matches of that length
+   count: by eight bytes at first, then by doubled prefixes, where ties are left.
+   The batch's array is merge-scanned against the array of every level: a suffix is
+   placed by comparing bytes, eight at a time, beyond those that both neighbours
+   are known to share.  Suffixes equal in all ``least`` bytes are marked on both
+   sides; the others become a level.  Levels of like size are merged, so that a
+   task that has read n suffixes holds log n arrays at most.  There are as many
+   tasks as the counted strings need at ``SHARE`` a task.  Only the fingerprints
+   of crowded anchors (1) have no bytes to compare: their levels are sorted
+   fingerprints, and equality rests on 64 bits there.
 3. *Removal.*  Marked starts become byte ranges of their documents, which are cut
    out in one last pass over the texts.
 
@@ -46,13 +51,15 @@ from .shingles import mix
 
 LEAST = 400
 GRAM = 51
-#: Bytes of texts that are hashed together, and suffixes in a new array, about.
+#: Bytes of texts that are hashed together, and bytes of slices (fingerprints of crowded anchors) in a new array, about.
 PIECE = 1 << 20
-BATCH = 1 << 20
+BATCH = 1 << 21
 #: Strings of one anchor that meet in one task, and strings of a task, at most about; a slice counts as ``SLICE`` strings besides its own.
 CROWD = 1 << 22
 SHARE = 1 << 22
 SLICE = 16
+#: Low bits of a gram's hash that give way to its place; the same for all texts, so that equal strings have equal anchors.
+PLACE_BITS = 24
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -99,13 +106,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def anchored(text: np.ndarray, lengths: np.ndarray, least: int, gram: int, powers: Powers) -> tuple[np.ndarray, ...]:
     """(document, anchor hash, first start, last start) of every stretch of starts with one anchor.
 
-    ``text`` holds the documents one after another; starts count from each document's own first byte.
+    ``text`` holds the documents one after another, less than 2^``PLACE_BITS`` bytes in all; starts
+    count from each document's own first byte.
     """
     none = np.empty(0, np.int64)
     if len(text) < least:
         return none, none.astype(np.uint64), none, none
     grams = window_hashes(text, gram, powers)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    if len(grams) >> PLACE_BITS:
+        raise ValueError("too many bytes are hashed together")
+    bits = np.uint64(PLACE_BITS)
     ranked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_min(ranked, least - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ends = np.cumsum(lengths)
@@ -122,8 +132,127 @@ def anchored(text: np.ndarray, lengths: np.ndarray, least: int, gram: int, power
     return doc[first], grams[anchor[first]], start[first] - base, start[last] - base
 
 
+def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, as they lie in memory."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at]
+
+
+def suffix_array(data: np.ndarray, room: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places with at least ``least`` bytes of ``room``, in the order of those bytes, and which equal the one before.
+
+    ``room`` is the number of bytes from each place to the end of its own string.
+    """
+    width = 8
+    at = np.flatnonzero(room >= width)
+    key = words_at(data, at).byteswap()
+    rank = np.zeros(len(data), np.int64)
+    group = np.zeros(len(at), np.int64)
+    while True:
+        # places of one group lie together and are told apart by their keys
+        order = np.argsort(key if width == 8 else group * len(data) + key)
+        at, key, group = at[order], key[order], group[order]
+        start = np.concatenate(([True], group[1:] != group[:-1]))[: len(at)]
+        new = start | np.concatenate(([True], key[1:] != key[:-1]))[: len(at)]
+        first = np.arange(len(at))
+        base = np.maximum.accumulate(np.where(start, first, 0))
+        first = np.maximum.accumulate(np.where(new, first, 0))
+        rank[at] = group + first - base
+        if width >= least:
+            break
+        step = min(width, least - width)
+        width += step
+        tied = ~new | ~np.append(new[1:], True)[: len(at)]
+        at = at[tied]
+        at = at[room[at] >= width]
+        group, key = rank[at], rank[at + step]
+    places = np.flatnonzero(room >= least)
+    places = places[np.argsort(rank[places], kind="stable")]
+    ranks = rank[places]
+    return places, np.concatenate(([False], ranks[1:] == ranks[:-1]))[: len(places)]
+
+
 class Levels:
-    """Suffix arrays of geometrically growing size over numbered suffixes."""
+    """Suffix arrays of geometrically growing size over the strings read so far; no two of their suffixes are equal."""
+
+    def __init__(self, least: int):
+        if least < 8:
+            raise ValueError("matches must have at least 8 bytes")
+        self.least = least
+        #: Where the eight bytes of each comparison begin.
+        self.steps = np.minimum(np.arange(0, least, 8), least - 8)
+        self.data, self.marked, self.size = np.zeros(8, np.uint8), np.zeros(8, bool), 0
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, strings: list[bytes]) -> None:
+        """Take the strings, mark the suffixes that meet others, and keep one of each kind."""
+        lengths = np.array([len(s) for s in strings])
+        begin, size = self.size, int(lengths.sum())
+        self._grow(size)
+        self.data[begin : begin + size] = np.frombuffer(b"".join(strings), np.uint8)
+        self.size += size
+        room = np.repeat(np.cumsum(lengths), lengths) - np.arange(size)
+        places, same = suffix_array(self.data[begin : begin + size], room, self.least)
+        places += begin
+        self.marked[places[same | np.append(same[1:], False)[: len(same)]]] = True
+        places = places[~same]
+        new = places, words_at(self.data, places).byteswap()
+        for old in self.levels:
+            at, equal = self.place(old, new)
+            self.marked[old[0][at[equal]]] = True
+            self.marked[new[0][equal]] = True
+            new = new[0][~equal], new[1][~equal]
+        while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
+            old = self.levels.pop()
+            big, few = (old, new) if len(old[0]) >= len(new[0]) else (new, old)
+            at, _ = self.place(big, few)
+            new = tuple(np.insert(b, at, f) for b, f in zip(big, few))
+        if len(new[0]):
+            self.levels.append(new)
+
+    def _grow(self, size: int) -> None:
+        need = self.size + size + 8
+        if need > len(self.data):
+            room = max(need, len(self.data) * 3 // 2) - len(self.data)
+            self.data = np.concatenate((self.data, np.zeros(room, np.uint8)))
+            self.marked = np.concatenate((self.marked, np.zeros(room, bool)))
+
+    def place(self, old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the old array each new suffix belongs, and whether the one there equals it in ``least`` bytes."""
+        lo, hi = np.searchsorted(old[1], new[1]), np.searchsorted(old[1], new[1], "right")
+        equal = np.zeros(len(lo), bool)
+        # words shared with the last smaller and the last greater old suffix: all between share the lesser number
+        below, above = np.ones(len(lo), np.int64), np.ones(len(lo), np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            shared, less = self._compare(old[0][mid], new[0][open_], np.minimum(below[open_], above[open_]))
+            done = shared == len(self.steps)
+            up = less & ~done
+            lo[open_[up]], below[open_[up]] = mid[up] + 1, shared[up]
+            down = ~up
+            hi[open_[down]], above[open_[down]] = mid[down], shared[down]
+            lo[open_[done]] = mid[done]
+            equal[open_[done]] = True
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo, equal
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that the suffixes share, and whether the first is less; ``known`` words are known to be shared."""
+        shared, less = known.copy(), np.zeros(len(a), bool)
+        at = np.flatnonzero(shared < len(self.steps))
+        while len(at):
+            step = self.steps[shared[at]]
+            x, y = words_at(self.data, a[at] + step), words_at(self.data, b[at] + step)
+            same = x == y
+            less[at[~same]] = x[~same].byteswap() < y[~same].byteswap()
+            at = at[same]
+            shared[at] += 1
+            at = at[shared[at] < len(self.steps)]
+        return shared, less
+
+
+class Prints:
+    """Sorted fingerprints in levels of geometrically growing size, over numbered strings."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
@@ -131,7 +260,7 @@ class Levels:
         self.count = 0
 
     def add(self, prints: np.ndarray) -> None:
-        """Number the suffixes on, mark those that meet others, and keep one of each kind."""
+        """Number the strings on, mark those that meet others, and keep one of each kind."""
         ids = np.arange(self.count, self.count + len(prints))
         self.marked.append(np.zeros(len(prints), bool))
         self.count += len(prints)
@@ -198,13 +327,27 @@ _STRETCHES = "key string, anchors array<long>, firsts array<long>, lasts array<l
 def _stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for group in _documents(batches, PIECE):
-            text = np.frombuffer(b"".join(d for _, d, _ in group), np.uint8)
-            doc, anchor, first, last = anchored(text, np.array([len(d) for _, d, _ in group]), least, gram, powers)
+
+        def found(parts: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+            text = np.frombuffer(b"".join(d for _, _, d in parts), np.uint8)
+            doc, anchor, first, last = anchored(text, np.array([len(d) for _, _, d in parts]), least, gram, powers)
+            begin = np.array([b for _, b, _ in parts])[doc]
             used, at = np.unique(doc, return_index=True)
             edges = pa.array(np.append(at, len(doc)), pa.int32())
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64))) for x in (anchor, first, last)]
-            yield pa.record_batch([pa.array([group[d][0] for d in used], pa.string()), *lists], ["key", "anchors", "firsts", "lasts"])
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64))) for x in (anchor, begin + first, begin + last)]
+            return pa.record_batch([pa.array([parts[d][0] for d in used], pa.string()), *lists], ["key", "anchors", "firsts", "lasts"])
+
+        held, size = [], 0
+        for group in _documents(batches, PIECE):
+            for key, data, _ in group:
+                for begin in range(0, max(len(data) - least + 1, 1), PIECE):
+                    held.append((key, begin, data[begin : begin + PIECE + least - 1]))
+                    size += len(held[-1][2])
+                    if size >= PIECE:
+                        yield found(held)
+                        held, size = [], 0
+        if held:
+            yield found(held)
 
     return docs.mapInArrow(run, _STRETCHES)
 
@@ -244,42 +387,23 @@ def _cover(slices: DataFrame, least: int, n_tasks: int) -> DataFrame:
     """Byte ranges of repeated strings, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, levels, refs, sizes = Powers(), Levels(), [], []
-        held: list[np.ndarray] = []
-        waiting = 0
-
-        def prints(slices: list[bytes]) -> np.ndarray:
-            lengths = np.array([len(s) for s in slices])
-            hashes = window_hashes(np.frombuffer(b"".join(slices), np.uint8), least, powers)
-            at = np.repeat(np.cumsum(lengths) - lengths, lengths - least + 1)
-            n = lengths - least + 1
-            return hashes[at + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-
+        levels, refs, sizes, held, waiting = Levels(least), [], [], [], 0
         for batch in batches:
-            rows, size, part = [], 0, []
             for r, s in zip(batch.column(1), batch.column(2)):
-                data = s.as_buffer().to_pybytes()
+                held.append(s.as_buffer().to_pybytes())
                 refs.append(r.as_py())
-                sizes.append(len(data) - least + 1)
-                rows.append(data)
-                size += len(data)
-                if size >= PIECE:
-                    part.append(prints(rows))
-                    rows, size = [], 0
-            if rows:
-                part.append(prints(rows))
-            held += part
-            waiting += sum(map(len, part))
-            if waiting >= BATCH:
-                levels.add(np.concatenate(held))
-                held, waiting = [], 0
+                sizes.append(len(held[-1]))
+                waiting += sizes[-1]
+                if waiting >= BATCH:
+                    levels.add(held)
+                    held, waiting = [], 0
         if held:
-            levels.add(np.concatenate(held))
-        marks, ends = levels.marks(), np.cumsum(sizes)
+            levels.add(held)
+        ends = np.cumsum(sizes)
         out: dict[str, tuple[list, list]] = {}
         full = 0
         for r, e, n in zip(refs, ends, sizes):
-            start, end = (np.zeros(1, int), np.full(1, n)) if len(r) > 1 else runs(marks[e - n : e])
+            start, end = (np.zeros(1, int), np.full(1, n - least + 1)) if len(r) > 1 else runs(levels.marked[e - n : e])
             if len(start):
                 for x in r:
                     ranges = out.setdefault(x["key"], ([], []))
@@ -361,7 +485,7 @@ def _met(windows: DataFrame, least: int, parts: int) -> DataFrame:
         return pa.record_batch([keys.take(pa.array(owner[at], pa.int32())), *lists], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, rows, held, waiting = Levels(), [], [], 0
+        levels, rows, held, waiting = Prints(), [], [], 0
         for batch in batches:
             for _, keys, owners, starts, ends, prints in zip(*batch.columns):
                 owner, start = np.frombuffer(owners.as_buffer(), np.int32), np.frombuffer(starts.as_buffer(), np.int64)

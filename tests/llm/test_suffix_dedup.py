@@ -55,9 +55,44 @@ def test_small(spark, docs, least, gram, batch, monkeypatch):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
-def test_levels():
+@pytest.mark.parametrize("least", [8, 11, 16, 21, 40])
+def test_suffix_array(least):
+    """The order of the strings, by plain sorting, zero bytes and high ones among them."""
+    draw = random.Random(least)
+    strings = [bytes(draw.choice((0, 97, 255)) for _ in range(draw.randint(1, 90))) for _ in range(40)] + [b"\0" * 70, b"ab" * 40]
+    strings += strings[3:9]
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    room = np.concatenate([np.arange(len(s), 0, -1) for s in strings])
+    places, same = suffix_dedup.suffix_array(data, room, least)
+    whole = data.tobytes()
+    assert sorted(places.tolist()) == np.flatnonzero(room >= least).tolist()
+    found = [whole[p : p + least] for p in places]
+    assert found == sorted(found)
+    assert same.tolist() == [k > 0 and found[k] == found[k - 1] for k in range(len(found))]
+
+
+@pytest.mark.parametrize("least", [8, 13, 30])
+def test_levels(least):
+    draw = random.Random(least)
+    parts = [bytes(draw.choice((0, 98, 200)) for _ in range(draw.randint(3, 30))) for _ in range(9)]
+    levels, seen = suffix_dedup.Levels(least), []
+    for size in (5, 60, 3, 9, 9, 1, 90, 4, 4, 4):
+        strings = [b"".join(draw.choice(parts) for _ in range(draw.randint(1, 4))) + b"z" * least + bytes([draw.randrange(256)]) for _ in range(size)]
+        levels.add(strings)
+        seen += strings
+        assert all(len(a[0]) >= 2 * len(b[0]) for a, b in zip(levels.levels, levels.levels[1:]))
+        whole = levels.data.tobytes()
+        for places, _ in levels.levels:
+            found = [whole[p : p + least] for p in places]
+            assert found == sorted(set(found))
+    windows = [s[i : i + least] if i + least <= len(s) else None for s in seen for i in range(len(s))]
+    count = Counter(windows)
+    assert levels.marked[: levels.size].tolist() == [w is not None and count[w] > 1 for w in windows]
+
+
+def test_prints():
     draw = np.random.default_rng(5)
-    levels, seen = suffix_dedup.Levels(), []
+    levels, seen = suffix_dedup.Prints(), []
     for size in (5, 400, 3, 64, 64, 1, 900, 30, 30, 30):
         prints = draw.integers(0, 2500, size).astype(np.uint64)
         levels.add(prints)
@@ -67,6 +102,19 @@ def test_levels():
     assert levels.marks().tolist() == [count[x] > 1 for x in seen]
 
 
+def test_long_text(spark, docs, monkeypatch):
+    """Texts of many pieces, one with its own start at its end, one whose middle another text has."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4096)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 4096)
+    draw = random.Random(3)
+    words = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    text = words(120_000)
+    rows = [(1, text + text[:700]), (2, words(5000)), (3, words(90) + text[60_000:70_000] + words(50)), (4, words(4096)), (5, "")]
+    got = result(suffix_dedup.remove_repeats(docs(rows)))
+    assert got == brute(rows, 400)
+    assert [r[2] for r in got] == [11_400, 0, 10_000, 0, 0]
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     for w in (1, 2, 7, 50):
