@@ -60,6 +60,8 @@ SHARE = 1 << 22
 SLICE = 16
 #: Low bits of a gram's hash that give way to its place; the same for all texts, so that equal strings have equal anchors.
 PLACE_BITS = 24
+#: Words of eight bytes that are compared one by one before prefixes are doubled.
+FEW = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -137,36 +139,67 @@ def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at]
 
 
-def suffix_array(data: np.ndarray, room: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places with at least ``least`` bytes of ``room``, in the order of those bytes, and which equal the one before.
+def _named(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Names of the parts that keys cut groups into, both in order: a group's number and the places before the part in it."""
+    start = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+    new = start | np.concatenate(([True], key[1:] != key[:-1]))[: len(group)]
+    at = np.arange(len(group))
+    return group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(start, at, 0))
 
-    ``room`` is the number of bytes from each place to the end of its own string.
-    """
+
+def _tied(named: np.ndarray) -> np.ndarray:
+    same = named[1:] == named[:-1]
+    return np.concatenate(([False], same))[: len(named)] | np.append(same, False)[: len(named)]
+
+
+def prefix_ranks(data: np.ndarray, room: np.ndarray, least: int) -> np.ndarray:
+    """A rank for every place with ``least`` bytes of room, by those bytes: prefixes are doubled where ties are left."""
     width = 8
     at = np.flatnonzero(room >= width)
-    key = words_at(data, at).byteswap()
+    group, key = np.zeros(len(at), np.int64), words_at(data, at).byteswap()
     rank = np.zeros(len(data), np.int64)
-    group = np.zeros(len(at), np.int64)
     while True:
-        # places of one group lie together and are told apart by their keys
         order = np.argsort(key if width == 8 else group * len(data) + key)
-        at, key, group = at[order], key[order], group[order]
-        start = np.concatenate(([True], group[1:] != group[:-1]))[: len(at)]
-        new = start | np.concatenate(([True], key[1:] != key[:-1]))[: len(at)]
-        first = np.arange(len(at))
-        base = np.maximum.accumulate(np.where(start, first, 0))
-        first = np.maximum.accumulate(np.where(new, first, 0))
-        rank[at] = group + first - base
+        at = at[order]
+        named = _named(group[order], key[order])
+        rank[at] = named
         if width >= least:
-            break
+            return rank
         step = min(width, least - width)
         width += step
-        tied = ~new | ~np.append(new[1:], True)[: len(at)]
-        at = at[tied]
+        at = at[_tied(named)]
         at = at[room[at] >= width]
         group, key = rank[at], rank[at + step]
+
+
+def suffix_array(data: np.ndarray, room: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places with at least ``least`` bytes of ``room``, in the order of those bytes, and which equal the one before.
+
+    ``room`` is the number of bytes from each place to the end of its own string.  Most
+    places differ within ``FEW`` words; only strings with others go through prefix doubling.
+    """
     places = np.flatnonzero(room >= least)
-    places = places[np.argsort(rank[places], kind="stable")]
+    rank = np.zeros(len(data), np.int64)
+    at, group = places, np.zeros(len(places), np.int64)
+    for step in range(0, min(FEW * 8, least - 7), 8):
+        key = words_at(data, at + step).byteswap()
+        order = np.lexsort((key, group)) if step else np.argsort(key)
+        at = at[order]
+        named = _named(group[order], key[order])
+        rank[at] = named
+        tied = _tied(named)
+        at, group = at[tied], named[tied]
+    if len(at):
+        begin = np.flatnonzero(np.concatenate(([True], room[1:] != room[:-1] - 1)))
+        string = np.repeat(np.arange(len(begin)), room[begin])
+        used = np.zeros(len(begin), bool)
+        used[string[at]] = True
+        inside = used[string]
+        moved = np.cumsum(inside) - 1
+        key = prefix_ranks(data[inside], room[inside], least)[moved[at]]
+        order = np.lexsort((key, group))
+        rank[at[order]] = _named(group[order], key[order])
+    places = places[np.argsort(rank[places])]
     ranks = rank[places]
     return places, np.concatenate(([False], ranks[1:] == ranks[:-1]))[: len(places)]
 
