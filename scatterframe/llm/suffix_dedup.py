@@ -12,7 +12,8 @@ else in the corpus too, in the same document or another.
    bound (``CROWD``) has its strings' fingerprints dealt instead, by their value:
    equal strings still meet, and no task holds more than its share of them.
    Strings that repeat within a group of documents are marked there and sent once.
-2. *Suffix arrays.*  A task reads its slices batch by batch.  The suffixes of a
+2. *Suffix arrays.*  A task reads its slices batch by batch; a slice that it has
+   already, byte for byte, only adds its places to the first one's.  The suffixes of a
    batch are sorted by their first ``least`` bytes, since only matches of that length
    count: by eight bytes at first, then by doubled prefixes, where ties are left.
    The batch's array is merge-scanned against the array of every level: a suffix is
@@ -43,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,6 +244,10 @@ class Levels:
         if len(new[0]):
             self.levels.append(new)
 
+    def has(self, data: bytes, begin: int, waiting: list[bytes], k: int) -> bool:
+        """Whether the string at a place, or the ``k``-th that waits to be added, is ``data``."""
+        return waiting[k] == data if k >= 0 else self.data[begin : begin + len(data)].tobytes() == data
+
     def _grow(self, size: int) -> None:
         need = self.size + size + 8
         if need > len(self.data):
@@ -421,12 +427,18 @@ def _cover(slices: DataFrame, least: int, n_tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, refs, sizes, held, waiting = Levels(least), [], [], [], 0
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for r, s in zip(batch.column(1), batch.column(2)):
-                held.append(s.as_buffer().to_pybytes())
+                data, end = s.as_buffer().to_pybytes(), levels.size + waiting
+                k, begin = known.setdefault(xxhash.xxh3_128_digest(data), (len(refs), end))
+                if k < len(refs) and levels.has(data, begin, held, k - len(refs) + len(held)):
+                    refs[k] += r.as_py()
+                    continue
+                held.append(data)
                 refs.append(r.as_py())
-                sizes.append(len(held[-1]))
-                waiting += sizes[-1]
+                sizes.append(len(data))
+                waiting += len(data)
                 if waiting >= BATCH:
                     levels.add(held)
                     held, waiting = [], 0
