@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import settle
 from ..functions.numeric import atanh_clipped, big, finite
-from ..functions.rank import PIECE_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_rows
+from ..functions.rank import GROUP_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_rows
 
 CB = ["condition", "block"]
 
@@ -215,12 +215,18 @@ def rank_partial_by_block(cells: DataFrame, metrics: list[str], outcome: str, co
     return s.select(*keys, "m", F.when(den2 > 1e-12, (F.col("xy") - F.col("xc") * F.col("cy")) / F.sqrt(den2)).alias("rho"))
 
 
-def kendall_by_block(long: DataFrame, keys: list[str] | None = None, least: int = 5, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Kendall tau-b per (condition, block, metric), of cells or of raw trials."""
+def kendall_by_block(long: DataFrame, keys: list[str] | None = None, least: int = 5, piece_rows: int = GROUP_ROWS) -> DataFrame:
+    """Kendall tau-b of cells per (condition, block, metric)."""
     k = kendall_rows(long, keys or [*CB, "metric"], "x", "y", piece_rows)
     return k.where((F.col("m") >= least) & F.col("rho").isNotNull())
 
 
+def kendall_trials(trials: DataFrame, metrics: list[str], outcome: str, least: int = 20, piece_rows: int = GROUP_ROWS) -> DataFrame:
+    """Kendall tau-b over the raw trials of each block; a trial is dealt once for all its metrics."""
+    k = kendall_rows(trials, CB, metrics, outcome, piece_rows)
+    return k.where((F.col("m") >= least) & F.col("rho").isNotNull()).select(*CB, "metric", "m", "rho")
+
+
 def tau_threshold(rho: float = 0.30) -> float:
     """Kendall threshold matching a Spearman one under normality."""
     from math import asin, pi, sin

@@ -222,20 +222,20 @@ def sql_kendall(src: str, least: int) -> str:
   SELECT condition, metric, count(*) AS blocks, round({sql_fisher('kt')}, 9) AS tau, abs(round({sql_fisher('kt')}, 12)) >= {ac.tau_threshold()!r}::DOUBLE AS passes FROM kt GROUP BY ALL"""
 
 
-def _kendall(long_, least):
-    k = ac.fisher_combine(ac.kendall_by_block(long_, least=least), ["condition", "metric"])
+def _kendall(per_block):
+    k = ac.fisher_combine(per_block, ["condition", "metric"])
     return k.select("condition", "metric", "blocks", rnd("rho").alias("tau"), (F.abs(F.round("rho", 12)) >= ac.tau_threshold()).alias("passes"))
 
 
 @register("R16_kendall", f"WITH {SQL_CELLS}, {sql_kendall('lg', 5)}")
 def r16(spark, sf):
-    return _kendall(long(spark, sf), 5)
+    return _kendall(ac.kendall_by_block(long(spark, sf)))
 
 
 @register("R16b_kendall_trials", f"""WITH {SQL_OBS}, lg AS ({" UNION ALL ".join(f"SELECT condition, block, y, '{x}' AS metric, {x} AS x FROM obs" for x in X)}), {sql_kendall('lg', 20)}""")
 def r16b(spark, sf):
     """Kendall over the raw trials of each block, ties included."""
-    return _kendall(ac.cells_long(obs(spark, sf), X, "y", ac.CB), 20)
+    return _kendall(ac.kendall_trials(obs(spark, sf), X, "y"))
 
 
 @register("R30_pooled_vs_within", f"""WITH {SQL_PB}, {sql_rho('lg', 'condition, metric', 11, 'po')}, wi AS (SELECT condition, metric, count(*) AS blocks, {sql_fisher('pb')} AS within FROM pb GROUP BY ALL)

@@ -75,6 +75,35 @@ def test_kendall_of_hot_group(spark, piece_rows):
         assert got[g][1] is None if den == 0 else got[g][1] == pytest.approx((sx * sy).sum() / den, abs=1e-12)
 
 
+@pytest.mark.parametrize("piece_rows, cells", [(10**6, 9), (150, 10**6), (150, 9), (40, 30)])
+def test_columns_of_hot_groups(spark, piece_rows, cells):
+    """Several columns beside one y, with ties, one value in half of the rows, and NULLs, counted whole and in cells."""
+    rng = np.random.default_rng(8)
+    n = 900
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) < 800, "hot", "few"), "a": rng.permutation(n).astype(float), "b": rng.integers(0, 5, n).astype(float), "c": 1.0,
+                        "d": np.where(rng.random(n) < 0.5, 7.0, rng.integers(0, 300, n)), "y": np.where(rng.random(n) < 0.3, 50.0, rng.integers(0, 400, n))})
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(F.col("y") % 11 != 0, F.col("a")))
+    tau = {(r.g, r.metric): r for r in rank.kendall_rows(df, ["g"], ["a", "b", "c", "d"], "y", piece_rows=piece_rows, cell_values=cells).collect()}
+    rho = {(r.g, r.metric): r for r in rank.spearman_columns(df, ["g"], ["a", "b", "c", "d"], "y", piece_rows=piece_rows).collect()}
+    assert len(tau) == len(rho) == 8
+    for (g, c), r in tau.items():
+        part = pdf[(pdf.g == g) & ((c != "a") | (pdf.y % 11 != 0))]
+        sx, sy = (np.sign(part[k].to_numpy()[:, None] - part[k].to_numpy()) for k in (c, "y"))
+        assert r.m == rho[g, c].m == len(part)
+        if c == "c":
+            assert r.rho is None and rho[g, c].rho is None
+        else:
+            assert r.rho == pytest.approx((sx * sy).sum() / np.sqrt(np.abs(sx).sum() * np.abs(sy).sum()), abs=1e-12)
+            assert rho[g, c].rho == pytest.approx(part[c].rank().corr(part.y.rank()), abs=1e-12)
+
+
+def test_a_trial_is_dealt_once_for_all_its_metrics(spark):
+    """Kendall over trials ships each row once, not once for each metric and bit of its position."""
+    df = spark.range(20_000).select(F.lit("c").alias("condition"), F.lit(1).alias("block"), *[(F.col("id") * k % 19_997).alias(f"x{k}") for k in (3, 5, 7, 11)], F.col("id").alias("y"))
+    plan = ac.kendall_trials(df, ["x3", "x5", "x7", "x11"], "y")._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan.lower()
+
+
 @pytest.mark.parametrize("piece_rows", [5, 10**6])
 def test_ks_in_ranges(spark, piece_rows):
     rng = np.random.default_rng(7)
