@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import settle
 from ..functions.numeric import atanh_clipped, big, finite
-from ..functions.rank import GROUP_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_rows
+from ..functions.rank import GROUP_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_columns, spearman_rows
 
 CB = ["condition", "block"]
 
@@ -57,8 +57,7 @@ def fisher_combine(per_block: DataFrame, keys: list[str], less: int = 3, bound:
 
 def spearman_trials(trials: DataFrame, metrics: list[str], outcome: str, least: int = 20) -> DataFrame:
     """Spearman over the raw trials of each block."""
-    long = cells_long(trials, metrics, outcome, CB)
-    s = spearman_rows(long, [*CB, "metric"], "x", "y")
+    s = spearman_columns(trials, CB, metrics, outcome)
     return s.where((F.col("m") >= least) & F.col("rho").isNotNull()).select(*CB, "metric", "m", "rho")
 
 
