@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import settle
+from ..functions.dims import settle, union_all
 from ..functions.numeric import atanh_clipped, big, finite
 from ..functions.rank import GROUP_ROWS, avg_rank_small, kendall_rows, percentiles, spearman_columns, spearman_rows
 
@@ -74,14 +74,14 @@ def per_block_spread(per_block: DataFrame, keys: list[str], least: int = 4) -> D
 
 def pivot_correlations(trials: DataFrame, metrics: list[str], pivots: list[str], drop_zero_pivot: bool = False, least: int = 3) -> DataFrame:
     """Pearson and Spearman of every metric with every pivot, ranked by |r| per pivot."""
-    one = [F.struct(F.lit(p).alias("kpi"), F.lit(m).alias("metric"), finite(m).alias("x"), finite(p).alias("y"))
-           for p in pivots for m in metrics if m != p]
-    long = trials.select(F.inline(F.array(*one))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    if drop_zero_pivot:
-        long = long.where(F.col("y") != 0)
-    pear = long.groupBy("kpi", "metric").agg(F.corr("x", "y").alias("pearson"))
-    d = spearman_rows(long, ["kpi", "metric"], "x", "y").where(F.col("m") >= least).join(pear, ["kpi", "metric"]).select(
-        "kpi", "metric", "m", "pearson", F.col("rho").alias("spearman"))
+    found = []
+    for p in pivots:
+        rest = [m for m in metrics if m != p]
+        d = trials.select(*[finite(m).alias(m) for m in rest], finite(p).alias(p)).where(F.col(p) != 0 if drop_zero_pivot else F.col(p).isNotNull())
+        pear = d.agg(*[F.corr(m, p).alias(m) for m in rest]).select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("pearson")) for m in rest])))
+        s = spearman_columns(d, [], rest, p).where(F.col("m") >= least).join(pear, "metric")
+        found.append(s.select(F.lit(p).alias("kpi"), "metric", "m", "pearson", F.col("rho").alias("spearman")))
+    d = union_all(found)
     w = Window.partitionBy("kpi")
     order = lambda c: w.orderBy(F.abs(F.round(c, 9)).desc_nulls_last(), "metric")
     return d.withColumns({

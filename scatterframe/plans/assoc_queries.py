@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions.dims import settle
 from ..functions.numeric import rnd
 from ..functions.rank import cdf, percentiles
 from ..operators import assoc as ac
@@ -104,7 +105,7 @@ SQL_PIVOT = f"""{SQL_OBS}, pv AS (SELECT 'y' AS kpi, y::DOUBLE AS p, x1, x2, x3,
 
 
 def _pivot(spark, sf):
-    o = obs(spark, sf)
+    o = settle(obs(spark, sf).select(*X, "y"))
     a = ac.pivot_correlations(o, ["x1", "x3", "x4"], ["y"])
     return a.unionByName(ac.pivot_correlations(o, ["x1", "x3", "x4"], ["x2"], drop_zero_pivot=True))
 
