@@ -23,7 +23,7 @@ SQL_SUP = "sl AS (SELECT l_suppkey AS supplier, count(*) AS n FROM lineitem GROU
 SQL_PART = "pl AS (SELECT l_partkey AS part, count(*) AS n FROM lineitem GROUP BY ALL), ln AS (SELECT DISTINCT n FROM pl WHERE n >= 4)"
 
 
-@register("F1_primes", "SELECT o_orderkey AS n FROM orders o WHERE o_orderkey >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) r(d) WHERE d * d <= o.o_orderkey AND o.o_orderkey % d = 0)")
+@register("F1_primes", "WITH rt AS (SELECT unnest(range(2, CAST(floor(sqrt(max(o_orderkey))) AS BIGINT) + 2)) AS d FROM orders) SELECT o_orderkey AS n FROM orders o WHERE o_orderkey >= 2 AND NOT EXISTS (SELECT 1 FROM rt r WHERE d * d <= o.o_orderkey AND o.o_orderkey % d = 0)")
 def f1(spark, sf):
     return sh.primes(table(spark, sf, "orders").select(F.col("o_orderkey").alias("n")))
 
