@@ -28,7 +28,8 @@ def f1(spark, sf):
     return sh.primes(table(spark, sf, "orders").select(F.col("o_orderkey").alias("n")))
 
 
-@register("F2_factor_pairs", """WITH pr AS (SELECT p_partkey AS n, d AS a, p_partkey // d AS b FROM part JOIN range(2, 1000) r(d) ON d * d <= p_partkey AND p_partkey % d = 0),
+@register("F2_factor_pairs", """WITH rt AS (SELECT unnest(range(2, CAST(floor(sqrt(max(p_partkey))) AS BIGINT) + 2)) AS d FROM part),
+  pr AS (SELECT p_partkey AS n, d AS a, p_partkey // d AS b FROM part JOIN rt r ON d * d <= p_partkey AND p_partkey % d = 0),
   fl AS (SELECT n, least(3, max(a)) AS floor_used FROM pr GROUP BY n), ok AS (SELECT pr.*, floor_used FROM pr JOIN fl USING (n) WHERE a >= floor_used)
   SELECT n, count(*) AS n_pairs, CAST(any_value(floor_used) AS BIGINT) AS floor_used, CAST(arg_min(a, a + b) AS BIGINT) AS sum_a, CAST(arg_min(b, a + b) AS BIGINT) AS sum_b, CAST(min(a) AS BIGINT) AS fac_a, CAST(arg_min(b, a) AS BIGINT) AS fac_b FROM ok GROUP BY n""")
 def f2(spark, sf):
