@@ -54,10 +54,14 @@ def f4(spark, sf):
     return s.join(sh.golden_strides(s), "n").select("supplier", "n", "stride")
 
 
-@register("F5_primitive_root", """WITH pr AS (SELECT p_partkey AS p FROM part o WHERE p_partkey > 2 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) r(d) WHERE d * d <= o.p_partkey AND o.p_partkey % d = 0)),
-  qs AS (SELECT p, q FROM pr JOIN range(2, 100000) r(q) ON q <= p - 1 AND (p - 1) % q = 0 WHERE NOT EXISTS (SELECT 1 FROM range(2, 400) s(d) WHERE d * d <= q AND q % d = 0)),
-  ca AS (SELECT p, g, q, list_reduce(list_transform(range(24, -1, -1), lambda i: (((p - 1) // q) >> i) & 1), lambda acc, b: (acc * acc % p) * (CASE WHEN b = 1 THEN g ELSE 1 END) % p, 1::BIGINT) AS r FROM qs JOIN range(2, 60) t(g) ON g < p OR p = 3)
-  SELECT p, min(g) AS root FROM (SELECT p, g FROM ca GROUP BY p, g HAVING bool_and(r <> 1)) GROUP BY p""")
+@register("F5_primitive_root", """WITH RECURSIVE rt AS (SELECT unnest(range(1, CAST(floor(sqrt(max(p_partkey))) AS BIGINT) + 2)) AS d FROM part),
+  pr AS (SELECT p_partkey AS p FROM part o WHERE p_partkey > 2 AND NOT EXISTS (SELECT 1 FROM rt WHERE d > 1 AND d * d <= o.p_partkey AND o.p_partkey % d = 0)),
+  dv AS (SELECT DISTINCT p, unnest([d, (p - 1) // d]) AS q FROM pr JOIN rt ON d * d <= p - 1 AND (p - 1) % d = 0),
+  qs AS (SELECT p, list(q) AS qs FROM dv WHERE q > 1 AND NOT EXISTS (SELECT 1 FROM rt WHERE d > 1 AND d * d <= dv.q AND dv.q % d = 0) GROUP BY p),
+  ca AS (SELECT p, qs, 1::BIGINT AS g, false AS root FROM qs UNION ALL SELECT p, qs, g + 1, len(list_filter(qs, lambda q:
+    list_reduce(list_transform(range(CAST(floor(log2(p)) AS BIGINT), -1, -1), lambda i: (((p - 1) // q) >> i) & 1), lambda acc, b: (acc * acc % p) * (CASE WHEN b = 1 THEN g + 1 ELSE 1 END) % p, 1::BIGINT) = 1)) = 0
+    FROM ca WHERE NOT root AND g < p - 1)
+  SELECT p, g AS root FROM ca WHERE root""")
 def f5(spark, sf):
     p = sh.primes(table(spark, sf, "part").select(F.col("p_partkey").alias("n")).where(F.col("n") > 2)).select(F.col("n").alias("p"))
     return sh.primitive_roots(p)

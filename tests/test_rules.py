@@ -1,11 +1,14 @@
 """Reorder rules against matrices filled and read cell by cell."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scatterframe.operators import reorder as ro
 from scatterframe.operators import shapes as sh
+from scatterframe.plans import catalog
+from tests.compare import compare
 
 
 def seq(spark, rule, n, **kw):
@@ -256,3 +259,13 @@ def test_box_sides():
     assert sh.balanced_dims(240, 3, 0.5) == [5, 6, 8] and sh.balanced_dims(360, 3, 0.5) == [5, 8, 9] and sh.balanced_dims(7, 3, 0.5) == [2, 2, 2]
     with pytest.raises(ValueError):
         sh.balanced_dims(11, 4, 0.1)
+
+
+@pytest.mark.parametrize("name, table, key", [("F1_primes", "orders", "o_orderkey"), ("F2_factor_pairs", "part", "p_partkey"), ("F5_primitive_root", "part", "p_partkey")])
+def test_sql_beyond_a_million(spark, tmp_path, name, table, key):
+    """Squares of primes above 1,000, large primes, and primes whose least root is 60 or more."""
+    numbers = [1, 2, 3, 4, 5, 7, 9, 97, 1009 * 1009, 1009 * 1013, 1018081 + 2, 110881, 999983, 1000003, 200003, 1200007]
+    spark.createDataFrame([(n,) for n in numbers], f"{key} bigint").write.parquet(str(tmp_path / f"{table}.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert compare(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLES[name], con) is None
