@@ -205,11 +205,13 @@ def discrimination_ratio(trials: DataFrame, metrics: list[str]) -> DataFrame:
     """Between-method variance over within-cell variance, and the trials needed to tell methods apart."""
     one = F.array(*[F.struct(F.lit(m).alias("metric"), finite(m).alias("x")) for m in metrics])
     long = trials.select(*CB, "method", "bin", F.inline(one))
-    cell = long.groupBy("metric", *CB, "method", "bin").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("v"))
+    # merging partial moments leaves a trace of rounding where all values are one
+    spread = lambda c: F.when((F.count(c) > 1) & (F.min(c) == F.max(c)), 0.0).otherwise(F.var_samp(c))
+    cell = long.groupBy("metric", *CB, "method", "bin").agg(F.count("x").alias("n"), F.sum("x").alias("total"), spread("x").alias("v"))
     cell = settle(cell)
     within = cell.groupBy("condition", "metric").agg(F.avg("v").alias("within_var"))
-    meth = cell.groupBy("condition", "metric", "block", "method").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
-    between = meth.groupBy("condition", "metric", "block").agg(F.var_samp("mean").alias("v")).groupBy("condition", "metric").agg(F.avg("v").alias("between_var"))
+    meth = cell.groupBy("condition", "metric", "block", "method").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    between = meth.groupBy("condition", "metric", "block").agg(spread("mean").alias("v")).groupBy("condition", "metric").agg(F.avg("v").alias("between_var"))
     d = between.join(within, ["condition", "metric"])
     ratio = F.when(F.col("within_var") > 0, F.col("between_var") / F.col("within_var")).when(F.col("between_var") > 0, F.lit(float("inf")))
     return d.withColumn("ratio", ratio).withColumn(

@@ -257,3 +257,11 @@ def test_sequential_sums_equal_balanced_ones(spark):
     a, b = ({r["term"]: r for r in an.anova_two_way(df, [], "m", "b", "v", allow_type1=t).collect()} for t in (False, True))
     for t in a:
         assert a[t]["ss"] == pytest.approx(b[t]["ss"]) and a[t]["df"] == b[t]["df"]
+
+
+def test_discrimination_of_constant_cells(spark):
+    """A cell of one value, in parts whose moments do not merge without rounding, has no variance."""
+    i = F.col("id") % 2  # three tasks of 49 rows a cell
+    d = spark.range(0, 294, 1, 3).select(F.lit("c").alias("condition"), F.lit(1).alias("block"), F.concat(F.lit("m"), i).alias("method"), F.lit(1).alias("bin"), (1 + i).alias("x"))
+    r = va.discrimination_ratio(d, ["x"]).first()
+    assert r["within_var"] == 0.0 and r["between_var"] == pytest.approx(0.5) and r["ratio"] == float("inf") and r["trials_needed"] == 0
