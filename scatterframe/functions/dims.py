@@ -70,13 +70,14 @@ def with_totals(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
     return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
 
 
-def spread(df: DataFrame, *cols) -> DataFrame:
+def spread(df: DataFrame, *cols, least: int = 0) -> DataFrame:
     """Hash-partition into the session's shuffle width, ahead of a step that grows its rows.
 
     The explicit width keeps adaptive execution from merging partitions that are
-    small now and large after the growth.
+    small now and large after the growth.  ``least`` widens it, so that a task's
+    share need not grow with the table.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
 
 
 def require_columns(df: DataFrame, names) -> DataFrame:

@@ -21,6 +21,9 @@ from ..functions.numeric import big, idiv
 from ..functions.rank import percentiles, spearman_rows
 from . import structure as st
 
+#: Events, about, that one task of ``load_metrics`` takes; a permutation stays whole.
+EVENTS_A_TASK = 1 << 19
+
 STATS = ["over_t", "max_err", "mean_max", "cv_load", "gini_load", "es_load"]
 
 
@@ -29,7 +32,8 @@ def load_metrics(perm: DataFrame, keys: list[str], bursts: list[int], codeword:
     k = [*keys, "b"]
     n, nb = F.col("n"), F.col("b")
     size = Window.partitionBy(*keys)
-    d = spread(perm, *keys).select(
+    events = 2 * len(bursts) * perm.count()
+    d = spread(perm, *keys, least=-(-events // EVENTS_A_TASK)).select(
         *keys, "pos", (idiv(F.col("src") - 1, codeword) + 1).alias("cw"), F.count("*").over(size).alias("n"))
     d = d.withColumn("asked", F.explode(F.array(*[F.lit(b).cast("bigint") for b in bursts]))).withColumn("b", F.least("asked", "n"))
     last = n - nb + 1

@@ -188,3 +188,12 @@ def test_pairwise_distance_in_blocks(spark):
     pairs = lambda **kw: {(r["vec_id"], r["o"]): r["distance"] for r in st.pairwise_distance(v, "vec_id", "vec", v.withColumnRenamed("vec_id", "o"), "o", **kw).collect()}
     assert pairs()[(1, 2)] == 5.0 and len(pairs()) == 9
     assert pairs(most=1) == pairs()
+
+
+def test_load_tasks_follow_the_rows(perms, rng, monkeypatch):
+    p = perms({str(i): rng.permutation(30) + 1 for i in range(20)})
+    want = sorted(ld.load_metrics(p, K, [5, 10], 5, 2).collect())
+    monkeypatch.setattr(ld, "EVENTS_A_TASK", 100)
+    d = ld.load_metrics(p, K, [5, 10], 5, 2)
+    assert ", 24), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()  # 20 * 30 rows, 4 events each
+    assert [tuple(r) for r in sorted(d.collect())] == [tuple(pytest.approx(x, abs=1e-12) if isinstance(x, float) else x for x in r) for r in want]
