@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dims import attach, remove, shared_dir
+from ..functions.dims import attach, remove, shared_dir, spread
 from ..functions.numeric import as_col, finite
 from ..functions.rank import row_numbers
 
@@ -132,18 +132,26 @@ def size_list(config: dict) -> list[int]:
     return out
 
 
+#: Lengths of a condition that one row carries to a task.
+STRETCH = 4096
+
+
 def design_grid(conditions: DataFrame, lengths: Column, levels: dict[str, list[float]], runs: int) -> DataFrame:
     """Every (condition, length, noise bin, run) of an experiment.
 
-    The axes are short lists, so they unfold inside each condition row.  A level
-    range (lo, hi, n) is spaced evenly.
+    ``lengths`` is an array; stretches of it are dealt to tasks and meet levels and
+    runs, which are short lists, there.  A level range (lo, hi, n) is spaced evenly.
     """
     level = F.lit(None)
     for cond, (lo, hi, n) in levels.items():
         arr = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("bin"), F.lit(lo + (hi - lo) * i / max(1, n - 1)).alias("level")) for i in range(int(n))])
         level = F.when(F.col("condition") == cond, arr).otherwise(level) if cond != "*" else F.coalesce(level, arr)
-    d = conditions.withColumn("length", F.explode(lengths)).select("*", F.inline(level))
-    return d.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).distinct()
+    own = conditions.columns
+    d = conditions.distinct().withColumn("_all", F.array_distinct(lengths)).where(F.size("_all") > 0)
+    d = d.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_all"), F.lit(STRETCH))))
+    d = spread(d.select(*own, "_at", F.slice("_all", F.col("_at"), STRETCH).alias("_part")), *own, "_at")
+    d = d.select(*own, F.explode("_part").alias("length")).select("*", F.inline(level))
+    return d.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
 
 
 def encoded_length(df: DataFrame, size: str, k: int, n: int) -> DataFrame:

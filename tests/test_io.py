@@ -56,3 +56,16 @@ def test_frames_without_hits_keep_their_defaults(spark):
         assert [r["blocks"] for r in s] == [3, 3]
         assert (s[0]["hits"], s[0]["uniformity"], s[0]["gini"], s[0]["eta_es"]) == (0, 1.0, 0.0, 1.0)
         assert (s[1]["hits"], s[1]["noisy_blocks"]) == (6, 3)
+
+
+def test_design_grid_is_dealt_by_stretches(spark, monkeypatch):
+    """One condition's lengths unfold in many tasks; repeated conditions and lengths count once."""
+    monkeypatch.setattr(io, "STRETCH", 7)
+    c = spark.createDataFrame([("A", 300), ("N", 40), ("A", 300)], "condition string, top bigint")
+    lengths = F.concat(F.sequence(F.lit(1).cast("bigint"), "top"), F.array(F.lit(3).cast("bigint")))
+    d = io.design_grid(c, lengths, {"A": (0.0, 1.0, 2), "N": (0.5, 0.5, 1)}, 3)
+    got = [(r["condition"], r["length"], r["bin"], r["run"]) for r in d.collect()]
+    want = {("A", n, b, r) for n in range(1, 301) for b in (1, 2) for r in (1, 2, 3)} | {("N", n, 1, r) for n in range(1, 41) for r in (1, 2, 3)}
+    assert len(got) == len(want) and set(got) == want
+    tasks = d.where(F.col("condition") == "A").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
