@@ -43,10 +43,10 @@ def adjacency(perm: DataFrame, keys: list[str]) -> DataFrame:
                     ((F.col("sd") / e) / (F.col("av") / e + EPS)).alias("adj_cv"), (F.col("distinct") / e).alias("adj_dispersion"))
 
 
-def as_array(perm: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
-    """One row per permutation: ``value`` in the order of ``by`` (bounded by the frame length)."""
+def as_array(perm: DataFrame, keys: list[str], by: str, value: str, least: int = 0) -> DataFrame:
+    """One row per permutation: ``value`` in the order of ``by`` (bounded by the frame length), in ``least`` tasks or more."""
     pairs = F.array_sort(F.array_agg(F.struct(F.col(by), F.col(value))))
-    return spread(perm, *keys).groupBy(*keys).agg(pairs.alias("_p")).select(*keys, F.transform("_p", lambda s: s[value]).alias("p"), F.size("_p").alias("n"))
+    return spread(perm, *keys, least=least).groupBy(*keys).agg(pairs.alias("_p")).select(*keys, F.transform("_p", lambda s: s[value]).alias("p"), F.size("_p").alias("n"))
 
 
 def _shifted(p: Column, d: Column, f) -> Column:
@@ -58,6 +58,8 @@ def _shifted(p: Column, d: Column, f) -> Column:
 PAIRS_A_TASK = 1 << 28
 #: Registers of a distinct-count sketch are 2^SKETCH_BITS; its relative standard error is about 1.04 / 2^(SKETCH_BITS/2).
 SKETCH_BITS = 12
+#: Sketches that one task builds, on average.  Beyond 128 Spark sorts all vectors of a task before it sketches them.
+SKETCHES_A_TASK = 64
 
 
 def _by_length(arrays: pd.Series, kernel, out: np.ndarray, cells: int) -> np.ndarray:
@@ -149,14 +151,17 @@ def largest_lobe(p: pd.Series) -> pd.Series:
     return pd.Series(_by_length(p, _lobes, np.zeros(len(p)), 1 << 20))
 
 
-def _dealt_by_lag(perm: DataFrame, keys: list[str], pairs_a_task: int) -> DataFrame:
+def _dealt_by_lag(perm: DataFrame, keys: list[str], pairs_a_task: int, sets_a_task: int | None = None) -> DataFrame:
     """(keys, p, n, first, step): positions by source; long permutations once for each of ``step`` sets of lags."""
-    a = as_array(perm, keys, "src", "pos")
+    sets = lambda n: F.greatest(F.lit(1), F.ceil(n.cast("double") * (n - 1) / (2 * pairs_a_task)).cast("int"))
+    least = 0
+    if sets_a_task:  # a permutation has one source 1
+        least = -(-(perm.where(F.col("src") == 1).agg(F.sum(sets(F.col("n_rows")))).first()[0] or 0) // sets_a_task)
+    a = as_array(perm, keys, "src", "pos", least)
     longest = perm.agg(F.max("n_rows")).first()[0] or 0
     if longest * (longest - 1) // 2 <= pairs_a_task:
         return a.select("*", F.lit(1).alias("first"), F.lit(1).alias("step"))
-    step = F.greatest(F.lit(1), F.ceil(F.col("n").cast("double") * (F.col("n") - 1) / (2 * pairs_a_task)).cast("int"))
-    return spread(a.withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(1), F.col("step")))), *keys, "first")
+    return spread(a.withColumn("step", sets(F.col("n"))).withColumn("first", F.explode(F.sequence(F.lit(1), F.col("step")))), *keys, "first", least=least)
 
 
 def dispersion(perm: DataFrame, keys: list[str], pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
@@ -172,7 +177,7 @@ def dispersion(perm: DataFrame, keys: list[str], pairs_a_task: int = PAIRS_A_TAS
 
 def dispersion_approx(perm: DataFrame, keys: list[str], bits: int = SKETCH_BITS, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
     """``dispersion`` with the vectors of each set of gaps counted by a sketch, and sketches merged over all gaps."""
-    a = _dealt_by_lag(perm, keys, pairs_a_task)
+    a = _dealt_by_lag(perm, keys, pairs_a_task, SKETCHES_A_TASK)
     gap = F.explode(F.sequence(F.col("first"), F.col("n") - 1, F.col("step"))).alias("d")
     v = a.where(F.col("first") < F.col("n")).select(*keys, "n", "first", "p", gap).select(*keys, "n", "first", "d", F.explode(_shifted(F.col("p"), F.col("d"), lambda u, v: v - u)).alias("v"))
     # a vector as one number; hashed by the sketch

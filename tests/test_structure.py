@@ -197,3 +197,10 @@ def test_load_tasks_follow_the_rows(perms, rng, monkeypatch):
     d = ld.load_metrics(p, K, [5, 10], 5, 2)
     assert ", 24), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()  # 20 * 30 rows, 4 events each
     assert [tuple(r) for r in sorted(d.collect())] == [tuple(pytest.approx(x, abs=1e-12) if isinstance(x, float) else x for x in r) for r in want]
+
+
+@pytest.mark.parametrize("pairs, tasks", [(10**9, 20), (50, 80)])
+def test_sketches_of_a_task_are_few(perms, rng, monkeypatch, pairs, tasks):
+    monkeypatch.setattr(st, "SKETCHES_A_TASK", 1)
+    d = st.dispersion_approx(perms({str(i): rng.permutation(20) + 1 for i in range(20)}), K, pairs_a_task=pairs)  # 190 pairs each
+    assert f", {tasks}), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
