@@ -27,13 +27,20 @@ EVENTS_A_TASK = 1 << 19
 STATS = ["over_t", "max_err", "mean_max", "cv_load", "gini_load", "es_load"]
 
 
-def load_metrics(perm: DataFrame, keys: list[str], bursts: list[int], codeword: int, capacity: int) -> DataFrame:
-    """(keys, b, over_t, max_err, mean_max, cv_load, gini_load, es_load); all but es_load are NULL when B >= N."""
+def deal(rows: DataFrame, keys: list[str], bursts: list[int]) -> DataFrame:
+    """``rows`` of permutations, or of what they are made from, by ``keys`` in tasks of about ``EVENTS_A_TASK`` events."""
+    return spread(rows, *keys, least=-(-2 * len(bursts) * rows.count() // EVENTS_A_TASK))
+
+
+def load_metrics(perm: DataFrame, keys: list[str], bursts: list[int], codeword: int, capacity: int, dealt: bool = False) -> DataFrame:
+    """(keys, b, over_t, max_err, mean_max, cv_load, gini_load, es_load); all but es_load are NULL when B >= N.
+
+    ``dealt`` states that ``perm`` comes from rows that ``deal`` has dealt, so they are not shuffled again.
+    """
     k = [*keys, "b"]
     n, nb = F.col("n"), F.col("b")
     size = Window.partitionBy(*keys)
-    events = 2 * len(bursts) * perm.count()
-    d = spread(perm, *keys, least=-(-events // EVENTS_A_TASK)).select(
+    d = (perm if dealt else deal(perm, keys, bursts)).select(
         *keys, "pos", (idiv(F.col("src") - 1, codeword) + 1).alias("cw"), F.count("*").over(size).alias("n"))
     d = d.withColumn("asked", F.explode(F.array(*[F.lit(b).cast("bigint") for b in bursts]))).withColumn("b", F.least("asked", "n"))
     last = n - nb + 1

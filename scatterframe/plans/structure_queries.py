@@ -19,8 +19,8 @@ K = ["frame_id"]
 N = EVENT_W
 
 
-def perm(spark, sf):
-    f = frames_events(spark, sf)
+def perm(spark, sf, deal=lambda f: f):
+    f = deal(frames_events(spark, sf))
     w = Window.partitionBy("frame_id").orderBy("value", "pos")
     return f.select("frame_id", "n_rows", F.col("pos").alias("src"), big(F.row_number().over(w)).alias("pos"))
 
@@ -200,7 +200,8 @@ SQL_LM = f"{SQL_P}, {sql_loads(BURSTS)}"
 
 
 def loads(spark, sf, bursts=BURSTS):
-    return ld.load_metrics(perm(spark, sf), K, bursts, CW, T)
+    """Frames are dealt once: they are sorted, and their loads taken, in the same task."""
+    return ld.load_metrics(perm(spark, sf, lambda f: ld.deal(f, K, bursts)), K, bursts, CW, T, dealt=True)
 
 
 def _load_query(name, col, digits):

@@ -5,6 +5,7 @@ import pytest
 
 from scatterframe.operators import load as ld
 from scatterframe.operators import structure as st
+from scatterframe.plans import structure_queries as sq
 
 K = ["perm_id"]
 
@@ -204,3 +205,13 @@ def test_sketches_of_a_task_are_few(perms, rng, monkeypatch, pairs, tasks):
     monkeypatch.setattr(st, "SKETCHES_A_TASK", 1)
     d = st.dispersion_approx(perms({str(i): rng.permutation(20) + 1 for i in range(20)}), K, pairs_a_task=pairs)  # 190 pairs each
     assert f", {tasks}), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loads_sort_and_count_frames_in_one_deal(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(sq.loads(spark, sf, [15, 30]).collect())
+    monkeypatch.setattr(ld, "EVENTS_A_TASK", 100)
+    d = sq.loads(spark, sf, [15, 30])
+    plan, rows = d._jdf.queryExecution().executedPlan().toString(), sq.perm(spark, sf).count()
+    assert plan.count("Exchange hashpartitioning(frame_id") == 1 and f", {4 * rows // 100}), REPARTITION_BY_NUM" in plan
+    assert len(want) == 2 * rows // sq.N and [tuple(r) for r in sorted(d.collect())] == [tuple(pytest.approx(x, abs=1e-12) if isinstance(x, float) else x for x in r) for r in want]
