@@ -1,11 +1,14 @@
 """Structure and load metrics: published anchors and brute force."""
 
+import re
+
 import numpy as np
 import pytest
 
 from scatterframe.operators import load as ld
 from scatterframe.operators import structure as st
 from scatterframe.plans import structure_queries as sq
+from scatterframe.plans.catalog import QUERIES
 
 K = ["perm_id"]
 
@@ -215,3 +218,17 @@ def test_loads_sort_and_count_frames_in_one_deal(spark, monkeypatch):
     plan, rows = d._jdf.queryExecution().executedPlan().toString(), sq.perm(spark, sf).count()
     assert plan.count("Exchange hashpartitioning(frame_id") == 1 and f", {4 * rows // 100}), REPARTITION_BY_NUM" in plan
     assert len(want) == 2 * rows // sq.N and [tuple(r) for r in sorted(d.collect())] == [tuple(pytest.approx(x, abs=1e-12) if isinstance(x, float) else x for x in r) for r in want]
+
+
+@pytest.mark.parametrize("name, bursts", [
+    ("L9_rho_by_burst", sq.SWEEP),
+])
+def test_load_queries_deal_frames_by_their_events(spark, monkeypatch, name, bursts):
+    sf, rows = "/root/testdata/sf0.001", lambda d: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in d.collect())
+    run = QUERIES[name]
+    want, events = rows(run(spark, sf)), 2 * len(bursts) * sq.perm(spark, sf).count()
+    monkeypatch.setattr(ld, "EVENTS_A_TASK", 100)
+    d = run(spark, sf)
+    # frames are dealt into as many tasks as their events ask for, whatever the session's width
+    dealt = re.findall(r"Exchange hashpartitioning\(frame_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", d._jdf.queryExecution().executedPlan().toString())
+    assert dealt == [str(events // 100)] and rows(d) == want
