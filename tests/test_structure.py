@@ -222,6 +222,7 @@ def test_loads_sort_and_count_frames_in_one_deal(spark, monkeypatch):
 
 @pytest.mark.parametrize("name, bursts", [
     ("L9_rho_by_burst", sq.SWEEP),
+    ("L9b_sweep", sq.SWEEP),
 ])
 def test_load_queries_deal_frames_by_their_events(spark, monkeypatch, name, bursts):
     sf, rows = "/root/testdata/sf0.001", lambda d: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in d.collect())
