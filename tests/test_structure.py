@@ -226,6 +226,7 @@ def test_loads_sort_and_count_frames_in_one_deal(spark, monkeypatch):
     ("L2_max_err", sq.BURSTS),
     ("L3_mean_max", sq.BURSTS),
     ("L5_gini_load", sq.BURSTS),
+    ("L4_cv_load", sq.BURSTS),
 ])
 def test_load_queries_deal_frames_by_their_events(spark, monkeypatch, name, bursts):
     sf, rows = "/root/testdata/sf0.001", lambda d: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in d.collect())
