@@ -259,7 +259,11 @@ def golden_strides(lengths: DataFrame) -> DataFrame:
 
 
 def primitive_roots(prime_table: DataFrame, tries: int = 16) -> DataFrame:
-    """Smallest g with g^((p-1)/q) != 1 mod p for every prime q dividing p-1."""
+    """Smallest g with g^((p-1)/q) != 1 mod p for every prime q dividing p-1.
+
+    Each of the first ``tries`` candidates is tried only if none before it is a
+    root, and so is each stretch of later ones, as long as all before it.
+    """
     p = F.col("p")
     d = F.sequence(F.lit(2).cast("bigint"), F.greatest(F.lit(2), F.floor(F.sqrt(p - 1))).cast("bigint"))
     qs = (
@@ -267,17 +271,22 @@ def primitive_roots(prime_table: DataFrame, tries: int = 16) -> DataFrame:
         .withColumn("d", F.explode(d)).where((p - 1) % F.col("d") == 0)
         .select("p", F.explode(F.array(F.col("d"), idiv(p - 1, F.col("d")))).alias("n")).distinct()
     )
-    qs = primes(qs).groupBy("p").agg(F.collect_list("n").alias("qs"))
+    qs = primes(qs).groupBy("p").agg(F.sort_array(F.collect_list("n")).alias("qs"))
     only_two = prime_table.select(big("p").alias("p")).distinct().where(p == 3).select("p", F.array(F.lit(2).cast("bigint")).alias("qs"))
     qs = qs.where(p > 3).unionByName(only_two)
-    def first(lo, hi):
-        good = F.filter(F.sequence(lo, hi), lambda c: F.forall("qs", lambda q: modpow(c, idiv(p - 1, q), p) != 1))
-        return F.get(good, F.lit(0))
-
-    # Nearly every prime has a root among the first tries; the rest are searched in full.
-    head = first(F.lit(2).cast("bigint"), F.least(p - 1, F.lit(tries + 1)))
-    tail = F.when(F.col("root").isNull() & (p > tries + 2), first(F.lit(tries + 2).cast("bigint"), p - 1)).otherwise(F.col("root"))
-    return spread(qs, "p").withColumn("root", head).select("p", tail.alias("root"))
+
+    def is_root(c):
+        return F.forall("qs", lambda q: modpow(c, idiv(p - 1, q), p) != 1)
+
+    def stretch(low, high):
+        return F.when(p > low, F.get(F.filter(F.sequence(F.lit(low).cast("bigint"), F.least(p - 1, F.lit(high).cast("bigint"))), is_root), F.lit(0)))
+
+    head = [F.when((p > g) & is_root(F.lit(g)), F.lit(g).cast("bigint")) for g in range(2, tries + 2)]
+    starts = [tries + 2]
+    while starts[-1] < 1 << 31:  # the bound of modpow
+        starts.append(2 * starts[-1])
+    tail = [stretch(low, high - 1) for low, high in zip(starts, starts[1:])]
+    return spread(qs, "p").select("p", F.coalesce(*head, *tail).alias("root"))
 
 
 def all_lags(n: Column) -> Column:

@@ -269,3 +269,14 @@ def test_sql_beyond_a_million(spark, tmp_path, name, table, key):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     assert compare(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLES[name], con) is None
+
+
+def test_roots_are_searched_no_further_than_needed(spark, monkeypatch):
+    """A prime whose least root is 69: no candidate beyond twice that is tried."""
+    plain = sh.modpow
+    late = lambda c, e, m: F.when(c > 138, F.raise_error(F.lit("a late candidate"))).otherwise(plain(c, e, m))
+    monkeypatch.setattr(sh, "modpow", late)
+    numbers = [3, 5, 7, 17, 19, 23, 41, 191, 409, 36721, 110881]
+    got = {r["p"]: r["root"] for r in sh.primitive_roots(spark.createDataFrame([(n,) for n in numbers], "p bigint")).collect()}
+    assert got == {n: next(g for g in range(2, n) if all(pow(g, (n - 1) // q, n) != 1 for q in set(sh.prime_factors(n - 1)))) for n in numbers}
+    assert got[110881] == 69
