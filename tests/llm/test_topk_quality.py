@@ -43,6 +43,29 @@ def test_top_k_odd(spark):
     assert ask(df.limit(0)) == [] and ask(df.where("vec_id = 3")) == []
 
 
+def test_floors_before_sorting(monkeypatch):
+    """Already the first step hands on no more than each query's best scores, with their ties."""
+    draw = np.random.default_rng(4)
+    m = (draw.normal(size=(2000, 48)) * 1000).astype(np.int64)
+    added, plain = [], topk.Best.add
+    monkeypatch.setattr(topk.Best, "add", lambda self, query, *more: added.append(len(query)) or plain(self, query, *more))
+    best = topk.search(np.arange(30), m[:30], np.arange(2000), m, 20)
+    assert len(best.id) == 600 and max(added) <= 30 * 20 + 30
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    """Many blocks, a task with several of them, and one shuffle to rank their rows."""
+    for name, size in (("QUERY_BLOCK", 8), ("CANDIDATE_BLOCK", 16), ("COMPONENTS", 16 * 12 * 4), ("STEP", 24)):
+        monkeypatch.setattr(topk, name, size)
+    draw = np.random.default_rng(6)
+    m = draw.integers(-3, 4, (700, 12))
+    df = spark.createDataFrame([(i, [x / 64 for x in v], 0, 1, 2) for i, v in enumerate(m.tolist())], VECTORS)
+    found = topk.top_k(df, F.col("vec_id") % 20 == 0, 15)
+    assert sorted(tuple(r) for r in found.collect()) == brute(range(700), m, range(0, 700, 20), 15)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(query_id") == 1
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
